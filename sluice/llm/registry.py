@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, packing, quality_rules
+from . import bpe, chat, media, packing, quality_classifier, quality_rules, token_files
 
 QUERIES = {
     "op2_media": media.query,
     "op3_packing": packing.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
     "op7_chat": chat.query,
     "op8_bpe": bpe.query,
+    "op9_token_files": token_files.query,
 }
 ORACLE_SQL = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
