@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,22 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+#: Bytes of text that a task works on at a time, at least one row.
+SLICE = 2 << 20
+
+
+def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of batch in parts whose texts (or binary values) have about `limit` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -75,9 +92,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (part for whole in batches for part in text_slices(whole, len(keep))):
             made = compute(batch.column(len(keep)).to_pylist())
             arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *arrays], names=labels)
@@ -130,6 +145,16 @@ class PieceCache:
         self.flat = np.zeros(4096, dtype=np.int32)
         self.used = 0
 
+    def lookup_texts(self, texts: list, split: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has. split(text) gives its pieces."""
+        pieces: list = []
+        ends = [0]
+        for t in texts:
+            pieces += split(t)
+            ends.append(len(pieces))
+        ids, lengths = self.lookup(pieces)
+        return ids, np.diff(np.append(0, np.cumsum(lengths))[ends])
+
     def _room(self, rows: int, ids: int) -> None:
         if rows > len(self.starts):
             more = max(rows, 2 * len(self.starts)) - len(self.starts)

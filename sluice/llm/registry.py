@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, packing, quality_classifier, quality_rules, token_files
+from . import bpe, chat, media, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 
 QUERIES = {
     "op2_media": media.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_chat": chat.query,
     "op8_bpe": bpe.query,
     "op9_token_files": token_files.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
