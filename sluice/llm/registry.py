@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import bpe, chat, media, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 
 QUERIES = {
     "op2_media": media.query,
     "op3_packing": packing.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op5_minhash_dedup": minhash_dedup.query,
     "op6_quality_rules": quality_rules.query,
     "op7_chat": chat.query,
     "op8_bpe": bpe.query,
