@@ -1,6 +1,64 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Every stage takes what its predecessor kept and, but for the last, returns the
+columns of documents; texts that a stage changes have their n_chars set anew.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm import line_dedup, minhash_dedup, packing, quality_classifier, suffix_dedup
+from sluice.llm.common import materialize, table
+
+
+def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, n_chars telling the length of text."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on their labelled part, does not reject."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs.withColumn("__text", F.col("text")), model, text_col="__text", keep=docs.columns)
+    return scored.filter("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that repeat or nearly repeat an earlier one; documents that lose all their lines go."""
+    out = line_dedup.dedup(docs, out_col="text").filter("n_lines = 0 OR n_kept > 0")
+    return _like(out, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return minhash_dedup.dedup(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without byte strings of 200 bytes that occur again; documents that lose all their text go."""
+    out = suffix_dedup.dedup(docs).filter("n_removed = 0 OR clean_text <> ''")
+    return _like(out.drop("text").withColumnRenamed("clean_text", "text"), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("repeated strings", repeats), ("packing", pack)]
+
+#: Two of the stages are not expressible in SQL; tests compare each with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

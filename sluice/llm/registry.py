@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import bpe, chat, line_dedup, media, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_media": media.query,
     "op3_packing": packing.query,
     "op4_quality_classifier": quality_classifier.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_chat": chat.ORACLE_SQL,
 }
