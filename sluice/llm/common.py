@@ -165,13 +165,13 @@ class PieceCache:
 
     def lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each piece has."""
-        get = self.rows.get
-        at = list(map(get, pieces))
-        if None in at:
+        at = list(map(self.rows.get, pieces))
+        missing = [i for i, row in enumerate(at) if row is None]
+        if missing:
             if len(self.rows) > self.limit:
                 self.clear()
-                get = self.rows.get
-            new = [p for p in dict.fromkeys(pieces) if p not in self.rows]
+                missing = range(len(pieces))
+            new = list(dict.fromkeys([pieces[i] for i in missing]))
             for lo in range(0, len(new), 50_000):
                 some = new[lo : lo + 50_000]
                 made = self.encode(some)
@@ -184,7 +184,8 @@ class PieceCache:
                     self.flat[self.used : self.used + total] = np.concatenate(made)
                 self.used += total
                 self.rows.update(zip(some, range(n, n + len(some)), strict=True))
-            at = list(map(get, pieces))
+            for i, row in zip(missing, map(self.rows.__getitem__, [pieces[i] for i in missing]), strict=True):
+                at[i] = row
         rows = np.array(at, dtype=np.int64)
         lengths = self.lengths[rows]
         return self.flat[ragged_positions(self.starts[rows], lengths)], lengths

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PieceCache, table, whole_text
+from .common import PieceCache, table, text_slices, whole_text
 
 #: Sequence ids of a task begin at its partition number times this.
 TASK_IDS = 1 << 32
@@ -80,19 +81,28 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
     return window, offset, n
 
 
+def chunks(text: str) -> list[bytes]:
+    """The text's chunks between ASCII white space. Their ASCII letters are lowered,
+    which the tokenizer does too, unless composing characters could tell the difference."""
+    data = text.encode("utf-8", "replace")
+    if data.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", data.lower().decode("utf-8"))):
+        data = data.lower()
+    return data.split()
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> PieceCache:
-    """Ids of white-space separated chunks by a tokenizer that splits text there itself."""
+    """Ids of chunks by a tokenizer that composes and lowers letters and drops white space."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode(chunks: list[bytes]) -> list[np.ndarray]:
-        found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+    def encode(some: list[bytes]) -> list[np.ndarray]:
+        found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
 
-    return PieceCache(encode)
+    return PieceCache(encode, limit=1_500_000)
 
 
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -101,8 +111,9 @@ PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length"
 def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id_col and PIECE's columns.
 
-    path names a tokenizers file whose normalizer and pre-tokenizer drop white
-    space, so that text between ASCII white space is encoded independently.
+    path names a tokenizers file that composes (NFC) and lowers letters and
+    drops white space, so that chunks between ASCII white space are encoded
+    independently.
     A document is its ids and end_id; null and empty texts are end_id alone.
     Repeated rows and null ids are documents of their own. Other columns are
     left out. An empty table gives no pieces.
@@ -130,12 +141,10 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: st
         def rows(ids: pa.Array, numbers: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([ids, *[pa.array(numbers[:, i]) for i in range(numbers.shape[1])]], names=schema.names)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             windows, window_of, tails = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids, _ = cache.lookup(text.encode("utf-8", "replace").split())
+            flat, counts = cache.lookup_texts(batch.column(1).to_pylist(), chunks)
+            for row, ids in enumerate(np.split(flat, np.cumsum(counts)[:-1])):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 n = len(ids)
                 full = n // size
