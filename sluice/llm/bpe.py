@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,8 +127,8 @@ class Bpe:
             best = ranks[np.arange(len(rows)), at]
             done = best == NONE
             if done.any():
-                for r in np.flatnonzero(done):
-                    out[rows[r]] = ids[r, : size[r]].copy()
+                for r, row, n in zip(np.flatnonzero(done).tolist(), rows[done].tolist(), size[done].tolist(), strict=True):
+                    out[row] = ids[r, :n].copy()
                 keep = ~done
                 rows, ids, ranks, size, at, best = rows[keep], ids[keep], ranks[keep], size[keep], at[keep], best[keep]
                 if not len(rows):
@@ -189,18 +190,13 @@ def load_ranks(path: str) -> Bpe:
 
 
 @lru_cache(maxsize=4)
-def piece_encoder(path: str, pattern: str) -> PieceCache:
+def piece_encoder(path: str, pattern: str) -> tuple:
+    """Cached ids of pieces, and the function that splits a text into them."""
     import regex
 
-    bpe, split = load_ranks(path), regex.compile(pattern)
-
-    def encode(chunks: list[str]) -> list[np.ndarray]:
-        pieces = [[m.encode("utf-8", "replace") for m in split.findall(c)] for c in chunks]
-        flat = list(dict.fromkeys(p for ps in pieces for p in ps))
-        known = dict(zip(flat, bpe.encode_pieces(flat), strict=True))
-        return [np.concatenate([known[p] for p in ps]) if ps else np.empty(0, np.int32) for ps in pieces]
-
-    return PieceCache(encode)
+    bpe = load_ranks(path)
+    cache = PieceCache(lambda pieces: bpe.encode_pieces([p.encode("utf-8", "replace") for p in pieces]), limit=500_000)
+    return cache, regex.compile(pattern).findall
 
 
 def list_array(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -212,22 +208,16 @@ def list_array(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
     """Add the ids of each whole text: every match of pattern is encoded on its own, no special tokens.
 
-    pattern must, like GPT-2's, match every character and never go on from
-    other characters into white space. Null and empty texts give an empty
-    array. path is read on every executor. No shuffle; columns of keep
+    Characters that pattern does not match are left out. Null and empty texts
+    give an empty array. path is read on every executor. No shuffle; columns of keep
     (default: all) stay unless named like ids_col.
     """
 
     def make():
-        cache = piece_encoder(path, pattern)
+        cache, split = piece_encoder(path, pattern)
 
         def compute(texts: list[str]) -> list:
-            flat, counts = [], []
-            for t in texts:
-                ids, _ = cache.lookup(PIECES.findall(t))
-                flat.append(ids)
-                counts.append(len(ids))
-            return [list_array(np.concatenate(flat), np.array(counts))]
+            return [list_array(*cache.lookup_texts(texts, split))]
 
         return compute
 
@@ -245,19 +235,16 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
     def run(batches):
         tokens = load_ranks(path).tokens
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             ids = batch.column(at)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
             if len(flat) and (flat.min() < 0 or flat.max() >= len(tokens)):
                 raise ValueError("id outside of the vocabulary")
             data = b"".join(map(tokens.__getitem__, flat.tolist()))
             ends = np.append(0, np.cumsum(lengths[flat])) if len(flat) else np.zeros(1, np.int64)
-            sizes = np.array([len(x) if x.is_valid else 0 for x in ids], np.int64)
-            cuts = np.append(0, np.cumsum(sizes))
-            places = ends[cuts]
-            made = [data[a:b] if ok.is_valid else None for a, b, ok in zip(places[:-1].tolist(), places[1:].tolist(), ids, strict=True)]
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            places = ends[np.append(0, np.cumsum(sizes))].tolist()
+            made = [data[a:b] if ok else None for a, b, ok in zip(places[:-1], places[1:], ids.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, type=pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema)
