@@ -10,6 +10,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def iso_millis(ts: Column) -> Column:
@@ -92,7 +93,7 @@ def canonical_json(payload: Column, volatile_paths: tuple[str, ...] = ()) -> Col
     paths = [[s for s in p.split(".") if s] for p in volatile_paths]
     paths = [p for p in paths if p]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         def one(text):
             try:
