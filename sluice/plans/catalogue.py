@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
-from ..functions import hashing, text
+from ..functions import hashing, search, text
 from ..operators import classify, ingest, readmodel, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,6 +512,17 @@ def signals_parse(t):
     return t("labels").withColumn("s", classify.parse_signals(json)).select("doc_id", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0))["code"].alias("code"), F.get("s", F.lit(0))["weight"].alias("weight"))
 
 
+@query("fts_match")
+def fts_match(t):
+    null = F.lit(None).cast("string")
+    rows = t("documents").withColumn("conf", text.search_configuration(text.detect_language(null, F.col("text"), null)))
+    vectors = rows.withColumn("v", search.search_vector(F.lit("posting"), F.col("source"), F.col("text"), F.col("conf")))
+    said = {"english": 'hering or "onthe erand" -stupid', "german": "enschach or keitver -dumm"}
+    fits = F.when(F.col("conf") == "german", search.matches(F.col("v"), said["german"], "german")).otherwise(search.matches(F.col("v"), said["english"], "english"))
+    score = F.when(F.col("conf") == "german", search.rank(F.col("v"), said["german"], "german")).otherwise(search.rank(F.col("v"), said["english"], "english"))
+    return vectors.select("doc_id", "conf", fits.alias("fits"), F.round(score, 9).alias("rank"), F.size("v").alias("n_lexemes"))
+
+
 # --- flagship: listing over resolved postings ----------------------------------
 
 
