@@ -27,39 +27,51 @@ MIN_WORDS = 10
 BLOCK = 32
 
 
-def words(line: Column) -> Column:
-    """The words of a line: what ASCII white space separates."""
-    return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r\n", "     "), " "), lambda w: w != "")
+def words_text(line: Column) -> Column:
+    """The words of a line (what ASCII white space separates) between single blanks."""
+    x = F.translate(line, "\t\x0b\x0c\r", "    ")
+    return F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, "  +", " ")).otherwise(x))
 
 
-def _part(w: Column, lo: Column, n: Column) -> Column:
-    """n words from lo (0 first) on; none if n is not positive."""
-    return F.slice(w, lo + 1, F.greatest(n, F.lit(0)))
+def _first(line: Column, n: Column) -> Column:
+    """The first n words; the last ones if n is negative."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """docs (id, th, text) to one row per sequence of words: h1, h2, its first occurrence (a struct) and line."""
-    lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
-    w = words(F.col("line"))
-    keyed = lines.select(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), F.struct(F.col("id").isNotNull().alias("known"), "id", "th", "no", "line").alias("x"))
-    best = keyed.groupBy("h1", "h2").agg(F.min("x").alias("x"))
-    return best.select("h1", "h2", F.struct("x.known", "x.id", "x.th", "x.no").alias("rank"), F.col("x.line").alias("line"))
+def half_keys(line: Column, n: Column) -> Column:
+    """Keys of the halves that a line of n words shares with lines one edit away:
+    (base n, first half), (n, last half), (n - 1, first), (n - 1, last); null where none is asked for.
 
+    base is the number of words of the shorter line of a pair; the first half
+    has base div 2 words.
+    """
+    keys = []
+    for base in (n, n - 1):
+        m = F.shiftright(base, 1)
+        keys += [F.when(base >= MIN_WORDS, F.xxhash64(F.lit(side), base, _first(line, count))) for side, count in ((0, m), (1, m - base))]
+    return F.when(n >= MIN_WORDS, F.array(*keys))
 
-def half_keys(lines: DataFrame) -> DataFrame:
-    """For each line (h1, h2, w, n) the keys of its halves: base, side (0: the first half is shared), key.
 
-    base is the number of words of the shorter line of a pair: n, or n - 1 if
-    this line is the longer one. The first half has base div 2 words.
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """docs (id, th, text) to one row per sequence of words: h1, h2, rank (its first occurrence), n (words) and halves.
+
+    The words themselves stay behind: few lines need them again.
     """
-    bases = F.filter(F.array(F.col("n"), F.col("n") - 1), lambda b: b >= MIN_WORDS)
-    each = lines.filter(F.col("n") >= MIN_WORDS).select("h1", "h2", "w", "n", F.explode(bases).alias("base"))
-    m = F.floor(F.col("base") / 2).cast("int")
-    shared = F.array(
-        F.struct(F.lit(0).alias("side"), F.xxhash64(F.lit(0), F.col("base"), _part(F.col("w"), F.lit(0), m)).alias("key")),
-        F.struct(F.lit(1).alias("side"), F.xxhash64(F.lit(1), F.col("base"), _part(F.col("w"), F.col("n") - F.col("base") + m, F.col("base") - m)).alias("key")),
-    )
-    return each.select("h1", "h2", "base", F.explode(shared).alias("s")).select("h1", "h2", "base", "s.side", "s.key")
+    lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "th", "no", words_text(F.col("line")).alias("line")).filter("line <> ''")
+    n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    counted = lines.withColumn("n", n)
+    keyed = counted.select(
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
+        F.struct(F.col("id").isNotNull().alias("known"), "id", "th", "no", "n", half_keys(F.col("line"), F.col("n")).alias("halves")).alias("x"),
+    )
+    best = keyed.groupBy("h1", "h2").agg(F.min("x").alias("x"))
+    return best.select("h1", "h2", F.struct("x.known", "x.id", "x.th", "x.no").alias("rank"), "x.n", "x.halves")
+
+
+def shared_halves(lines: DataFrame) -> DataFrame:
+    """h1, h2, base, side (0: the first half is shared) and key of the halves that another line has too."""
+    each = lines.filter("halves IS NOT NULL").select("h1", "h2", "n", F.posexplode("halves").alias("k", "key")).filter("key IS NOT NULL")
+    return shared_only(each.select("h1", "h2", (F.col("n") - F.shiftright("k", 1)).alias("base"), F.col("k").bitwiseAND(1).alias("side"), "key"))
 
 
 def shared_only(keys: DataFrame) -> DataFrame:
@@ -68,22 +80,21 @@ def shared_only(keys: DataFrame) -> DataFrame:
 
 
 def quarter_keys(found: DataFrame) -> DataFrame:
-    """found (h1, h2, w, n, base, side, key) with the range [lo, hi] of places the edit may be at, cut
+    """found (h1, h2, line, n, base, side, key) with the range [lo, hi] of places the edit may be at, cut
     in two: lo, hi, and key of the part that is then shared besides."""
-    m = F.floor(F.col("base") / 2).cast("int")
-    longer = F.col("n") - F.col("base")
+    m = F.expr("base div 2").cast("int")
     # places of the edit in the shorter line, as gaps: [m, base] or [0, m]
     lo, hi = F.when(F.col("side") == 0, m).otherwise(F.lit(0)), F.when(F.col("side") == 0, F.col("base")).otherwise(m)
-    mid = F.floor((lo + hi) / 2).cast("int")
-    # the edit is at or after mid: words [lo, mid) are shared; or before it: words from mid up to hi, counted from the end
-    late = F.struct(mid.alias("lo"), hi.alias("hi"), F.xxhash64("key", F.lit(0), _part(F.col("w"), lo, mid - lo)).alias("key"))
-    early = F.struct(lo.alias("lo"), mid.alias("hi"), F.xxhash64("key", F.lit(1), _part(F.col("w"), mid + longer, hi - mid)).alias("key"))
+    mid = ((lo + hi) / 2).cast("int")
+    # the edit is at or after mid: words before mid are shared; or before it: words from mid on, counted from the end
+    late = F.struct(mid.alias("lo"), hi.alias("hi"), F.xxhash64("key", F.lit(0), _first(F.col("line"), mid)).alias("key"))
+    early = F.struct(lo.alias("lo"), mid.alias("hi"), F.xxhash64("key", F.lit(1), _first(F.col("line"), mid - F.col("base"))).alias("key"))
     return found.select("h1", "h2", "base", F.explode(F.array(late, early)).alias("s")).select("h1", "h2", "base", "s.lo", "s.hi", "s.key")
 
 
 def variant_keys(found: DataFrame) -> DataFrame:
-    """found (h1, h2, rank, w, n, base, lo, hi, key) to (variant, h1, h2, rank): deletions and gaps at lo..hi."""
-    wh = F.transform("w", lambda x: F.xxhash64(x))
+    """found (h1, h2, rank, line, n, base, lo, hi, key) to (variant, h1, h2, rank): deletions and gaps at lo..hi."""
+    wh = F.transform(F.split("line", " "), lambda x: F.xxhash64(x))
     blocks = F.sequence(F.lit(0), F.floor(F.col("n") / BLOCK).cast("int"))
     hashed = found.withColumns({"wh": wh}).withColumns(
         {
@@ -117,26 +128,39 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (more <= 1) & ((F.size(differs) == 0) | (rest == F.slice(long, p + 2, F.greatest(n + more - p - 1, F.lit(0)))))
 
 
-def near_copies(lines: DataFrame) -> DataFrame:
+def document_key(frame: DataFrame, id_: str = "id", th: str = "th") -> list[Column]:
+    """Columns i, z, th that tell documents apart and can be joined on, null ids included."""
+    return [F.coalesce(F.col(id_), F.lit(0)).alias("i"), F.col(id_).isNull().alias("z"), F.col(th).alias("th")]
+
+
+def with_words(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found (rank and more, one row a line) with line, its words, from docs (id, th, text). A text is cut once for all its lines."""
+    per = found.select(*document_key(found, "rank.id", "rank.th"), F.struct(*found.columns).alias("x")).groupBy("i", "z", "th").agg(F.collect_list("x").alias("xs"))
+    joined = per.join(docs.select(*document_key(docs), "text"), ["i", "z", "th"]).select("xs", F.split("text", "\n").alias("lines"))
+    each = joined.select(F.explode(F.transform("xs", lambda x: F.struct(x.alias("x"), F.get(F.col("lines"), x["rank"]["no"]).alias("l")))).alias("y"))
+    return each.select("y.x.*", words_text(F.col("y.l")).alias("line"))
+
+
+def near_copies(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that are one edit from an earlier one, and the rank of one such line."""
-    w = lines.select("h1", "h2", "rank", words(F.col("line")).alias("w")).withColumn("n", F.size("w"))
-    halves = shared_only(half_keys(w))
-    first = materialize(w.join(halves, ["h1", "h2"]).select("h1", "h2", "rank", "w", "n", "base", "side", "key"), "lines-halves")
-    quarters = shared_only(quarter_keys(first)).distinct()
-    second = first.select("h1", "h2", "rank", "w", "n").dropDuplicates(["h1", "h2"]).join(quarters, ["h1", "h2"])
-    variants = materialize(variant_keys(second).distinct(), "lines-variants")
+    halves = materialize(shared_halves(lines), "lines-halves")
+    chosen = lines.select("h1", "h2", "rank", "n").join(halves.select("h1", "h2").distinct(), ["h1", "h2"])
+    # a row that repeats id and text brings its lines twice
+    texts = materialize(with_words(chosen, docs).dropDuplicates(["h1", "h2"]), "lines-words")
+    quarters = materialize(shared_only(quarter_keys(texts.join(halves, ["h1", "h2"]))).distinct(), "lines-quarters")
+    variants = materialize(variant_keys(texts.join(quarters, ["h1", "h2"])).distinct(), "lines-variants")
     groups = variants.groupBy("variant").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").select("variant", "first")
-    pairs = variants.join(groups, "variant").filter("rank <> first").groupBy("h1", "h2").agg(F.collect_set("first").alias("firsts")).select("h1", "h2", F.explode("firsts").alias("first"))
-    texts = first.select("h1", "h2", "rank", "w").dropDuplicates(["h1", "h2"])
-    both = pairs.join(texts.select("h1", "h2", "w"), ["h1", "h2"]).join(texts.select(F.col("rank").alias("first"), F.col("w").alias("v")), "first")
+    pairs = variants.join(groups, "variant").filter("rank <> first").select("h1", "h2", "first").distinct()
+    w = F.split("line", " ")
+    both = pairs.join(texts.select("h1", "h2", w.alias("w")), ["h1", "h2"]).join(texts.select(F.col("rank").alias("first"), w.alias("v")), "first")
     return both.filter(within_one_edit(F.col("w"), F.col("v"))).groupBy("h1", "h2").agg(F.min("first").alias("near"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """id, th and kept: the places of the lines with words that stay, of docs (id, th, text)."""
-    lines = distinct_lines(docs)
-    stay = lines.select("h1", "h2", "rank").join(near_copies(lines), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("rank.id").alias("id"), F.col("rank.th").alias("th")).agg(F.sort_array(F.collect_list("rank.no")).alias("kept"))
+    lines = materialize(distinct_lines(docs), "lines")
+    stay = lines.select("h1", "h2", "rank").join(near_copies(lines, docs), ["h1", "h2"], "left_anti")
+    return stay.groupBy(F.col("rank.id").alias("id"), F.col("rank.th").alias("th")).agg(F.collect_list("rank.no").alias("kept"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "clean_text") -> DataFrame:
@@ -156,8 +180,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col
     text = whole_text(text_col)
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     kept = kept_lines(keyed.select("id", "th", "text"))
-    other = [F.coalesce("id", F.lit(0)).alias("i"), F.col("id").isNull().alias("z"), "th"]
-    joined = keyed.select(*other, "row", "text").join(kept.select(*other, "kept"), ["i", "z", "th"], "left")
+    joined = keyed.select(*document_key(keyed), "row", "text").join(kept.select(*document_key(kept), "kept"), ["i", "z", "th"], "left")
     lines = joined.select("row", F.split("text", "\n").alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = lambda x: ~x.rlike("[^\\x20\\x09-\\x0D]")
     stays = F.map_from_arrays("kept", "kept")

@@ -42,6 +42,12 @@ def test_token_files(spark):
     order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
     assert order == sorted(order)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
+    rng, (cache, _) = random.Random(6), token_files.byte_level_encoder(path)
+    alphabet = "aabc  \n\t\x1c\x85\u2003'sdé你1.,!"
+    for _ in range(200):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(20)]
+        flat, counts = cache.lookup_texts(texts, token_files.PIECES.findall)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
     store = token_files.TokenStore(manifest.collect())
     assert store.get(11).tolist() == dict(ids)[11] and store.get(None).tolist() == dict(ids)[None] and store.get(999) is None and store.get(4) is None
     assert token_files.read_tokens(token_files.write_tokens(docs.limit(0), path, 2, shared_dir(spark, "test"))).count() == 0

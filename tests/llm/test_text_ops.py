@@ -147,13 +147,16 @@ def test_bpe_equals_tiktoken(spark, docs, none):
     assert all(bytes(r.decoded) == texts[r.doc_id] for r in rows)
     assert bpe.encode(none, path, P.PATTERN).count() == 0
     rng = random.Random(7)
-    encoder = bpe.piece_encoder(path, P.PATTERN)
+    encoder, split = bpe.piece_encoder(path, P.PATTERN)
     alphabet = "aabbcdeE éß你 \n\t  \x1c\x85'sl19.,!😀"
     for _ in range(3000):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
-        assert encoder.lookup(bpe.PIECES.findall(t))[0].tolist() == theirs.encode_ordinary(t), repr(t)
+        assert encoder.lookup(split(t))[0].tolist() == theirs.encode_ordinary(t), repr(t)
+    for _ in range(500):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+        assert [m for c in bpe.PIECES.findall(t) for m in split(c)] == split(t), repr(t)
     long = "".join(rng.choice("abcdé") for _ in range(2000))
-    assert encoder.lookup([long])[0].tolist() == theirs.encode_ordinary(long)
+    assert encoder.lookup(split(long))[0].tolist() == theirs.encode_ordinary(long)
 
 
 def test_packing_equals_tokenizers(spark, docs, none):
@@ -182,6 +185,11 @@ def test_packing_equals_tokenizers(spark, docs, none):
             at += r.length
         assert at <= 2048
     assert packing.pack(none, path).count() == 0
+    rng, cache = random.Random(9), packing.word_encoder(path)
+    alphabet = "aHKI\u0331\u0301ßİΣσé \t\n\x01\x1c\x85\u2003'sT9.*,"
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
+        assert cache.lookup(packing.chunks(t))[0].tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_best_fit_is_best_fit():
