@@ -113,18 +113,27 @@ class WordVectors:
             at = list(map(self.rows.get, words))
         return np.array(at, np.int64)
 
-    def pool(self, text: bytes) -> np.ndarray:
-        """Mean of the words' vectors, its norm, and the logarithm of their number; zeros without words."""
-        words = text.split()
-        out = np.zeros(DIMENSIONS + 2, np.float32)
-        if words:
-            total = np.zeros(DIMENSIONS, np.float64)
-            for lo in range(0, len(words), 4096):
-                rows = self._find(words[lo : lo + 4096])  # may replace the matrix
-                total += self.matrix[rows].sum(0)
-            mean = total / len(words)
-            out[:DIMENSIONS], out[-2], out[-1] = mean, np.linalg.norm(mean), np.log1p(len(words)) / 8
-        return out
+    def pool(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the mean of its words' vectors, its norm, and the logarithm of their number; zeros without words."""
+        split = [t.split() for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        sums = np.zeros((len(texts), DIMENSIONS), np.float64)
+        lo = 0
+        while lo < len(texts):  # some texts, or a part of a long one, at a time
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(n[lo:]), 65_536, side="right")) + lo)
+            if hi > lo + 1 or n[lo] <= 65_536:
+                rows = self._find([w for s in split[lo:hi] for w in s])
+                full = np.flatnonzero(n[lo:hi])
+                if len(full):
+                    starts = (np.cumsum(n[lo:hi]) - n[lo:hi])[full]
+                    sums[lo + full] = np.add.reduceat(self.matrix[rows], starts, axis=0)
+            else:
+                for at in range(0, int(n[lo]), 65_536):
+                    rows = self._find(split[lo][at : at + 65_536])
+                    sums[lo] += self.matrix[rows].sum(0)
+            lo = hi
+        mean = sums / np.maximum(n, 1)[:, None]
+        return np.column_stack([mean, np.linalg.norm(mean, axis=1), np.log1p(n) / 8])
 
 
 class Network:
@@ -208,11 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     found = texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "label").collect()
     found.sort(key=lambda r: (r["doc_id"], r["t"]))
     raw = [r["text"].encode("utf-8", "replace") for r in found]
+    ids, known = np.array([r["doc_id"] for r in found], np.int64).view(np.uint64), np.array([r["label"] for r in found])
+    del found
     vectors = WordVectors.fit(raw)
-    x = np.stack([vectors.pool(t) for t in raw])
+    x = np.concatenate([vectors.pool(raw[lo : lo + 64]) for lo in range(0, len(raw), 64)])  # few texts are held as words at a time
     vectors._reset()
-    ids = np.array([r["doc_id"] for r in found], np.int64).view(np.uint64)
-    return vectors, Network.fit(x, np.array([r["label"] for r in found]), mix64(ids + np.uint64(77)) % np.uint64(5) == 0)
+    return vectors, Network.fit(x, known, mix64(ids + np.uint64(77)) % np.uint64(5) == 0)
 
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -231,7 +241,7 @@ def score(docs: DataFrame, model: tuple[WordVectors, Network], text_col: str = "
         vectors, network = sent.value
 
         def compute(texts: list[str]) -> list:
-            s = np.round(network.scores(np.stack([vectors.pool(t.encode("utf-8", "replace")) for t in texts]).astype(np.float64)), 9)
+            s = np.round(network.scores(vectors.pool([t.encode("utf-8", "replace") for t in texts])), 9)
             return [s, (s >= 0.5).astype(np.int32)]
 
         return compute
