@@ -142,7 +142,7 @@ class PieceCache:
     encode(list of pieces) gives one integer array per piece, or all ids in a
     row and how many each piece has. Text repeats its
     words, so most pieces cost one dictionary lookup. The limit bounds memory
-    only: pieces not used for a while are dropped, and encoded again if needed.
+    only: a piece that was dropped is encoded again.
     """
 
     def __init__(self, encode: Callable[[list], list[np.ndarray]], limit: int = 300_000):
@@ -150,21 +150,11 @@ class PieceCache:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict = {}  # pieces used since the last turn
-        self.older: dict = {}  # and before it
+        self.rows: dict = {}
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
         self.flat = np.zeros(4096, dtype=np.int32)
-        self.count = self.used = 0
-
-    def _turn(self) -> None:
-        """Forget the pieces that were not used since the last turn."""
-        at = np.fromiter(self.rows.values(), np.int64, len(self.rows))
-        starts, lengths = self.starts[at], self.lengths[at]
-        self.flat = self.flat[ragged_positions(starts, lengths)]
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.older, self.rows = dict(zip(self.rows, range(len(at)), strict=True)), {}
-        self.count, self.used = len(at), len(self.flat)
+        self.used = 0
 
     def lookup_texts(self, texts: list, split: Callable) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has. split(text) gives its pieces."""
@@ -186,19 +176,13 @@ class PieceCache:
 
     def lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each piece has."""
-        if len(self.rows) > self.limit // 2:
-            self._turn()
         at = list(map(self.rows.get, pieces))
         missing = [i for i, row in enumerate(at) if row is None]
         if missing:
-            new = dict.fromkeys([pieces[i] for i in missing])
-            if self.older:
-                for p in new:
-                    if (row := self.older.pop(p, None)) is not None:
-                        self.rows[p] = row
-                new = [p for p in new if p not in self.rows]
-            else:
-                new = list(new)
+            if len(self.rows) > self.limit:
+                self.clear()
+                missing = range(len(pieces))
+            new = list(dict.fromkeys([pieces[i] for i in missing]))
             for lo in range(0, len(new), 50_000):
                 some = new[lo : lo + 50_000]
                 made = self.encode(some)
@@ -206,13 +190,12 @@ class PieceCache:
                     flat, sizes = made
                 else:
                     flat, sizes = np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made))
-                n, total = self.count, len(flat)
+                n, total = len(self.rows), len(flat)
                 self._room(n + len(some), self.used + total)
                 self.starts[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
                 self.lengths[n : n + len(some)] = sizes
                 self.flat[self.used : self.used + total] = flat
                 self.used += total
-                self.count += len(some)
                 self.rows.update(zip(some, range(n, n + len(some)), strict=True))
             for i, row in zip(missing, map(self.rows.__getitem__, [pieces[i] for i in missing]), strict=True):
                 at[i] = row

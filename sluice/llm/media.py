@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, table
+from .common import map_texts, table, text_slices
 
 #: 8-bit samples a second, bytes in a frame, frames in a chunk. The first frame of a chunk is a keyframe.
 RATE, FRAME, CHUNK = 8000, 4096, 8
@@ -231,9 +231,7 @@ def probe_media(df: DataFrame, media_col: str = "media", digest: bool = False) -
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in text_slices(whole, len(keep))):
             rows = []
             for cell in batch.column(len(keep)):
                 data = None if not cell.is_valid else cell.as_buffer()

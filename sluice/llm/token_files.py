@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PIECES
-from .common import PieceCache, mix64, shared_dir, table, whole_text
+from .common import PieceCache, mix64, shared_dir, table, text_slices, whole_text
 
 MAGIC = b"SLTOKEN1"
+_WHITE = set("\t\n\x0b\x0c\r ")
 #: Bits of a level for each key that is left; levels at most.
 GAMMA, LEVELS = 2.0, 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -181,10 +182,37 @@ def byte_level_encoder(path: str) -> tuple[PieceCache, int]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def encode(pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return PieceCache(encode), tokenizer.get_vocab_size()
+    vocabulary = tokenizer.get_vocab()
+    size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: a character of its name stands for each
+    for name, i in vocabulary.items():
+        size[i] = len(name)
+
+    def ids(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # pieces that begin with white space and do not end with it are encoded in a row, and cut apart by their bytes
+        flat: list = [None] * len(pieces)
+        alone = [i for i, p in enumerate(pieces) if p[0] not in _WHITE or p[-1] in _WHITE]
+        apart = set(alone)
+        row = [i for i in range(len(pieces)) if i not in apart]
+        for lo in range(0, len(row), 2048):
+            some = row[lo : lo + 2048]
+            found = np.array(ids(["".join([pieces[i] for i in some])])[0], np.int32)
+            ends = np.cumsum(size[found])
+            want = np.cumsum([len(pieces[i].encode("utf-8", "replace")) for i in some])
+            at = np.searchsorted(ends, want)
+            if len(at) and at[-1] < len(ends) and (ends[at] == want).all():
+                cuts = (at + 1).tolist()
+                for i, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True):
+                    flat[i] = found[a:b]
+            else:
+                alone += some
+        for i, x in zip(alone, ids([pieces[i] for i in alone]), strict=True):
+            flat[i] = np.array(x, np.int32)
+        return np.concatenate(flat), np.fromiter(map(len, flat), np.int64, len(flat))
+
+    return PieceCache(encode, limit=700_000), tokenizer.get_vocab_size()
 
 
 MANIFEST = T.StructType(
@@ -223,30 +251,24 @@ def write_tokens(df: DataFrame, path: str, end_id: int, folder: str, id_col: str
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         cache, vocabulary = byte_level_encoder(path)
         item = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
-        end = np.array([end_id], f"<u{item}")
         shard = TaskContext.get().partitionId()
         filesystem, root = pafs.FileSystem.from_uri(folder)
         name = f"shard-{shard:08d}-{uuid.uuid4().hex[:12]}"
         ids, nulls, lengths = [], [], []
         out = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             if out is None:
                 filesystem.create_dir(root, recursive=True)
                 out = filesystem.open_output_stream(f"{root}/{name}.bin")
-            parts = []
-            for text in batch.column(1).to_pylist():
-                found, _ = cache.lookup(PIECES.findall(text))
-                parts += [found.astype(f"<u{item}"), end]
-                lengths.append(len(found) + 1)
-            out.write(np.concatenate(parts).tobytes())
+            flat, counts = cache.lookup_texts(batch.column(1).to_pylist(), PIECES.findall)
+            lengths.append(counts + 1)
+            out.write(np.insert(flat, np.cumsum(counts), end_id).astype(f"<u{item}").tobytes())
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         if out is None:
             return
         out.close()
-        ids, nulls, lengths = np.concatenate(ids), np.concatenate(nulls), np.array(lengths, np.int64)
+        ids, nulls, lengths = np.concatenate(ids), np.concatenate(nulls), np.concatenate(lengths)
         new = np.append(True, (ids[1:] != ids[:-1]) | (nulls[1:] != nulls[:-1]))
         at = np.arange(len(ids))
         copy = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint32)
