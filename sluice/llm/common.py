@@ -54,7 +54,17 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._sluice_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._sluice_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, whole_text
+from .common import forget, materialize, table, whole_text
 
 MIN_WORDS = 10
 #: Words in a block whose hash stands for it when parts of long lines are hashed.
@@ -153,14 +153,18 @@ def near_copies(lines: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = variants.join(groups, "variant").filter("rank <> first").select("h1", "h2", "first").distinct()
     w = F.split("line", " ")
     both = pairs.join(texts.select("h1", "h2", w.alias("w")), ["h1", "h2"]).join(texts.select(F.col("rank").alias("first"), w.alias("v")), "first")
-    return both.filter(within_one_edit(F.col("w"), F.col("v"))).groupBy("h1", "h2").agg(F.min("first").alias("near"))
+    near = materialize(both.filter(within_one_edit(F.col("w"), F.col("v"))).groupBy("h1", "h2").agg(F.min("first").alias("near")), "lines-near")
+    forget(halves, texts, quarters, variants)
+    return near
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """id, th and kept: the places of the lines with words that stay, of docs (id, th, text)."""
     lines = materialize(distinct_lines(docs), "lines")
     stay = lines.select("h1", "h2", "rank").join(near_copies(lines, docs), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("rank.id").alias("id"), F.col("rank.th").alias("th")).agg(F.collect_list("rank.no").alias("kept"))
+    kept = materialize(stay.groupBy(F.col("rank.id").alias("id"), F.col("rank.th").alias("th")).agg(F.collect_list("rank.no").alias("kept")), "lines-kept")
+    forget(lines)
+    return kept
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "clean_text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, ragged_positions, table, text_slices, whole_text
+from .common import forget, materialize, mix64, ragged_positions, table, text_slices, whole_text
 
 LENGTH, GRAM = 200, 100
 #: Bytes that are hashed at a time; positions in a chunk take 20 bits.
@@ -318,7 +318,7 @@ def _compare(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_GROUP) -> DataFrame:
-    """Runs [lo, hi] of first bytes of repeated strings, by the keys (id, th) of docs (id, th, text).
+    """Runs [lo, hi] of first bytes of repeated strings, as two lists for each key (id, th) of docs (id, th, text) that has any.
 
     Three shuffles besides joins with the texts: entries by anchor; runs of
     bytes that share an anchor; and, for anchors with more than `large`
@@ -333,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     taken = F.substring(F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + length).cast("int"))
     runs = unclear.join(docs, ["id", "th"]).select("kind", "core", "id", "th", "lo", "many", taken.alias("bytes"))
     small = runs.filter(F.col("kind") == PROBE).drop("kind").repartition(n, "core").mapInArrow(_compare(length), SPAN)
-    out = covered.unionByName(small)
+    out, done = covered.unionByName(small), [matched]
     if matched.filter(F.col("kind") == LARGE).limit(1).count():
         window = T.StructType([*SPAN.fields[:3], T.StructField("key", T.LongType()), T.StructField("many", T.BooleanType())])
 
@@ -343,10 +343,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
                 for owner, at, key in _windows(batch, length):
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[owner], hashes[owner], first[owner] + at, key.view(np.int64), many[owner])], names=window.names)
 
-        dealt = materialize(runs.filter(F.col("kind") == LARGE).drop("kind").mapInArrow(single, window), "windows")
+        done.append(dealt := materialize(runs.filter(F.col("kind") == LARGE).drop("kind").mapInArrow(single, window), "windows"))
         twice = dealt.groupBy("key").count().filter("count > 1").select("key")
         out = out.unionByName(dealt.filter(~F.col("many")).join(twice, "key").select("id", "th", "lo", F.col("lo").alias("hi")))
-    return out
+    spans = materialize(out.groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
+    forget(*done)
+    return spans
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("clean_text", T.StringType())])
@@ -390,7 +392,7 @@ def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LA
     text = whole_text(text_col)
     keyed = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     docs = keyed.select("id", "th", "text")
-    spans = repeated_spans(docs, length, gram, large).groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    spans = repeated_spans(docs, length, gram, large)
     joined = keyed.join(spans, ["id", "th"], "left").select(*[f"k{i}" for i in range(len(keep))], "text", "lo", "hi")
     fields = RESULT.fields if with_text else RESULT.fields[:-1]
     schema = T.StructType([T.StructField(c, joined.schema[i].dataType) for i, c in enumerate(keep)] + fields)
