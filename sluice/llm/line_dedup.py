@@ -29,7 +29,8 @@ BLOCK = 32
 
 def words_text(line: Column) -> Column:
     """The words of a line (what ASCII white space separates) between single blanks."""
-    x = F.translate(line, "\t\x0b\x0c\r", "    ")
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    x = F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)  # translate goes character by character
     return F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, "  +", " ")).otherwise(x))
 
 
