@@ -156,12 +156,27 @@ class Shard:
             return np.frombuffer(f.read_at(count * self.item, first * self.item), f"<u{self.item}")
 
 
+def first_copies(rows: list) -> list[int]:
+    """For each shard, in order, how many copies of its first id the shards before it hold."""
+    out, before = [], None
+    for r in rows:
+        first, last = ((r["first_null"], r["first_id"]), (r["last_null"], r["last_id"]))
+        out.append(before[1] if before and before[0] == first else 0)
+        before = (last, r["last_copy"] + 1 + (out[-1] if first == last else 0))
+    return out
+
+
 class TokenStore:
-    """Keyed access to a written folder: get(doc_id, copy) reads one document's ids, or None."""
+    """Keyed access to a written folder: get(doc_id, copy) reads one document's ids, or None.
+
+    An index counts copies within its shard; copy is the number among all shards.
+    """
 
     def __init__(self, manifest: list):
         self.rows = sorted(manifest, key=lambda r: r["shard"])
-        self.last = [(r["last_null"] == 0, r["last_id"], r["last_copy"]) for r in self.rows]
+        self.before = first_copies(self.rows)
+        one = [(r["first_null"], r["first_id"]) == (r["last_null"], r["last_id"]) for r in self.rows]
+        self.last = [(r["last_null"] == 0, r["last_id"], r["last_copy"] + n * o) for r, n, o in zip(self.rows, self.before, one, strict=True)]
         self.open = lru_cache(maxsize=64)(lambda i: Shard(*pafs.FileSystem.from_uri(self.rows[i]["base"])))
 
     def get(self, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
@@ -169,6 +184,8 @@ class TokenStore:
         if i == len(self.rows):
             return None
         shard = self.open(i)
+        if (self.rows[i]["first_null"] == 1, self.rows[i]["first_id"]) == (doc_id is None, doc_id or 0):
+            copy -= self.before[i]
         key = key_hash(np.array([doc_id or 0], np.int64), np.array([doc_id is None]), np.array([copy], np.uint32))
         first, count = shard.locate(key)
         return shard.read(int(first[0]), int(count[0])) if first[0] >= 0 else None
@@ -221,6 +238,8 @@ MANIFEST = T.StructType(
         T.StructField("base", T.StringType()),
         T.StructField("n_docs", T.LongType()),
         T.StructField("n_ids", T.LongType()),
+        T.StructField("first_id", T.LongType()),
+        T.StructField("first_null", T.LongType()),
         T.StructField("last_id", T.LongType()),
         T.StructField("last_null", T.LongType()),
         T.StructField("last_copy", T.LongType()),
@@ -274,7 +293,7 @@ def write_tokens(df: DataFrame, path: str, end_id: int, folder: str, id_col: str
         copy = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint32)
         with filesystem.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(index_bytes(ids, nulls, copy, lengths, item))
-        row = [shard, f"{folder}/{name}", len(ids), int(lengths.sum()), int(ids[-1]), int(nulls[-1]), int(copy[-1])]
+        row = [shard, f"{folder}/{name}", len(ids), int(lengths.sum()), int(ids[0]), int(nulls[0]), int(ids[-1]), int(nulls[-1]), int(copy[-1])]
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=MANIFEST.names)
 
     manifest = f"{folder}/manifest"
@@ -286,26 +305,27 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """Every document of a written folder, found through the index and read from its place.
 
     doc_id, copy, start (ids of all documents before it), n_tokens, ids_crc32
-    (of the ids as unsigned little-endian 32-bit integers). copy counts within a shard.
+    (of the ids as unsigned little-endian 32-bit integers). copy counts among all shards.
     """
     spark = manifest.sparkSession
     rows = sorted(manifest.collect(), key=lambda r: r["shard"])  # one small row per shard
     starts = np.cumsum([0, *[r["n_ids"] for r in rows]]).tolist()
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "copy", "start", "n_tokens", "ids_crc32")])
-    todo = spark.createDataFrame([(r["base"], s) for r, s in zip(rows, starts, strict=False)], "base string, start long")
+    todo = spark.createDataFrame([(r["base"], s, n) for r, s, n in zip(rows, starts, first_copies(rows), strict=False)], "base string, start long, before long")
     if rows:
         todo = todo.repartition(len(rows))
 
     def run(batches):
         for batch in batches:
-            for base, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for base, start, before in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 shard = Shard(*pafs.FileSystem.from_uri(base))
                 first, count = shard.locate(key_hash(shard.ids, shard.null, shard.copy))
                 if (first < 0).any():
                     raise ValueError(f"{base}: a document is not in its index")
                 payload = shard.payload()
                 crc = [zlib.crc32(payload[a : a + n].astype("<u4").tobytes()) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-                columns = [pa.array(shard.ids, mask=shard.null), *[pa.array(np.asarray(x, np.int64)) for x in (shard.copy, start + first, count, crc)]]
+                copy = shard.copy + before * ((shard.ids == shard.ids[0]) & (shard.null == shard.null[0]))
+                columns = [pa.array(shard.ids, mask=shard.null), *[pa.array(np.asarray(x, np.int64)) for x in (copy, start + first, count, crc)]]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return todo.mapInArrow(run, schema)

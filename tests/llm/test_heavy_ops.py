@@ -53,6 +53,20 @@ def test_token_files(spark):
     assert token_files.read_tokens(token_files.write_tokens(docs.limit(0), path, 2, shared_dir(spark, "test"))).count() == 0
 
 
+def test_copies_of_an_id_that_spans_shards(spark):
+    import public_tokenizers as P
+
+    texts = [f"text {i} " + "word " * (i % 7) for i in range(300)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(i, "other") for i in (1, 2, 8, 9)] + [(None, f"none {i}") for i in range(100)], "doc_id long, text string")
+    manifest = token_files.write_tokens(docs, P.path("byte_bpe_50k.json"), 2, shared_dir(spark, "test"), shards=6)
+    store = token_files.TokenStore(manifest.collect())
+    read = {(r.doc_id, r.copy): r.ids_crc32 for r in token_files.read_tokens(manifest).collect()}
+    assert sorted(c for i, c in read if i == 7) == list(range(300)) and sorted(c for i, c in read if i is None) == list(range(100))
+    assert {k: zlib.crc32(store.get(*k).astype("<u4").tobytes()) for k in read} == read
+    assert len({store.get(7, c).tobytes() for c in range(300)}) == 300
+    assert store.get(7, 300) is None and store.get(None, 100) is None and store.get(8, 1) is None
+
+
 def test_classifier(spark, sf):
     docs = spark.read.parquet(f"{sf.rpartition(chr(47))[0]}/sf0.1/documents.parquet")
     labels = spark.read.parquet(f"{sf.rpartition(chr(47))[0]}/sf0.1/labels.parquet")
