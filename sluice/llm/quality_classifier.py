@@ -196,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     """Fit on at most max_rows labelled documents of at most max_bytes in all, whole texts.
 
     The sample is the rows of the least xxhash64(doc_id), the same at any
-    partitioning. Null labels, null ids and held-out rows are left out; if
+    partitioning; one that does not fit in max_bytes any more is left out, or is
+    the sample if none fits. Null labels, null ids and held-out rows are left out; if
     labels repeat an id, its greatest label counts. Without labels of both
     kinds every score is their share (0.5 without any).
     """
@@ -207,10 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     rows = sized.orderBy(*order).limit(max_rows).collect()
     total, chosen = 0, []
     for r in rows:
+        if total + r["size"] > max_bytes:
+            continue
         total += r["size"]
-        if total > max_bytes and chosen:
-            break
         chosen.append((r["doc_id"], r["t"], r["label"]))
+    if rows and not chosen:
+        chosen = [(rows[0]["doc_id"], rows[0]["t"], rows[0]["label"])]
     if not chosen:
         return WordVectors.fit([]), Network()
     picked = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), "doc_id long, t long, label int")

@@ -80,6 +80,16 @@ def test_classifier(spark, sf):
     assert {r.score for r in quality_classifier.score(docs.limit(3), none).collect()} == {0.5}
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    ids = spark.range(200).filter(~quality_classifier.held_out(F.col("id"))).orderBy(F.xxhash64("id")).toPandas()["id"].tolist()
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    words = ["spam offer click", "river letter harbour"]
+    for long in (0, 2):
+        docs = spark.createDataFrame([(i, "long " * 9000 if k == long else f"{words[i % 2]} " * 5) for k, i in enumerate(ids)], "doc_id long, text string")
+        found = quality_classifier.score(docs, quality_classifier.fit(docs, labels, max_bytes=40_000)).collect()
+        assert all(r.predicted == r.doc_id % 2 for r in found if not r.text.startswith("long"))
+
+
 def test_labels_of_held_out_rows_and_metadata_do_not_matter(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
