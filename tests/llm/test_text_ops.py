@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -123,14 +124,72 @@ def test_media_sample_tables(n):
 
 
 def test_media_large_offsets_and_open_box():
-    data = media.mux(bytes(range(64)))
-    at = data.index(b"stco") - 4
+    payload = random.Random(1).randbytes(70_000)
+    data = media.mux(payload, wide=True)
     kinds = [p[-1] for p, _, _ in media.walk(data, 0, len(data))]
-    assert kinds[0] == b"ftyp" and kinds[-1] == b"mdat" and at > 0
+    assert kinds[0] == b"ftyp" and kinds[-1] == b"mdat" and b"co64" in kinds and b"stco" not in kinds
+    assert media.demux(data) == payload and media.probe(data)[3][0] == (data.index(payload), 4096)
+    data = media.mux(bytes(range(64)))
     last = data.rindex(b"mdat") - 4
     assert media.demux(data[:last] + bytes(4) + data[last + 4 :]) == bytes(range(64))  # size 0: to the end
 
 
+def fragmented(payload, sizes):
+    """A movie without samples of its own, and two fragments of payload; every third sample is a keyframe."""
+    full, box = media._full, media._box
+    tables = b"".join(full(k, bytes(4)) for k in (b"stts", b"stsc", b"stco")) + full(b"stsz", bytes(8))
+    stsd = full(b"stsd", struct.pack(">I", 1), box(b"raw ", bytes(28)))
+    mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(68)), box(b"mdia", mdhd, box(b"minf", box(b"stbl", stsd, tables))))
+    out = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 0, media.NO_SYNC))))
+    done = 0
+    for part in (sizes[:4], sizes[4:]):
+        rows = b"".join(struct.pack(">II", n, 0 if (done + i) % 3 == 0 else media.NO_SYNC) for i, n in enumerate(part))
+        moof = lambda at: box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"trun", struct.pack(">Ii", len(part), at), rows, flags=0x601)))  # noqa: B023, E731
+        size, before = sum(part), sum(sizes[:done])
+        out += moof(len(moof(0)) + 8) + box(b"mdat", payload[before : before + size])
+        done += len(part)
+    return out
+
+
+def test_media_fragments():
+    rng = random.Random(4)
+    sizes = [rng.randrange(1, 900) for _ in range(9)]
+    payload = rng.randbytes(sum(sizes))
+    data = fragmented(payload, sizes)
+    codec, ms, samples, keys, error = media.probe(data)
+    assert (codec, ms, samples, error) == ("raw", 9 * 40, 9, None) and media.demux(data) == payload
+    assert [data[a : a + n] for a, n in keys] == [payload[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in (0, 3, 6)]
+
+
+def test_media_that_does_not_hold_together(spark):
+    """Each gives a reason, none an error: the digests are asked for too."""
+    good = media.mux(bytes(range(256)) * 40)
+
+    def forged(kind, at, value, width=">I"):
+        out, where = bytearray(good), good.index(kind) + 4 + at
+        struct.pack_into(width, out, where, value)
+        return out
+
+    nested = b"free"
+    for _ in range(1500):
+        nested = media._box(b"moov", nested)
+    cases = [
+        forged(b"stco", 8, len(good) - 10), forged(b"stco", 8, 2**32 - 1), forged(b"stsz", 8, 2**32 - 1), forged(b"stsz", 4, 5), forged(b"stsc", 12, 2**32 - 1), forged(b"stsc", 8, 2**32 - 1), forged(b"stsc", 8, 0),
+        forged(b"stss", 8, 77), forged(b"stts", 4, 2**31), bytearray(nested), bytearray(good[: len(good) // 2]), bytearray(b""), bytearray(b"\0\0\0\1moov"),
+    ]
+    wide = bytearray(media.mux(bytes(64), wide=True))
+    struct.pack_into(">Q", wide, wide.index(b"co64") + 12, 2**64 - 1)
+    huge = bytearray(fragmented(bytes(90), [10] * 9))
+    struct.pack_into(">I", huge, huge.index(b"trun") + 8, 2**32 - 1)
+    rows = media.probe_media(spark.createDataFrame(list(enumerate([*cases, wide, huge])), "doc_id long, media binary"), digest=True).collect()
+    whole = {3, 4}  # samples of 5 bytes, and more samples a chunk than there are: all still have a place
+    assert {r.doc_id for r in rows if r.media_error is None} == whole and all(r.codec is None and r.payload_sha256 is None for r in rows if r.media_error)
+    empty = bytearray(fragmented(b"", [])[: fragmented(b"", []).index(b"moof") - 4])
+    (r,) = media.probe_media(spark.createDataFrame([(1, empty, "x")], "doc_id long, media binary, feature string"), digest=True).collect()
+    assert (r.n_samples, r.keyframes, r.payload_bytes, r.tail_crc32, r.media_error) == (0, [], 0, 0, None) and "0 keyframes" in r.feature
+
+
 def test_bpe_equals_tiktoken(spark, docs, none):
     import base64
 
@@ -147,7 +206,7 @@ def test_bpe_equals_tiktoken(spark, docs, none):
     assert all(bytes(r.decoded) == texts[r.doc_id] for r in rows)
     assert bpe.encode(none, path, P.PATTERN).count() == 0
     rng = random.Random(7)
-    encoder, split = bpe.piece_encoder(path, P.PATTERN)
+    encoder, split, _ = bpe.piece_encoder(path, P.PATTERN)
     alphabet = "aabbcdeE éß你 \n\t  \x1c\x85'sl19.,!😀"
     for _ in range(3000):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
@@ -155,8 +214,20 @@ def test_bpe_equals_tiktoken(spark, docs, none):
     for _ in range(500):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
         assert [m for c in bpe.PIECES.findall(t) for m in split(c)] == split(t), repr(t)
-    long = "".join(rng.choice("abcdé") for _ in range(2000))
-    assert encoder.lookup(split(long))[0].tolist() == theirs.encode_ordinary(long)
+    for letters in ("abcdé", "a", "ab", "aab", "eintrs", "0aZ/+", "你好世界"):
+        for n in (257, 300, 2000, 20_000):
+            long = "".join(rng.choice(letters) for _ in range(n))
+            assert encoder.lookup(split(long))[0].tolist() == theirs.encode_ordinary(long), (letters, n)
+    digests = bpe.round_trip(docs.withColumn("n_tokens", docs.text), path, P.PATTERN, keep=["doc_id", "n_tokens"]).collect()
+    plain = Counter((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(texts[i]).hexdigest()) for i, x in want.elements())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests) == plain
+    assert bpe.round_trip(none, path, P.PATTERN).count() == 0
+    cache = bpe.PieceCache(lambda pieces: encoder.encode(pieces), limit=1 << 20)
+    for _ in range(40):
+        cache.lookup(["".join(rng.choice(alphabet) for _ in range(5000)) for _ in range(10)])
+        assert cache.held + 4 * cache.used < 2 << 20
+    with pytest.raises(Exception, match="outside of the vocabulary"):
+        bpe.decode(spark.createDataFrame([([99_999_999],)], "ids array<int>"), path).collect()
 
 
 def test_packing_equals_tokenizers(spark, docs, none):
