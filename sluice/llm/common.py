@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,11 +31,14 @@ def whole_text(column: str) -> Column:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared one (spark.checkpoint.dir).
 
-    Only a session that names none, as in tests on one machine, gets a folder
-    of its own.
+    Only a session on one machine (master local) that names none, as in tests,
+    gets a folder of its own; on a cluster that is an error, for no other
+    folder is known to be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -146,16 +150,30 @@ def ragged_positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+_kept: dict = {}
+
+
+def only(key: tuple, make: Callable = lambda: None):
+    """What make() returns, kept in this Python worker."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 class PieceCache:
-    """Ids of text pieces, kept for as long as at most `limit` pieces are known.
+    """Ids of text pieces, kept until they take about `limit` bytes.
 
     encode(list of pieces) gives one integer array per piece, or all ids in a
     row and how many each piece has. Text repeats its
     words, so most pieces cost one dictionary lookup. The limit bounds memory
-    only: a piece that was dropped is encoded again.
+    only: a piece that was dropped is encoded again. What one call asks for may
+    exceed it, so that a call should not bring more than a slice of text.
     """
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]], limit: int = 300_000):
+    #: Bytes that a piece takes besides its own: its object, its entry in the dictionary and two numbers.
+    EACH = 160
+
+    def __init__(self, encode: Callable[[list], list[np.ndarray]], limit: int = 100 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -164,7 +182,7 @@ class PieceCache:
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
         self.flat = np.zeros(4096, dtype=np.int32)
-        self.used = 0
+        self.used = self.held = 0
 
     def lookup_texts(self, texts: list, split: Callable) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has. split(text) gives its pieces."""
@@ -189,7 +207,7 @@ class PieceCache:
         at = list(map(self.rows.get, pieces))
         missing = [i for i, row in enumerate(at) if row is None]
         if missing:
-            if len(self.rows) > self.limit:
+            if self.held + 4 * self.used > self.limit:
                 self.clear()
                 missing = range(len(pieces))
             new = list(dict.fromkeys([pieces[i] for i in missing]))
@@ -206,6 +224,7 @@ class PieceCache:
                 self.lengths[n : n + len(some)] = sizes
                 self.flat[self.used : self.used + total] = flat
                 self.used += total
+                self.held += sum(map(len, some)) + self.EACH * len(some)
                 self.rows.update(zip(some, range(n, n + len(some)), strict=True))
             for i, row in zip(missing, map(self.rows.__getitem__, [pieces[i] for i in missing]), strict=True):
                 at[i] = row

@@ -8,7 +8,6 @@ that still holds it. A segment tree over remaining capacities finds it.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PieceCache, table, text_slices, whole_text
+from .common import PieceCache, only, table, text_slices, whole_text
 
 #: Sequence ids of a task begin at its partition number times this.
 TASK_IDS = 1 << 32
@@ -90,7 +89,6 @@ def chunks(text: str) -> list[bytes]:
     return data.split()
 
 
-@lru_cache(maxsize=4)
 def word_encoder(path: str) -> PieceCache:
     """Ids of chunks by a tokenizer that composes and lowers letters and drops white space."""
     from tokenizers import Tokenizer
@@ -102,7 +100,7 @@ def word_encoder(path: str) -> PieceCache:
         found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
 
-    return PieceCache(encode, limit=1_500_000)
+    return PieceCache(encode, limit=200 << 20)
 
 
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -131,7 +129,7 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: st
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        cache = word_encoder(path)
+        cache = only(("words", path), lambda: word_encoder(path))
         end = np.array([end_id], np.int32)
         first = TaskContext.get().partitionId() * TASK_IDS
         keys: list = []  # Arrow columns of the documents with a rest
