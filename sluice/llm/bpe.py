@@ -9,9 +9,8 @@ table; rows that cannot merge leave and the matrix is compacted.
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PieceCache, map_texts, mix64, table
+from .common import PieceCache, map_texts, mix64, only, table
 
 #: Characters with the property White_Space (fixed values of Unicode).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,7 +28,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: text may be cut before each such run.
 PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 NONE = np.int32(2**31 - 1)
-#: Longer pieces are merged one at a time by a heap: a matrix takes rounds times columns.
+#: Longer pieces get a matrix of one row each, so that padding stays small and a round can merge many places.
 MATRIX_COLUMNS = 256
 
 
@@ -99,7 +98,7 @@ class Bpe:
             if whole is not None:
                 out[i] = np.array([whole], np.int32)
             elif len(p) > MATRIX_COLUMNS:
-                out[i] = self._by_heap(p)
+                out[i] = self._in_one_row(p)
             elif p:
                 buckets.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
             else:
@@ -154,34 +153,33 @@ class Bpe:
             ranks[each, size - 1] = NONE
         return out
 
-    def _by_heap(self, piece: bytes) -> np.ndarray:
-        ids = self.bytes[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = self.ranks.get
-        heap = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (r := rank(self.tokens[ids[i]] + self.tokens[ids[j]])) is not None:
-                heapq.heappush(heap, (r, i, ids[i], j, ids[j]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            r, i, a, j, b = heapq.heappop(heap)
-            if not (alive[i] and ids[i] == a and after[i] == j and j < n and alive[j] and ids[j] == b):
-                continue
-            ids[i], alive[j], after[i] = r, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([t for t, a in zip(ids, alive, strict=True) if a], np.int32)
-
-
-@lru_cache(maxsize=4)
+    def _in_one_row(self, piece: bytes) -> np.ndarray:
+        """The rounds of a matrix of one row; a round merges all places of the least rank that do not affect each other."""
+        ids = self.bytes[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            each = np.arange(len(at))
+            # places in a row overlap: every other one of them merges, from the left
+            begin = np.maximum.accumulate(np.where(np.append(True, np.diff(at) > 1), each, 0))
+            at = at[(each - begin) % 2 == 0]
+            token = np.full(len(at), best, np.int32)
+            right, left = at + 2 < len(ids), at > 0
+            beside = (self.pairs.find(token[right], ids[at[right] + 2]), self.pairs.find(ids[at[left] - 1], token[left]), self.pairs.find(token[:1], token[:1]))
+            if min(x.min(initial=NONE) for x in beside) <= best:
+                at = at[:1]  # what a merge makes would come before the next place
+            ids[at] = best
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids = ids[stays]
+            now = at - np.arange(len(at))
+            ranks = ranks[stays[1:]]  # a pair goes with its right id; pairs beside merged ones are looked up again
+            for where in (now, now - 1):
+                where = where[(where >= 0) & (where < len(ranks))]
+                ranks[where] = self.pairs.find(ids[where], ids[where + 1])
+        return ids
+
+
 def load_ranks(path: str) -> Bpe:
     """A rank file: a line for each token, base64 of its bytes and its rank."""
     with open(path, "rb") as f:
@@ -189,14 +187,13 @@ def load_ranks(path: str) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in pairs})
 
 
-@lru_cache(maxsize=4)
 def piece_encoder(path: str, pattern: str) -> tuple:
-    """Cached ids of pieces, and the function that splits a text into them."""
+    """Cached ids of pieces, the function that splits a text into them, and the bytes of each id."""
     import regex
 
     bpe = load_ranks(path)
-    cache = PieceCache(lambda pieces: bpe.encode_pieces([p.encode("utf-8", "replace") for p in pieces]), limit=500_000)
-    return cache, regex.compile(pattern).findall
+    cache = PieceCache(lambda pieces: bpe.encode_pieces([p.encode("utf-8", "replace") for p in pieces]), limit=100 << 20)
+    return cache, regex.compile(pattern).findall, bpe.tokens
 
 
 def list_array(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -209,12 +206,13 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
     """Add the ids of each whole text: every match of pattern is encoded on its own, no special tokens.
 
     Characters that pattern does not match are left out. Null and empty texts
-    give an empty array. path is read on every executor. No shuffle; columns of keep
+    give an empty array; repeated rows get equal ids; an empty table gives an
+    empty table. path is read on every executor. No shuffle; columns of keep
     (default: all) stay unless named like ids_col.
     """
 
     def make():
-        cache, split = piece_encoder(path, pattern)
+        cache, split, _ = only(("pieces", path, pattern), lambda: piece_encoder(path, pattern))
 
         def compute(texts: list[str]) -> list:
             return [list_array(*cache.lookup_texts(texts, split))]
@@ -233,7 +231,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
     at = names.index(ids_col)
 
     def run(batches):
-        tokens = load_ranks(path).tokens
+        tokens = only(("tokens", path), lambda: load_ranks(path).tokens)
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             ids = batch.column(at)
@@ -250,14 +248,34 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
     return source.mapInArrow(run, schema)
 
 
+ROUND_TRIP = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ROUND_TRIP's columns: encode's ids counted and hashed (in decimal, between commas), and the hash of what they decode to.
+
+    Ids do not leave Python, in which they are encoded and decoded in one pass
+    without a shuffle. Null and empty texts have no ids. Columns of keep
+    (default: all) stay unless named like a new one.
+    """
+
+    def make():
+        cache, split, tokens = only(("pieces", path, pattern), lambda: piece_encoder(path, pattern))
+
+        def compute(texts: list[str]) -> list:
+            flat, counts = cache.lookup_texts(texts, split)
+            ids, ends = flat.tolist(), np.cumsum(counts).tolist()
+            of_text = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            named = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in of_text]
+            return [counts, named, [hashlib.sha256(b"".join(map(tokens.__getitem__, x))).hexdigest() for x in of_text]]
+
+        return compute
+
+    return map_texts(df, text_col, df.columns if keep is None else keep, ROUND_TRIP, make)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
-    return decode(encoded, path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
