@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PIECES
-from .common import PieceCache, mix64, shared_dir, table, text_slices, whole_text
+from .common import SLICE, PieceCache, mix64, only, shared_dir, table, text_slices, whole_text
 
 MAGIC = b"SLTOKEN1"
 _WHITE = set("\t\n\x0b\x0c\r ")
@@ -147,9 +147,18 @@ class Shard:
         first[ok], count[ok] = self.first[slot[ok]], self.count[slot[ok]]
         return first, count
 
-    def payload(self) -> np.ndarray:
+    def documents(self, first: np.ndarray, count: np.ndarray, limit: int = SLICE):
+        """The ids of documents that stand at first, one array each; about `limit` bytes are read at a time."""
         with self.fs.open_input_file(self.base + ".bin") as f:
-            return np.frombuffer(f.read(), f"<u{self.item}")
+            lo = 0
+            while lo < len(first):
+                hi = lo + 1
+                while hi < len(first) and first[hi] == first[hi - 1] + count[hi - 1] and (first[hi] + count[hi] - first[lo]) * self.item <= limit:
+                    hi += 1
+                part = np.frombuffer(f.read_at(int(first[hi - 1] + count[hi - 1] - first[lo]) * self.item, int(first[lo]) * self.item), f"<u{self.item}")
+                for a, n in zip((first[lo:hi] - first[lo]).tolist(), count[lo:hi].tolist(), strict=True):
+                    yield part[a : a + n]
+                lo = hi
 
     def read(self, first: int, count: int) -> np.ndarray:
         with self.fs.open_input_file(self.base + ".bin") as f:
@@ -191,7 +200,6 @@ class TokenStore:
         return shard.read(int(first[0]), int(count[0])) if first[0] >= 0 else None
 
 
-@lru_cache(maxsize=4)
 def byte_level_encoder(path: str) -> tuple[PieceCache, int]:
     """Cached ids of text pieces, and the vocabulary's size."""
     from tokenizers import Tokenizer
@@ -229,7 +237,7 @@ def byte_level_encoder(path: str) -> tuple[PieceCache, int]:
             flat[i] = np.array(x, np.int32)
         return np.concatenate(flat), np.fromiter(map(len, flat), np.int64, len(flat))
 
-    return PieceCache(encode, limit=700_000), tokenizer.get_vocab_size()
+    return PieceCache(encode, limit=128 << 20), tokenizer.get_vocab_size()
 
 
 MANIFEST = T.StructType(
@@ -247,6 +255,16 @@ MANIFEST = T.StructType(
 )
 
 
+#: Bytes of text in a shard, as far as equal (id, text) rows can be parted: bounds its index in memory.
+SHARD_BYTES = 256 << 20
+
+
+def shard_count(docs: DataFrame) -> int:
+    """Shards for docs (text), by their bytes: one aggregation over lengths; spark.sql.shuffle.partitions at least."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+
+
 def write_tokens(df: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Write all documents to folder and return the manifest, one row per shard.
 
@@ -256,19 +274,23 @@ def write_tokens(df: DataFrame, path: str, end_id: int, folder: str, id_col: str
 
     One range shuffle of the texts; a task then streams one shard. Copies of
     one id are dealt to shards by their text's hash, so a repeated id cannot
-    fill a single shard with different texts. Every attempt of a task writes
-    files of its own name; the manifest, committed by Spark, tells which count.
+    fill a single shard with different texts; rows that repeat both are told
+    apart by a number of their own (none of them differs from the others in the
+    output). Shards follow the bytes of text (SHARD_BYTES) unless given. Every
+    attempt of a task writes files of its own name; the manifest, committed by
+    Spark, tells which count.
     """
     spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    source = source.repartitionByRange(shards, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "text").select("id", "text", "h")
+    order = [F.col("id").asc_nulls_first(), "h", "n"]
+    shards = shards or shard_count(source)
+    source = source.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "text").select("id", "text", "h")
 
     def run(batches):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        cache, vocabulary = byte_level_encoder(path)
+        cache, vocabulary = only(("byte level", path), lambda: byte_level_encoder(path))
         item = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         filesystem, root = pafs.FileSystem.from_uri(folder)
@@ -322,8 +344,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 first, count = shard.locate(key_hash(shard.ids, shard.null, shard.copy))
                 if (first < 0).any():
                     raise ValueError(f"{base}: a document is not in its index")
-                payload = shard.payload()
-                crc = [zlib.crc32(payload[a : a + n].astype("<u4").tobytes()) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+                crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.documents(first, count)]
                 copy = shard.copy + before * ((shard.ids == shard.ids[0]) & (shard.null == shard.null[0]))
                 columns = [pa.array(shard.ids, mask=shard.null), *[pa.array(np.asarray(x, np.int64)) for x in (copy, start + first, count, crc)]]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
