@@ -10,6 +10,7 @@ fitted on rows it was not trained on calibrates its probabilities.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import xxhash
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, mix64, table, whole_text
+from .common import map_texts, mix64, only, table, whole_text
 
 #: Size of word vectors; entries of an index vector that are not 0.
 DIMENSIONS, NONZERO = 64, 6
@@ -65,13 +66,6 @@ class WordVectors:
         self.matrix = base_vectors(self.vocabulary) + self.context if self.vocabulary else np.zeros((0, DIMENSIONS), np.float32)
         self.used = len(self.vocabulary)
 
-    def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "context": self.context}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._reset()
-
     @classmethod
     def fit(cls, texts: list[bytes]) -> WordVectors:
         counts: dict[bytes, int] = {}
@@ -198,14 +192,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     The sample is the rows of the least xxhash64(doc_id), the same at any
     partitioning; one that does not fit in max_bytes any more is left out, or is
     the sample if none fits. Null labels, null ids and held-out rows are left out; if
-    labels repeat an id, its greatest label counts. Without labels of both
-    kinds every score is their share (0.5 without any).
+    labels repeat an id, its greatest label counts. Rows that repeat id and
+    text count once, null texts as empty. Without labels of both kinds every
+    score is their share (0.5 without any), as with empty tables.
+
+    Ids are chosen first, from columns without texts; then the sizes of the
+    chosen rows' texts are looked at, then the texts that fit.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     texts = docs.select("doc_id", whole_text("text").alias("text"))
-    order = ["h", "doc_id", "size", "t"]
-    sized = texts.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("t")).join(known, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    rows = sized.orderBy(*order).limit(max_rows).collect()
+    ids = docs.select("doc_id").join(known, "doc_id").select("doc_id", "label", F.xxhash64("doc_id").alias("h")).distinct()
+    ids = docs.sparkSession.createDataFrame(ids.orderBy("h", "doc_id").limit(max_rows).collect(), "doc_id long, label int, h long")
+    sized = texts.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("t")).join(F.broadcast(ids), "doc_id")
+    rows = sized.orderBy("h", "doc_id", "size", "t").limit(max_rows).collect()
     total, chosen = 0, []
     for r in rows:
         if total + r["size"] > max_bytes:
@@ -236,12 +235,15 @@ def score(docs: DataFrame, model: tuple[WordVectors, Network], text_col: str = "
 
     Null and empty texts are scored as documents without words. Columns of keep
     (default: all) stay unless named like a new one. No shuffle. The model that
-    travels to the executors has at most VOCABULARY words.
+    travels to the executors has at most VOCABULARY words. Repeated rows get
+    equal scores, an empty table stays empty.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    fitted, network = model
+    sent, name = docs.sparkSession.sparkContext.broadcast((fitted.vocabulary, fitted.context, network)), uuid.uuid4().hex
 
     def make():
-        vectors, network = sent.value
+        vocabulary, context, network = sent.value
+        vectors = only(("word vectors", name), lambda: WordVectors(vocabulary, context))
 
         def compute(texts: list[str]) -> list:
             s = np.round(network.scores(vectors.pool([t.encode("utf-8", "replace") for t in texts])), 9)
