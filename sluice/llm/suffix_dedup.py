@@ -4,20 +4,24 @@ A string of `length` bytes is removed wherever it starts if it starts anywhere
 else too. Arrays over all suffixes would be many times the text, so suffixes
 are sampled: each window of `length` bytes takes the k-gram of least hash in it
 as anchor, which every copy of the window takes at the same place. An entry is
-an anchor with the run of windows that share it. Entries are ordered by
-fingerprints of their content, since only equality over the full length counts.
-
-Every batch of entries becomes an array, is merge-scanned against the levels
-that are there for long matches, and levels of like size are merged, so that a
-task has logarithmically many. Runs equal as a whole are settled at once; runs
-that only share the anchor are compared window by window, in arrays of the same
-kind over the suffixes of their bytes.
+the suffix at an anchor with the run of windows that share it.
+
+The documents come in batches. The entries of a batch are merge-scanned, in the
+order of their first k bytes' and whole runs' fingerprints, with the levels
+that are there (tables in the shared folder) for long matches; what is new
+becomes a level, and levels of like size are merged, so that there are
+logarithmically many. Runs equal as a whole (128 bits of fingerprints) are
+settled by the scan. Runs that share only their anchor are compared by their
+bytes: they are put in suffix order forward and in prefix order backward from
+the anchor, with the lengths that neighbours have in common, and a window is
+repeated if another run agrees with it on both sides of the anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, materialize, mix64, ragged_positions, table, text_slices, whole_text
+from .common import forget, materialize, mix64, only, ragged_positions, table, text_slices, whole_text
 
 LENGTH, GRAM = 200, 100
 #: Bytes that are hashed at a time; positions in a chunk take 20 bits.
@@ -34,6 +38,10 @@ CHUNK = 1 << 20
 HELD = 1_000_000
 #: An anchor with more different runs than this has its windows dealt out one by one.
 LARGE_GROUP = 20_000
+#: Runs whose arrays are built at once, at least; the runs of an anchor stay together.
+ARRAY = 4096
+#: Batches that dedup() deals documents into.
+BATCHES = 3
 _POS = np.uint64((1 << 20) - 1)
 
 
@@ -96,7 +104,7 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tuple
 
 
 def entries(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple:
-    """(text, first window, last window, anchor's hash, hash of the run's bytes) for all texts."""
+    """(text, first window, last window, anchor's hash, hash of the run's bytes, anchor less first window) for all texts."""
     out = []
     for data, parts in _chunks(texts, length):
         buffer = np.frombuffer(data, np.uint8)
@@ -111,154 +119,125 @@ def entries(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         lo, hi = s[new], s[np.append(new[1:] - 1, len(s) - 1)]
         at = np.searchsorted(start, lo, side="right") - 1
         shift = first[at] - start[at]
-        out.append((text[at], lo + shift, hi + shift, cores[a[new]], Hasher(buffer, 1).spans(lo, hi + length)))
+        out.append((text[at], lo + shift, hi + shift, cores[a[new]], Hasher(buffer, 1).spans(lo, hi + length), a[new] - lo))
     if not out:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-class SuffixLevels:
-    """Arrays sorted by `key`, the newest last, each at least twice as long as the next.
-
-    A column `many` tells which entries are known to occur twice or more. add()
-    returns the entries, of the batch or of a level, that became so known.
-    """
-
-    def __init__(self):
-        self.levels: list[dict[str, np.ndarray]] = []
-
-    def __len__(self) -> int:
-        return sum(len(level["key"]) for level in self.levels)
-
-    def add(self, batch: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
-        order = np.argsort(batch["key"], kind="stable")
-        batch = {c: v[order] for c, v in batch.items()}
-        key = batch["key"]
-        found = []
-        if len(key) > 1:
-            same = key[1:] == key[:-1]
-            if same.any():
-                group = np.append(0, np.cumsum(~same))
-                size = np.bincount(group)
-                matched = size[group] > 1
-                found.append({c: v[matched & ~batch["many"]] for c, v in batch.items()})
-                batch["many"] = batch["many"] | matched
-                first = np.append(True, ~same)
-                batch = {c: v[first] for c, v in batch.items()}
-        for level in self.levels:  # merge-scan
-            key = batch["key"]
-            if not len(key):
-                break
-            at = np.searchsorted(level["key"], key)
-            hit = level["key"][np.minimum(at, len(level["key"]) - 1)] == key
-            if hit.any():
-                there = at[hit]
-                new = there[~level["many"][there]]
-                found.append({c: v[new] for c, v in level.items()})
-                level["many"][new] = True
-                found.append({c: v[hit & ~batch["many"]] for c, v in batch.items()})
-                batch = {c: v[~hit] for c, v in batch.items()}
-        if len(batch["key"]):
-            self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2]["key"]) < 2 * len(self.levels[-1]["key"]):
-            self._merge()
-        return [f for f in found if len(f["key"])]
-
-    def _merge(self) -> None:
-        b, a = self.levels.pop(), self.levels.pop()
-        order = np.argsort(np.concatenate([a["key"], b["key"]]), kind="stable")
-        self.levels.append({c: np.concatenate([a[c], b[c]])[order] for c in a})
-
-    def whole(self) -> dict[str, np.ndarray] | None:
-        """All entries in one array."""
-        while len(self.levels) > 1:
-            self._merge()
-        return self.levels[0] if self.levels else None
-
-
 COVER, ENTRY, PROBE, LARGE = 0, 1, 2, 3
+#: A run [lo, hi] of window starts: covered (COVER), an entry of a level (ENTRY), or to be compared with the others of its
+#: anchor together (PROBE) or window by window (LARGE). core and run are fingerprints, back is the anchor's place after lo;
+#: many: it is known to be covered.
 ROW = T.StructType(
-    [T.StructField(n, k) for n, k in (("kind", T.ByteType()), ("core", T.LongType()), ("run", T.LongType()), ("id", T.LongType()), ("th", T.LongType()), ("lo", T.LongType()), ("hi", T.LongType()), ("many", T.BooleanType()))]
+    [T.StructField(n, k) for n, k in (("kind", T.ByteType()), ("core", T.LongType()), ("run", T.LongType()), ("id", T.LongType()), ("th", T.LongType()), ("lo", T.LongType()), ("hi", T.LongType()), ("back", T.LongType()), ("many", T.BooleanType()))]
 )
+_NUMBERS = [f.name for f in ROW.fields[1:]]
+Rows = dict[str, np.ndarray]
+
 
+def _some(x: Rows, which) -> Rows:
+    return {c: v[which] for c, v in x.items()}
 
-def _rows(kind: int, x: dict[str, np.ndarray], core: np.ndarray | None = None, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+
+def _batches(kind: int, x: Rows, core: np.ndarray | None = None, size: int = 50_000) -> Iterator[pa.RecordBatch]:
     n = len(x["id"])
     core = x["core"] if core is None else core
     for lo in range(0, n, size):
         p = slice(lo, lo + size)
-        m = len(x["id"][p])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, kind, np.int8)), pa.array(core[p].view(np.int64)), pa.array(x["run"][p].view(np.int64)), *[pa.array(x[c][p]) for c in ("id", "th", "lo", "hi")], pa.array(x["many"][p])],
-            names=ROW.names,
-        )
+        numbers = [core[p], *[x[c][p] for c in _NUMBERS[1:-1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers[0]), kind, np.int8)), *[pa.array(v.view(np.int64)) for v in numbers], pa.array(x["many"][p])], names=ROW.names)
 
 
-def _entry_key(core: np.ndarray, run: np.ndarray) -> np.ndarray:
-    return mix64(core + run * np.uint64(0x9E3779B97F4A7C15))
+def _settle(x: Rows) -> tuple[Rows, Rows]:
+    """Of entries sorted by core and run: those that are now known to be covered, and the first of each run, marked."""
+    new = np.append(True, (x["core"][1:] != x["core"][:-1]) | (x["run"][1:] != x["run"][:-1]))
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(new)))
+    twice = (size > 1) | np.logical_or.reduceat(x["many"], at)
+    first = _some(x, at)
+    first["many"] = twice
+    if "old" in x:
+        first["old"] = np.logical_or.reduceat(x["old"], at)
+    return _some(x, np.repeat(twice, size) & ~x["many"]), first
 
 
 def _scan(length: int, gram: int):
-    """Texts to entries; those that match within the task are settled here."""
+    """Texts to entries; copies within the task are settled here, so that no run is sent in great number."""
 
     def run(batches):
-        held = SuffixLevels()
+        only(("suffixes",))
+        held, size = [], 0
 
         def flush():
-            if (x := held.whole()) is not None:
-                yield from _rows(ENTRY, x)
-            held.levels.clear()
+            x = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            covered, first = _settle(_some(x, np.lexsort((x["run"], x["core"]))))
+            # a covered run needs no meeting: it goes anywhere
+            yield from _batches(COVER, covered, core=mix64(covered["id"].view(np.uint64) + covered["lo"].astype(np.uint64)))
+            yield from _batches(ENTRY, first)
+            held.clear()
 
         for batch in (part for whole in batches for part in text_slices(whole, 2)):
             ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = [t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-            text, lo, hi, core, content = entries(texts, length, gram)
-            if not len(text):
-                continue
-            found = held.add({"key": _entry_key(core, content), "core": core, "run": content, "id": ids[text], "th": hashes[text], "lo": lo, "hi": hi, "many": np.zeros(len(text), bool)})
-            for f in found:
-                yield from _rows(COVER, f, core=mix64(f["id"].view(np.uint64) + f["lo"].astype(np.uint64)))
-            if len(held) > HELD:
+            text, lo, hi, core, content, back = entries([t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()], length, gram)
+            if len(text):
+                held.append({"core": core, "run": content, "id": ids[text], "th": hashes[text], "lo": lo, "hi": hi, "back": back, "many": np.zeros(len(text), bool)})
+                size += len(text)
+            if size > HELD:
                 yield from flush()
-        yield from flush()
+                size = 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def _match(large: int):
-    """Entries of whole anchors to covered runs, and to runs that must be compared window by window."""
+def _merge_scan(large: int):
+    """Entries of a batch and of the levels, in the order of core and run, to covered runs, entries of the batch's own
+    level, and runs to be compared. Holds no more than `large` runs of an anchor."""
 
     def run(batches):
-        index = SuffixLevels()
+        carry, hot = None, None
+
+        def leave(x: Rows):
+            """Whole anchors, or some runs of a hot one."""
+            yield from _batches(ENTRY, _some(x, ~x["old"]))
+            at = np.flatnonzero(np.append(True, x["core"][1:] != x["core"][:-1]))
+            size = np.diff(np.append(at, len(x["core"])))
+            asked = np.repeat((size > 1) & np.logical_or.reduceat(~x["old"], at), size)
+            many = x["core"] == hot if hot is not None else np.zeros(len(asked), bool)
+            yield from _batches(PROBE, _some(x, asked & ~many))
+            yield from _batches(LARGE, _some(x, many))
+
         for batch in batches:
             kind = batch.column(0).to_numpy()
             if (kind == COVER).any():
-                yield batch.filter(pa.array(kind == COVER))
+                yield batch.filter(pa.array(kind == COVER)).select(ROW.names)
             batch = batch.filter(pa.array(kind == ENTRY))
             if not batch.num_rows:
                 continue
-            x = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(ROW.names) if i}
+            x = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in [*_NUMBERS, "old"]}
             x["core"], x["run"] = x["core"].view(np.uint64), x["run"].view(np.uint64)
-            x["key"] = _entry_key(x["core"], x["run"])
-            for f in index.add(x):
-                yield from _rows(COVER, f)
-        x = index.whole()
-        if x is None:
-            return
-        order = np.argsort(x["core"], kind="stable")
-        core = x["core"][order]
-        new = np.append(True, core[1:] != core[:-1])
-        size = np.bincount(np.cumsum(new) - 1)
-        each = np.repeat(size, size)
-        for kind, ok in ((PROBE, (each > 1) & (each <= large)), (LARGE, each > large)):
-            yield from _rows(kind, {c: v[order[ok]] for c, v in x.items()})
+            if carry is not None:
+                x = {c: np.concatenate([carry[c], v]) for c, v in x.items()}
+            covered, x = _settle(x)
+            yield from _batches(COVER, covered)
+            last = x["core"] == x["core"][-1]
+            if not last.all():
+                yield from leave(_some(x, ~last))
+            carry = _some(x, last)
+            if len(carry["core"]) > large:
+                hot = carry["core"][-1]
+                yield from leave(_some(carry, slice(0, -1)))
+                carry = _some(carry, slice(-1, None))
+        if carry is not None:
+            yield from leave(carry)
 
     return run
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of bytes (columns core, bytes): run, window in it, and key of each window, some runs at a time."""
-    cores = batch.column("core").to_numpy(zero_copy_only=False).view(np.uint64)
+    """For runs of bytes: run, window in it, and fingerprint of each window, some runs at a time."""
     data = batch.column("bytes").to_pylist()
     lo = 0
     while lo < len(data):
@@ -271,84 +250,172 @@ def _windows(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, n
         count = sizes - length + 1
         s = ragged_positions(start, count)
         owner = np.repeat(np.arange(lo, hi), count)
-        prints = Hasher(np.frombuffer(b"".join(data[lo:hi]), np.uint8), 1).spans(s, s + length)
-        yield owner, s - start[owner - lo], mix64(prints * np.uint64(0xD1342543DE82EF95) + cores[owner])
+        yield owner, s - start[owner - lo], Hasher(np.frombuffer(b"".join(data[lo:hi]), np.uint8), 1).spans(s, s + length)
         lo = hi
 
 
 SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "th", "lo", "hi")])
 
 
-def _spans(owner: np.ndarray, window: np.ndarray, ids, hashes, first) -> pa.RecordBatch:
-    """Neighbouring windows (sorted by owner and place) as (id, th, first, last) of the runs they form."""
-    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)))
-    last = np.append(new[1:] - 1, len(owner) - 1)
-    o = owner[new]
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[o], hashes[o], first[o] + window[new], first[o] + window[last])], names=SPAN.names)
+class SuffixArray:
+    """Strings in suffix order: `order`, and how many bytes each has in common with the one before it (`common`)."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, lengths: np.ndarray, width: int, backward: bool = False):
+        """String i is data[start : start + lengths], read from its end if backward, and filled up to width with zeros."""
+        rows = np.zeros((len(start), max(width, 1)), np.uint8)
+        columns = np.arange(rows.shape[1])
+        there = columns >= rows.shape[1] - lengths[:, None] if backward else columns < lengths[:, None]
+        rows[there] = data[ragged_positions(start, lengths)]
+        if backward:
+            rows = np.ascontiguousarray(rows[:, ::-1])
+        self.order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+        rows = rows[self.order]
+        agrees = rows[1:] == rows[:-1]
+        self.common = np.where(agrees.all(1), rows.shape[1], agrees.argmin(1))
 
+    def groups(self, n: int) -> np.ndarray:
+        """A number for each string; strings have the same if they agree on n bytes."""
+        out = np.zeros(len(self.order), np.int64)
+        out[self.order[1:]] = np.cumsum(self.common < n)
+        return out
 
-def _compare(length: int):
-    """Runs of bytes, all of an anchor in one task, to their windows that occur in two runs or more."""
+
+def repeated_windows(data: list[bytes], back: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which windows of runs of bytes with anchors at `back` occur in another run too.
+
+    Column o is the window that begins o bytes before the anchor. It is
+    repeated if another run has the same o bytes before and length - o bytes
+    from the anchor on. Runs of different anchors may come together.
+    """
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    buffer, start = np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes
+    after, widest = np.minimum(sizes - back, length), length - gram
+    forward = SuffixArray(buffer, start + back, after, length)
+    backward = SuffixArray(buffer, start, back, widest, backward=True)
+    out = np.zeros((len(data), widest + 1), bool)
+    for o in range(widest + 1):
+        here = np.flatnonzero((back >= o) & (after >= length - o))
+        if len(here) > 1:
+            _, which, n = np.unique(forward.groups(length - o)[here] * len(data) + backward.groups(o)[here], return_inverse=True, return_counts=True)
+            out[here, o] = n[which] > 1
+    return out
+
+
+def _compare(length: int, gram: int):
+    """Runs of bytes in the order of their anchors to the runs of windows in them that occur twice or more."""
 
     def run(batches):
-        index, kept = SuffixLevels(), []
+        only(("suffixes",))
+        held: list[pa.RecordBatch] = []
+
+        def compared(rows: pa.RecordBatch):
+            core, id_, th, lo, back = (rows.column(c).to_numpy() for c in ("core", "id", "th", "lo", "back"))
+            found = repeated_windows(rows.column("bytes").to_pylist(), back, length, gram)
+            found &= ~rows.column("many").to_numpy(zero_copy_only=False)[:, None]
+            # windows in the order of their starts, with a gap between runs
+            flags = np.zeros((len(core), found.shape[1] + 2), np.int8)
+            flags[:, 1:-1] = found[:, ::-1]
+            edge = np.flatnonzero(np.diff(flags.ravel()))
+            first, last = edge[::2], edge[1::2] - 1
+            owner, width = first // flags.shape[1], flags.shape[1]
+            base = lo[owner] + back[owner] - (width - 3)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (id_[owner], th[owner], base + first % width, base + last % width)], names=SPAN.names)
+
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < ARRAY:
                 continue
-            asked = ~batch.column("many").to_numpy(zero_copy_only=False)
-            ids, hashes, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th", "lo"))
-            for owner, window, key in _windows(batch, length):
-                index.add({"key": key, "many": np.zeros(len(key), bool)})
-                mine = asked[owner]
-                used, at = np.unique(owner[mine], return_inverse=True)
-                kept.append((at, window[mine].astype(np.int32), key[mine], ids[used], hashes[used], first[used]))
-        x = index.whole()
-        if x is None:
-            return
-        twice = x["key"][x["many"]]
-        if not len(twice):
-            return
-        for owner, window, key, ids, hashes, first in kept:
-            at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-            hit = twice[at] == key
-            if hit.any():
-                yield _spans(owner[hit], window[hit], ids, hashes, first)
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            core = rows.column("core").to_numpy()
+            whole = int(np.flatnonzero(np.append(True, core[1:] != core[:-1]))[-1])  # the last anchor may go on
+            if whole:
+                yield from compared(rows.slice(0, whole))
+            held = [rows.slice(whole)]
+        if sum(b.num_rows for b in held):
+            yield from compared(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_GROUP) -> DataFrame:
-    """Runs [lo, hi] of first bytes of repeated strings, as two lists for each key (id, th) of docs (id, th, text) that has any.
+WINDOW = T.StructType([T.StructField("core", T.LongType()), *SPAN.fields[:3], T.StructField("key", T.LongType()), T.StructField("many", T.BooleanType())])
+
+
+def _single(length: int):
+    """Runs of bytes to their windows, each with its fingerprint."""
+
+    def run(batches):
+        only(("suffixes",))
+        for batch in batches:
+            core, ids, hashes, first, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("core", "id", "th", "lo", "many"))
+            for owner, at, key in _windows(batch, length):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (core[owner], ids[owner], hashes[owner], first[owner] + at, key.view(np.int64), many[owner])], names=WINDOW.names)
 
-    Three shuffles besides joins with the texts: entries by anchor; runs of
-    bytes that share an anchor; and, for anchors with more than `large`
-    different runs, single windows, which are counted before they are shuffled.
+    return run
+
+
+class SuffixIndex:
+    """The family: add() takes in batches of documents, spans() tells what is repeated since it was last asked.
+
+    docs have id, th (64 bits that tell texts of an id apart) and text, and are
+    read again when runs are compared: give tables, not unstable plans. Levels
+    and matches are tables in the shared folder; forget() deletes them.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scanned = docs.mapInArrow(_scan(length, gram), ROW)
-    matched = materialize(scanned.repartition(n, "core").mapInArrow(_match(large), ROW), "matches")
-    covered = matched.filter(F.col("kind") == COVER).select("id", "th", "lo", "hi")
-    unclear = matched.filter(F.col("kind") >= PROBE)
-    taken = F.substring(F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + length).cast("int"))
-    runs = unclear.join(docs, ["id", "th"]).select("kind", "core", "id", "th", "lo", "many", taken.alias("bytes"))
-    small = runs.filter(F.col("kind") == PROBE).drop("kind").repartition(n, "core").mapInArrow(_compare(length), SPAN)
-    out, done = covered.unionByName(small), [matched]
-    if matched.filter(F.col("kind") == LARGE).limit(1).count():
-        window = T.StructType([*SPAN.fields[:3], T.StructField("key", T.LongType()), T.StructField("many", T.BooleanType())])
-
-        def single(batches):
-            for batch in batches:
-                ids, hashes, first, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th", "lo", "many"))
-                for owner, at, key in _windows(batch, length):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[owner], hashes[owner], first[owner] + at, key.view(np.int64), many[owner])], names=window.names)
-
-        done.append(dealt := materialize(runs.filter(F.col("kind") == LARGE).drop("kind").mapInArrow(single, window), "windows"))
-        twice = dealt.groupBy("key").count().filter("count > 1").select("key")
-        out = out.unionByName(dealt.filter(~F.col("many")).join(twice, "key").select("id", "th", "lo", F.col("lo").alias("hi")))
-    spans = materialize(out.groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
-    forget(*done)
-    return spans
+
+    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_GROUP):
+        self.spark, self.length, self.gram, self.large = spark, length, gram, large
+        self.levels: list[tuple[DataFrame, int]] = []
+        self.docs: list[DataFrame] = []
+        self.matches: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
+
+    def _deal(self, rows: DataFrame) -> DataFrame:
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(n, "core").sortWithinPartitions("core", "run")
+
+    def add(self, docs: DataFrame) -> None:
+        """Merge-scan docs against all levels and make them a level."""
+        rows = docs.select("id", "th", "text").mapInArrow(_scan(self.length, self.gram), ROW).withColumn("old", F.lit(False))
+        for level, _ in self.levels:
+            rows = rows.unionByName(level.withColumn("old", F.lit(True)))
+        found = materialize(self._deal(rows).mapInArrow(_merge_scan(self.large), ROW), "suffix-matches")
+        self.docs.append(docs)
+        self.matches.append(found)
+        self.tables.append(found)
+        own = found.filter(F.col("kind") == ENTRY)
+        self.levels.append((own, own.count()))
+        while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
+            (b, n), (a, m) = self.levels.pop(), self.levels.pop()
+            merged = materialize(self._deal(a.unionByName(b)), "suffix-level")
+            self.tables.append(merged)
+            self.levels.append((merged, n + m))
+
+    def spans(self) -> DataFrame:
+        """Runs [lo, hi] of first bytes of repeated strings, as a set of (lo, hi) for each (id, th) that has any."""
+        matched = reduce(DataFrame.unionByName, self.matches)
+        self.matches = []
+        docs = reduce(DataFrame.unionByName, self.docs)
+        covered = matched.filter(F.col("kind") == COVER).select("id", "th", "lo", "hi")
+        # a run that two batches asked about is asked about once
+        unclear = matched.filter(F.col("kind") >= PROBE).dropDuplicates(["kind", "core", "run"])
+        taken = F.substring(F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + self.length).cast("int"))
+        texts = docs.select("id", "th", "text")
+        if docs.groupBy("id", "th").count().filter("count > 1").limit(1).count():  # rows that repeat both bring their bytes once
+            texts = texts.dropDuplicates(["id", "th"])
+        runs = unclear.join(texts, ["id", "th"]).select("kind", "core", "run", "id", "th", "lo", "back", "many", taken.alias("bytes"))
+        small = self._deal(runs.filter(F.col("kind") == PROBE)).mapInArrow(_compare(self.length, self.gram), SPAN)
+        out, done = covered.unionByName(small), []
+        if matched.filter(F.col("kind") == LARGE).limit(1).count():
+            dealt = materialize(runs.filter(F.col("kind") == LARGE).mapInArrow(_single(self.length), WINDOW), "suffix-windows")
+            twice = materialize(dealt.groupBy("core", "key").count().filter("count > 1").select("core", "key"), "suffix-windows")
+            done = [dealt, twice]
+            out = out.unionByName(dealt.filter(~F.col("many")).join(twice, ["core", "key"]).select("id", "th", "lo", F.col("lo").alias("hi")))
+        spans = materialize(out.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+        forget(*done)
+        return spans
+
+    def forget(self) -> None:
+        forget(*self.tables)
+        self.levels, self.docs, self.matches, self.tables = [], [], [], []
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("clean_text", T.StringType())])
@@ -375,16 +442,17 @@ def cut(data: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple:
     return len(data), int((stop - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), b"".join(chars).decode("utf-8", "replace")
 
 
-def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_GROUP, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_GROUP, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = True, batches: int = BATCHES) -> DataFrame:
     """Add RESULT's columns: what goes when every byte covered by a repeated string of `length` bytes goes.
 
     Strings are judged on the input, within and across rows; overlapping
-    occurrences count. n_removed, n_spans and kept_sha256 are exact to the
-    byte; clean_text keeps a character unless all its bytes go. Null and empty
+    occurrences count. n_removed, n_spans and kept_sha256 are to the byte;
+    clean_text keeps a character unless all its bytes go. Null and empty
     texts, and texts shorter than `length`, lose nothing. Rows that repeat id
     and text are copies of each other, as are rows that only share the text;
     ids may be null. Columns of keep (default: all) stay unless named like a
-    new one. An empty table gives an empty table.
+    new one. An empty table gives an empty table. Documents are taken in in
+    `batches` by their text's hash; the result does not depend on their number.
     """
     names = {f.name for f in RESULT.fields}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -392,18 +460,23 @@ def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LA
     text = whole_text(text_col)
     keyed = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     docs = keyed.select("id", "th", "text")
-    spans = repeated_spans(docs, length, gram, large)
-    joined = keyed.join(spans, ["id", "th"], "left").select(*[f"k{i}" for i in range(len(keep))], "text", "lo", "hi")
+    index = SuffixIndex(df.sparkSession, length, gram, large)
+    for k in range(batches):
+        index.add(docs.filter(F.pmod("th", F.lit(batches)) == k))
+    spans = index.spans()
+    index.forget()
+    joined = keyed.join(spans, ["id", "th"], "left").select(*[f"k{i}" for i in range(len(keep))], "text", "spans")
     fields = RESULT.fields if with_text else RESULT.fields[:-1]
     schema = T.StructType([T.StructField(c, joined.schema[i].dataType) for i, c in enumerate(keep)] + fields)
     none = np.zeros(0, np.int64)
 
-    def run(batches):
+    def run(parts):
+        only(("suffixes",))
         n = len(keep)
-        for batch in (part for whole in batches for part in text_slices(whole, n)):
+        for batch in (part for whole in parts for part in text_slices(whole, n)):
             made = []
-            for t, lo, hi in zip(*[batch.column(n + i) for i in range(3)], strict=True):
-                found = (none, none) if not lo.is_valid else (lo.values.to_numpy(), hi.values.to_numpy())
+            for t, found in zip(*[batch.column(n + i) for i in range(2)], strict=True):
+                found = tuple(found.values.field(k).to_numpy() for k in ("lo", "hi")) if found.is_valid else (none, none)
                 made.append(cut(t.as_py().encode("utf-8", "replace"), *found, length)[: len(fields)])
             columns = [pa.array(list(c), type=k) for c, k in zip(zip(*made, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *columns], names=schema.names)

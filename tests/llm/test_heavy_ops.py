@@ -57,16 +57,81 @@ def test_copies_of_an_id_that_spans_shards(spark):
     import public_tokenizers as P
 
     texts = [f"text {i} " + "word " * (i % 7) for i in range(300)]
-    docs = spark.createDataFrame([(7, t) for t in texts] + [(i, "other") for i in (1, 2, 8, 9)] + [(None, f"none {i}") for i in range(100)], "doc_id long, text string")
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(i, "other") for i in (1, 2, 8, 9)] + [(None, f"none {i}") for i in range(100)] + [(5, "the same text")] * 200, "doc_id long, text string")
     manifest = token_files.write_tokens(docs, P.path("byte_bpe_50k.json"), 2, shared_dir(spark, "test"), shards=6)
     store = token_files.TokenStore(manifest.collect())
     read = {(r.doc_id, r.copy): r.ids_crc32 for r in token_files.read_tokens(manifest).collect()}
     assert sorted(c for i, c in read if i == 7) == list(range(300)) and sorted(c for i, c in read if i is None) == list(range(100))
     assert {k: zlib.crc32(store.get(*k).astype("<u4").tobytes()) for k in read} == read
     assert len({store.get(7, c).tobytes() for c in range(300)}) == 300
+    assert len({r.base for r in manifest.collect() if r.first_id == 5 or r.last_id == 5}) > 1 and sorted(c for i, c in read if i == 5) == list(range(200))
     assert store.get(7, 300) is None and store.get(None, 100) is None and store.get(8, 1) is None
 
 
+def test_shards_follow_bytes_and_are_read_in_parts(spark, monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 5000)
+    docs = spark.createDataFrame([(i, "some words " * (i % 50)) for i in range(200)], "doc_id long, text string")
+    want = -(-sum(len("some words ") * (i % 50) for i in range(200)) // 5000)
+    assert token_files.shard_count(docs) == want and token_files.shard_count(docs.limit(0)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = token_files.write_tokens(docs, P.path("byte_bpe_50k.json"), 2, shared_dir(spark, "test"))
+    assert want / 2 < manifest.count() <= want
+    row = max(manifest.collect(), key=lambda r: r.n_ids)
+    shard = token_files.Shard(*token_files.pafs.FileSystem.from_uri(row.base))
+    first, count = shard.locate(token_files.key_hash(shard.ids, shard.null, shard.copy))
+    whole = [x.tolist() for x in shard.documents(first, count)]
+    assert whole == [x.tolist() for x in shard.documents(first, count, limit=8)] and sum(map(len, whole)) == row.n_ids
+
+
+def plain_index_vector(unit, seed):
+    """The sparse vector of a unit, one entry at a time."""
+    import xxhash
+
+    out = np.zeros(quality_classifier.DIMENSIONS)
+    for k in range(quality_classifier.NONZERO):
+        x = (xxhash.xxh64_intdigest(unit, seed) + k * 0x9E3779B97F4A7C15) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor % 2**64
+        out[x % quality_classifier.DIMENSIONS] += 1 if x >> 63 else -1
+    return out
+
+
+def test_vectors_pooling_and_calibration_by_brute_force():
+    """Word by word and pair by pair, against what the operator's arrays give; one text is longer than what is pooled at a time."""
+    rng = random.Random(12)
+    words = ["River", "harbour", "LETTER", "x9", "!!", "naïve", "sun", "sun."]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))).encode() for _ in range(40)] + [b"", b"one", (" ".join(rng.choice(words[:3]) for _ in range(70_000))).encode()]
+    base = {w: plain_index_vector(quality_classifier.shape(w), 1) + 0.5 * plain_index_vector(w.lower(), 2) for w in {w for t in texts for w in t.split()} | {b"unseen"}}
+    context = {w: np.zeros(quality_classifier.DIMENSIONS) for w in base}
+    for t in texts:
+        s = t.split()
+        for a, b in zip(s, s[1:]):
+            context[a] += base[b]
+            context[b] += base[a]
+    vector = {w: base[w] + c / max(np.linalg.norm(c), 1e-6) for w, c in context.items()}
+    model = quality_classifier.WordVectors.fit(texts)
+    assert sorted(model.vocabulary) == sorted(w for w in base if w != b"unseen")
+    got = model.pool([*texts, b"unseen sun"])
+    for x, t in zip(got, [*texts, b"unseen sun"], strict=True):
+        s = t.split()
+        mean = sum((vector[w] for w in s), np.zeros(quality_classifier.DIMENSIONS)) / max(len(s), 1)
+        assert np.allclose(x[:-2], mean, atol=2e-3) and np.isclose(x[-2], np.linalg.norm(mean), atol=5e-3) and np.isclose(x[-1], np.log(1 + len(s)) / 8)
+    noise = np.random.default_rng(3)
+    x, check = noise.normal(0, 1, (3000, 5)), np.arange(3000) % 3 == 0
+    y = (noise.random(3000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
+    net = quality_classifier.Network.fit(x, y, check)
+    mean, scale, w1, b1, w2, b2, temperature = net.layers
+    plain = [float(sum(np.tanh(sum((r[i] - mean[i]) / scale[i] * w1[i, j] for i in range(5)) + b1[j]) * w2[j, 0] for j in range(len(b1))) + b2[0]) for r in x[check]]
+    loss = lambda k: sum(np.log1p(np.exp(-(v if t else -v) / k)) for v, t in zip(plain, y[check]))
+    assert np.allclose(net.scores(x[check]), [1 / (1 + np.exp(-v / temperature)) for v in plain])
+    assert min(np.geomspace(0.25, 8, 61), key=loss) == pytest.approx(temperature)
+    s = net.scores(x[~check])
+    for lo in (0, 0.2, 0.4, 0.6, 0.8):  # among rows with a score of about p a share of about p has label 1
+        some = (s >= lo) & (s < lo + 0.2)
+        assert abs(s[some].mean() - y[~check][some].mean()) < 0.08
+
+
 def test_classifier(spark, sf):
     docs = spark.read.parquet(f"{sf.rpartition(chr(47))[0]}/sf0.1/documents.parquet")
     labels = spark.read.parquet(f"{sf.rpartition(chr(47))[0]}/sf0.1/labels.parquet")
@@ -111,23 +176,83 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("large", [20_000, 2])
-@pytest.mark.parametrize("length,gram", [(20, 10), (12, 5)])
-def test_suffix_dedup_by_brute_force(spark, length, gram, large):
-    rng = random.Random(length)
+def made_texts(rng, n):
     passage = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(5, 90))) for _ in range(12)]
-    texts = [None, "", "short", "a" * 300, "ab" * 100 + "c", "x" * (length - 1), "y" * length, "y" * length]
-    for _ in range(120):
-        texts.append("".join(rng.choice([rng.choice(passage), "".join(rng.choice("ab") for _ in range(30)), "".join(rng.choice("abcdefghij") for _ in range(25))]) for _ in range(rng.randrange(1, 9))))
+    return ["".join(rng.choice([rng.choice(passage), "".join(rng.choice("ab") for _ in range(30)), "".join(rng.choice("abcdefghij\0") for _ in range(25))]) for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+
+
+def test_suffix_arrays():
+    """Order, common lengths and repeated windows against sorting and comparing strings."""
+    rng = random.Random(21)
+    for width in (1, 3, 8):
+        rows = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(width + 1))) for _ in range(60)]
+        data, sizes = np.frombuffer(b"".join(rows), np.uint8), np.array([len(r) for r in rows])
+        for backward in (False, True):
+            array = suffix_dedup.SuffixArray(data, np.cumsum(sizes) - sizes, sizes, width, backward)
+            full = [(r[::-1] if backward else r).ljust(width, b"\0") for r in rows]
+            got = [full[i] for i in array.order]
+            assert got == sorted(full)
+            assert array.common.tolist() == [next((k for k in range(width) if a[k] != b[k]), width) for a, b in zip(got, got[1:])]
+            for n in range(width + 1):
+                assert len(set(zip(array.groups(n).tolist(), [f[:n] for f in full]))) == len({f[:n] for f in full}) == len(set(array.groups(n).tolist()))
+    length, gram = 6, 3
+    for _ in range(50):
+        runs, back = [], []
+        for _ in range(12):
+            a = rng.choice(["abc", "aab"])
+            b = rng.randrange(length - gram + 1)
+            least = rng.randrange(b + 1)  # windows that begin least .. b bytes before the anchor
+            runs.append(("".join(rng.choice("ab") for _ in range(b)) + a + "".join(rng.choice("ab") for _ in range(length - gram - least))).encode())
+            back.append(b)
+        got = suffix_dedup.repeated_windows(runs, np.array(back), length, gram)
+        windows = [{back[i] - s: r[s : s + length] for s in range(len(r) - length + 1) if s <= back[i]} for i, r in enumerate(runs)]
+        for i, own in enumerate(windows):
+            want = [own.get(o) is not None and any(own[o] == other.get(o) and windows[j] is not own and runs[j][back[j] : back[j] + gram] == runs[i][back[i] : back[i] + gram] for j, other in enumerate(windows) if j != i) for o in range(length - gram + 1)]
+            assert got[i].tolist() == want
+
+
+@pytest.mark.parametrize("length,gram,large,batches", [(20, 10, 20_000, 3), (20, 10, 2, 3), (12, 5, 20_000, 1), (12, 12, 3, 5)])
+def test_suffix_dedup_by_brute_force(spark, length, gram, large, batches):
+    rng = random.Random(length)
+    texts = [None, "", "short", "a" * 300, "ab" * 100 + "c", "x" * (length - 1), "y" * length, "y" * length] + made_texts(rng, 120)
     texts += texts[20:30] + texts[20:22]
     ids = [None if i == 9 else i // 2 for i in range(len(texts))]
     rows = list(zip(ids, texts, ["a"] * len(ids), ["b"] * len(ids), strict=True)) + [(7, texts[15], None, None)] * 2
-    df = spark.createDataFrame(rows, DOCS).repartition(5)
-    got = suffix_dedup.dedup(df, length, gram, large, keep=["doc_id", "text"]).collect()
+    df = spark.createDataFrame(rows, DOCS).repartition(5).withColumns({c: F.lit("old") for c in ("n_bytes", "spans", "id", "th", "lo", "k0")})
+    got = suffix_dedup.dedup(df, length, gram, large, keep=["doc_id", "text", "n_bytes", "spans", "k0"], batches=batches).collect()
     want = brute([(t or "").encode() for _, t, _, _ in rows], length)
     assert Counter((r.doc_id, r.text, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, t, *w) for (i, t, _, _), w in zip(rows, want, strict=True))
-    assert all("�" not in r.clean_text and set(r.clean_text) <= set(r.text or "") for r in got)
-    assert suffix_dedup.dedup(df.limit(0), length, gram).count() == 0
+    assert all("�" not in r.clean_text and set(r.clean_text) <= set(r.text or "") and r.spans == "old" and r.k0 == "old" for r in got)
+    assert suffix_dedup.dedup(df.limit(0), length, gram, batches=2).count() == 0
+
+
+def test_new_batches_meet_the_levels_that_are_there(spark):
+    """After each batch: what is repeated in all documents so far is what was told until then, and levels shrink twofold."""
+    rng, length = random.Random(2), 20
+    texts = made_texts(rng, 80)
+    index = suffix_dedup.SuffixIndex(spark, length, 10)
+    told: dict = {}
+    done = 0
+    for size in (10, 10, 20, 5, 35):
+        rows = list(enumerate(texts))[done : done + size]
+        done += size
+        index.add(spark.createDataFrame([(i, i * 7, t) for i, t in rows], "id long, th long, text string"))
+        for r in index.spans().collect():
+            told.setdefault(r.id, set()).update(s for lo, hi in r.spans for s in range(lo, hi + 1))
+        raw = [t.encode() for t in texts[:done]]
+        starts = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+        assert {i: {s for s in range(len(t) - length + 1) if starts[t[s : s + length]] > 1} for i, t in enumerate(raw)} == {i: told.get(i, set()) for i in range(done)}
+        counts = [n for _, n in index.levels]
+        assert all(a >= 2 * b for a, b in zip(counts, counts[1:])) and counts[-1] == index.levels[-1][0].count()
+    assert len(index.levels) < 5
+    index.forget()
+
+
+def test_suffix_dedup_of_a_table_at_full_length(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.query(spark, sf).collect()}
+    want = brute([(t or "").encode() for _, t in rows], 200)
+    assert got == {i: w for (i, _), w in zip(rows, want, strict=True)} and sum(w[1] for w in want) > 0
 
 
 def test_long_text_is_cut_into_chunks(spark, monkeypatch):
