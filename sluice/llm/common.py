@@ -44,9 +44,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
+def materialize(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a
-    lost executor costs no recomputation.
+    lost executor costs no recomputation. by: a column of few values, each of
+    which gets a folder of its own.
 
     The shuffle files behind df are then of no use. Spark deletes them once the
     driver's JVM has collected the plan as garbage, which a driver with little
@@ -54,20 +55,20 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path, schema = shared_dir(spark, purpose), df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path).select(*schema.names)
     out._sluice_path = path
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads."""
+def forget(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables of materialize() that no later plan reads, or the part ("column=value") of them."""
     for t in tables:
         jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._sluice_path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{t._sluice_path}/{part}")
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -20,8 +20,8 @@ repeated if another run agrees with it on both sides of the anchor.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ CHUNK = 1 << 20
 #: Entries a scanning task holds before it sends them on.
 HELD = 1_000_000
 #: An anchor with more different runs than this has its windows dealt out one by one.
-LARGE_GROUP = 20_000
+LARGE_GROUP = 1_000
 #: Runs whose arrays are built at once, at least; the runs of an anchor stay together.
 ARRAY = 4096
 #: Batches that dedup() deals documents into.
@@ -192,16 +192,17 @@ def _scan(length: int, gram: int):
     return run
 
 
-def _merge_scan(large: int):
+def _merge_scan(large: int, level: bool):
     """Entries of a batch and of the levels, in the order of core and run, to covered runs, entries of the batch's own
-    level, and runs to be compared. Holds no more than `large` runs of an anchor."""
+    level if it gets one, and runs to be compared. Holds no more than `large` runs of an anchor."""
 
     def run(batches):
         carry, hot = None, None
 
         def leave(x: Rows):
             """Whole anchors, or some runs of a hot one."""
-            yield from _batches(ENTRY, _some(x, ~x["old"]))
+            if level:
+                yield from _batches(ENTRY, _some(x, ~x["old"]))
             at = np.flatnonzero(np.append(True, x["core"][1:] != x["core"][:-1]))
             size = np.diff(np.append(at, len(x["core"])))
             asked = np.repeat((size > 1) & np.logical_or.reduceat(~x["old"], at), size)
@@ -363,7 +364,7 @@ class SuffixIndex:
 
     def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_GROUP):
         self.spark, self.length, self.gram, self.large = spark, length, gram, large
-        self.levels: list[tuple[DataFrame, int]] = []
+        self.levels: list[tuple[DataFrame, int, Callable]] = []  # entries, their number, and what deletes them
         self.docs: list[DataFrame] = []
         self.matches: list[DataFrame] = []
         self.tables: list[DataFrame] = []
@@ -372,22 +373,29 @@ class SuffixIndex:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, "core").sortWithinPartitions("core", "run")
 
-    def add(self, docs: DataFrame) -> None:
-        """Merge-scan docs against all levels and make them a level."""
+    def add(self, docs: DataFrame, last: bool = False) -> None:
+        """Merge-scan docs against all levels and make them a level; not if they are the last to come."""
         rows = docs.select("id", "th", "text").mapInArrow(_scan(self.length, self.gram), ROW).withColumn("old", F.lit(False))
-        for level, _ in self.levels:
+        for level, _, _ in self.levels:
             rows = rows.unionByName(level.withColumn("old", F.lit(True)))
-        found = materialize(self._deal(rows).mapInArrow(_merge_scan(self.large), ROW), "suffix-matches")
+        found = materialize(self._deal(rows).mapInArrow(_merge_scan(self.large, not last), ROW), "suffix-matches", by="kind")
         self.docs.append(docs)
         self.matches.append(found)
         self.tables.append(found)
         own = found.filter(F.col("kind") == ENTRY)
-        self.levels.append((own, own.count()))
-        while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
-            (b, n), (a, m) = self.levels.pop(), self.levels.pop()
+        self.levels.append((own, own.count(), partial(forget, found, part=f"kind={ENTRY}")))
+        while len(self.levels) > 1 and not last and self.levels[-2][1] < 2 * self.levels[-1][1]:
+            (b, n, drop_b), (a, m, drop_a) = self.levels.pop(), self.levels.pop()
             merged = materialize(self._deal(a.unionByName(b)), "suffix-level")
-            self.tables.append(merged)
-            self.levels.append((merged, n + m))
+            drop_a(), drop_b()
+            self.levels.append((merged, n + m, partial(forget, merged)))
+        if last:
+            self._drop_levels()
+
+    def _drop_levels(self) -> None:
+        for _, _, drop in self.levels:
+            drop()
+        self.levels = []
 
     def spans(self) -> DataFrame:
         """Runs [lo, hi] of first bytes of repeated strings, as a set of (lo, hi) for each (id, th) that has any."""
@@ -414,8 +422,9 @@ class SuffixIndex:
         return spans
 
     def forget(self) -> None:
+        self._drop_levels()
         forget(*self.tables)
-        self.levels, self.docs, self.matches, self.tables = [], [], [], []
+        self.docs, self.matches, self.tables = [], [], []
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("clean_text", T.StringType())])
@@ -462,7 +471,7 @@ def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LA
     docs = keyed.select("id", "th", "text")
     index = SuffixIndex(df.sparkSession, length, gram, large)
     for k in range(batches):
-        index.add(docs.filter(F.pmod("th", F.lit(batches)) == k))
+        index.add(docs.filter(F.pmod("th", F.lit(batches)) == k), last=k == batches - 1)
     spans = index.spans()
     index.forget()
     joined = keyed.join(spans, ["id", "th"], "left").select(*[f"k{i}" for i in range(len(keep))], "text", "spans")

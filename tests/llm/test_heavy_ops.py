@@ -242,7 +242,7 @@ def test_new_batches_meet_the_levels_that_are_there(spark):
         raw = [t.encode() for t in texts[:done]]
         starts = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
         assert {i: {s for s in range(len(t) - length + 1) if starts[t[s : s + length]] > 1} for i, t in enumerate(raw)} == {i: told.get(i, set()) for i in range(done)}
-        counts = [n for _, n in index.levels]
+        counts = [n for _, n, _ in index.levels]
         assert all(a >= 2 * b for a, b in zip(counts, counts[1:])) and counts[-1] == index.levels[-1][0].count()
     assert len(index.levels) < 5
     index.forget()
