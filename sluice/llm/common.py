@@ -155,8 +155,14 @@ _kept: dict = {}
 
 
 def only(key: tuple, make: Callable = lambda: None):
-    """What make() returns, kept in this Python worker."""
+    """What make() returns, kept in this Python worker until a task asks for another key.
+
+    Workers are used by one stage after the other: a cache that only its own
+    stage would drop would stay in memory beside those of all later stages.
+    """
     if key not in _kept:
+        _kept.clear()
+        gc.collect()
         _kept[key] = make()
     return _kept[key]
 
