@@ -28,7 +28,7 @@ VOCABULARY = 20_000
 MAX_ROWS, MAX_BYTES = 6_000, 48 << 20
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 80, 256, 0.01, 1e-4
 #: Words that a task keeps vectors of; beyond, they are made anew.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 
 _SHAPE = bytes(97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -73,6 +73,7 @@ class WordVectors:
             for w in t.split():
                 counts[w] = counts.get(w, 0) + 1
         vocabulary = sorted(counts, key=lambda w: (-counts[w], w))[:VOCABULARY]
+        del counts
         rows = {w: i for i, w in enumerate(vocabulary)}
         if not vocabulary:
             return cls([], np.zeros((0, DIMENSIONS), np.float32))
