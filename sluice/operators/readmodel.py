@@ -52,14 +52,14 @@ def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def facets(jobs: DataFrame, now: Column, technologies: list[str] = (), country: str | None = None, workplace: list[str] = (), employment: list[str] = (), levels: list[str] = (), min_score: int | None = None, max_years: int | None = None, posted_within_days: int | None = None, include_experienced: bool = False) -> DataFrame:
+def facets(jobs: DataFrame, now: Column, technologies: list[str] = (), locations: list[str] = (), country: str | None = None, workplace: list[str] = (), employment: list[str] = (), levels: list[str] = (), min_score: int | None = None, max_years: int | None = None, posted_within_days: int | None = None, include_experienced: bool = False) -> DataFrame:
     """Filters of the search. Unclassified jobs stay; a job without required years passes max_years."""
     out = jobs
     hidden = ["CLEARLY_EXPERIENCED"] if include_experienced else ["CLEARLY_EXPERIENCED", "EXPERIENCED"]
     out = out.filter(F.col("junior_level").isNull() | ~F.col("junior_level").isin(hidden))
     if technologies:
         out = out.filter(F.size(F.array_except(F.array(*map(F.lit, technologies)), F.col("technologies"))) == 0)
-    for column, wanted in (("workplace_type", workplace), ("employment_type", employment), ("junior_level", levels), ("country_code", [country] if country else [])):
+    for column, wanted in (("location", locations), ("workplace_type", workplace), ("employment_type", employment), ("junior_level", levels), ("country_code", [country] if country else [])):
         if wanted:
             out = out.filter(F.col(column).isin(list(wanted)))
     if min_score is not None:
@@ -71,6 +71,26 @@ def facets(jobs: DataFrame, now: Column, technologies: list[str] = (), country:
     return out
 
 
+def sort_order(by: str) -> list[Column]:
+    """A total order for relevance, juniorScore or postedAt, nulls last."""
+    column = {"relevance": "relevance", "juniorScore": "junior_score", "postedAt": "effective_posted_at"}.get(by)
+    if column is None:
+        raise ValueError(f"cannot sort by {by!r}")
+    return [F.desc_nulls_last(column), F.desc_nulls_last("id")]
+
+
+def job_by_id(jobs: DataFrame, job_id) -> DataFrame:
+    return jobs.filter(F.col("id") == F.lit(job_id))
+
+
+def job_detail(jobs: DataFrame, postings: DataFrame, sources: DataFrame, history: DataFrame) -> DataFrame:
+    """Jobs (id, ...) with sources, the array of their postings' (name, url) in that order, and their current classification."""
+    where = postings.join(sources, "source_id").select(F.col("job_id").alias("id"), F.struct("name", "url").alias("s"))
+    listed = where.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("sources"))
+    current = history.filter("is_current").select(F.col("job_id").alias("id"), F.struct("level", "score").alias("classification"))
+    return jobs.join(listed, "id", "left").join(current, "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<struct<name:string,url:string>>")))
+
+
 #: Our choice: shares of text rank, junior score, recency and profile fit.
 RELEVANCE = (0.4, 0.3, 0.2, 0.1)
 

@@ -58,20 +58,29 @@ def fuzzy_pairs(rows: DataFrame, block: str, key: str, title: str, threshold: fl
     """Tier 3. Pairs (key_a < key_b) of a block whose titles are similar.
 
     Pairs meet by a trigram in the block, so that titles without a common
-    trigram are never compared; the rarest shared trigrams decide. With
+    trigram are never compared; the rarest in the block decide. With
     similarity t two titles of n trigrams share one of the first
-    n - ceil(t n) + 1 in any fixed order: only those are joined on.
+    n - ceil(t n) + 1 in any fixed order, and neither has fewer than t times
+    the trigrams of the other: only such pairs are made, with keys alone, and
+    titles are fetched once for each distinct pair.
     """
     grams = rows.select(F.col(block).alias("block"), F.col(key).alias("k"), trigrams(F.col(title)).alias("g")).filter(F.size("g") > 0)
-    prefix = F.size("g") - F.ceil(F.lit(threshold) * F.size("g")).cast("int") + 1
-    exploded = grams.select("block", "k", F.explode("g").alias("t"))
-    often = exploded.groupBy("t").agg(F.count("*").alias("n"))
-    ranked = exploded.join(often, "t").groupBy("block", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("g"))
-    keyed = ranked.select("block", "k", "g", F.explode(F.slice("g", F.lit(1), prefix)).alias("t"))
+    exploded = grams.select("block", "k", F.size("g").alias("n"), F.explode("g").alias("t"))
+    often = exploded.groupBy("block", "t").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("block", "k").orderBy("often", "t"))
+    keyed = exploded.join(often, ["block", "t"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    # what is left after the shared place bounds what two titles can have in common
     a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.k") < F.col("b.k")))
-    scored = pairs.select(F.col("a.block").alias("block"), F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b"), trigram_similarity(F.col("a.g"), F.col("b.g")).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold).distinct()
+    least = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    rest = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    before = F.least(F.col("a.place"), F.col("b.place")) - 1
+    fits = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9) & (rest + before >= least)
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.k") < F.col("b.k")) & fits)
+    pairs = met.select(F.col("a.block").alias("block"), F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).distinct()
+    hashed = grams.select("block", "k", F.transform("g", lambda t: F.conv(F.hex(t.cast("binary")), 16, 10).cast("bigint")).alias("g"))  # three letters a number
+    left, right = (hashed.select("block", F.col("k").alias(f"key_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
+    scored = pairs.join(left, ["block", "key_a"]).join(right, ["block", "key_b"])
+    return scored.select("block", "key_a", "key_b", trigram_similarity(F.col("g_a"), F.col("g_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def resolve_chains(jobs: DataFrame, hops: int = 8, cycle_to_repeat: bool = False) -> DataFrame:

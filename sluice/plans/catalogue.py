@@ -537,3 +537,6 @@ def resolved_listing(t):
     p = t("documents").withColumn("language", text.detect_language(null, F.col("text"), null)).select("doc_id", "source", "language", F.sha2(F.concat(F.coalesce("text", F.lit("")), F.lit("|"), "language"), 256).alias("h"))
     jobs = p.groupBy("h").agg(F.min("doc_id").alias("job_id"), F.count("*").alias("n_postings"), F.countDistinct("source").alias("source_count"), F.min_by("language", "doc_id").alias("language"))
     return jobs.select("job_id", "n_postings", "source_count", "language").orderBy(F.desc("source_count"), F.desc("job_id")).limit(50)
+
+
+from . import writes  # noqa: E402, F401  adds its queries
