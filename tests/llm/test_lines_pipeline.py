@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluice.llm import line_dedup
+from sluice.llm import line_dedup, quality_classifier
 
+from .test_near_dups import brute_classes
 from .test_text_ops import DOCS, ODD
 
 
@@ -108,6 +109,11 @@ def test_pipeline(spark, sf, tmp_path):
             labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
             good = [i for i in rows if labels.get(i) == 1]
             assert sum(i in {r.doc_id for r in kept} for i in good) >= 0.95 * len(good)
+            model = quality_classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            assert {r.doc_id for r in kept} == {r.doc_id for r in quality_classifier.score(docs, model).collect() if r.score >= 0.5}
+        if k == 2:
+            listed = [(r.doc_id, r.text) for r in rows.values()]
+            assert sorted(r.doc_id for r in kept) == sorted(min(listed[m][0] for m in of) for of in brute_classes(listed).values())
         if k == 1:
             want = brute([(r.doc_id, r.text) for r in rows.values()])
             assert {r.doc_id: r.text for r in kept} == {i: t for i, t in want.items() if t.split() or not rows[i].text.split()}
@@ -119,3 +125,19 @@ def test_pipeline(spark, sf, tmp_path):
         if k == 4:
             assert sum(r.length for r in kept) == sum({r.doc_id: r.doc_tokens for r in kept}.values()) and {r.doc_id for r in kept} == set(rows)
         before = after
+
+
+def test_stages_take_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeats, empty tables and columns named like those that operators add."""
+    clash = ["score", "predicted", "__text", "n_lines", "n_kept", "n_bytes", "n_removed", "clean_text", "row", "id", "th", "spans", "n_chars"]
+    docs = spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit(7).cast("bigint") for c in clash})
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) <= len(ODD), name
+        assert all(r[c] == 7 for r in rows for c in clash if c != "n_chars"), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert corpus_pipeline.pack(spark, docs, sf).select("doc_id").distinct().count() == len({i for i, *_ in ODD})
+    assert corpus_pipeline.pack(spark, docs.limit(0), sf).count() == 0
