@@ -61,7 +61,7 @@ def unseen_postings(postings: DataFrame, runs: DataFrame, misses: int = 2) -> Da
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("started_at").desc()))
     cut = runs.filter(F.col("status") == "SUCCESS").withColumn("r", rank).filter(F.col("r") == misses).select("source_id", F.col("started_at").alias("__cut"))
     gone = F.coalesce(F.col("last_seen_at") < F.col("__cut"), F.lit(False))
-    return postings.join(F.broadcast(cut) if misses < 1 else cut, "source_id", "left").withColumn("is_active", F.col("is_active") & ~gone).drop("__cut")
+    return postings.join(cut, "source_id", "left").withColumn("is_active", F.col("is_active") & ~gone).drop("__cut")
 
 
 def since_floor(runs: DataFrame, overlap: str = "INTERVAL 1 DAY") -> DataFrame:
@@ -69,6 +69,14 @@ def since_floor(runs: DataFrame, overlap: str = "INTERVAL 1 DAY") -> DataFrame:
     return runs.filter(F.col("status") == "SUCCESS").groupBy("source_id").agg((F.max("started_at") - F.expr(overlap)).alias("since"))
 
 
+def ingestion_plan(sources: DataFrame, runs: DataFrame, overlap: str = "INTERVAL 1 DAY") -> DataFrame:
+    """source_id, since, item_limit of what is to be scanned now: enabled sources (source_id, enabled, page_size, max_pages) with
+    no run in flight; since is null for one that never succeeded."""
+    busy = runs.filter(F.col("status") == "RUNNING").select("source_id").distinct()
+    free = sources.filter("enabled").join(busy, "source_id", "left_anti")
+    return free.join(since_floor(runs, overlap), "source_id", "left").select("source_id", "since", (F.col("page_size") * F.col("max_pages")).cast("bigint").alias("item_limit"))
+
+
 # --- scan semantics over a positioned table --------------------------------
 
 

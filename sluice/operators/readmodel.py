@@ -27,6 +27,11 @@ def listable(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("is_active") & F.col("merged_into").isNull())
 
 
+def searchable(jobs: DataFrame, now: Column, days: int = 45) -> DataFrame:
+    """Listable jobs that were seen in the last `days`; older ones are kept, for those who saved them."""
+    return listable(jobs).filter(F.col("last_seen_at") >= now - F.make_dt_interval(F.lit(days)))
+
+
 def page_of(rows: DataFrame, order: list[Column], page: int = 1, page_size: int = 20) -> DataFrame:
     """One page of a total order."""
     page, page_size = check_page(page, page_size)

@@ -30,15 +30,17 @@ def cluster(postings: DataFrame, jobs: DataFrame) -> DataFrame:
     adds assigned_job_id and outcome ALREADY_CLUSTERED, MATCHED or CREATED.
 
     The first posting of an unknown hash creates the job (named by the hash),
-    the others match it. A posting that has a job keeps it.
+    the others match it; ids of postings are unique. A posting that has a job
+    keeps it. The first is found by aggregation, so that a hash with very many
+    postings is not sorted in one task.
     """
     known = jobs.groupBy("dedup_hash").agg(F.min("job_id").alias("__job"))
-    joined = postings.join(known, "dedup_hash", "left")
-    free = F.col("job_id").isNull()
-    rank = F.row_number().over(Window.partitionBy("dedup_hash", free).orderBy("ingest_pos"))
-    outcome = F.when(~free, "ALREADY_CLUSTERED").when(F.col("__job").isNotNull() | (rank > 1), "MATCHED").otherwise("CREATED")
+    free, place = F.col("job_id").isNull(), F.struct("ingest_pos", "posting_id")
+    first = postings.filter(free).groupBy(F.col("dedup_hash").alias("__hash")).agg(F.min(place).alias("__first"))
+    joined = postings.join(known, "dedup_hash", "left").join(first, F.col("dedup_hash").eqNullSafe(F.col("__hash")), "left")
+    outcome = F.when(~free, "ALREADY_CLUSTERED").when(F.col("__job").isNotNull() | (place != F.col("__first")), "MATCHED").otherwise("CREATED")
     made = F.concat(F.lit("job-"), F.substring("dedup_hash", 1, 16))
-    return joined.withColumn("outcome", outcome).withColumn("assigned_job_id", F.coalesce("job_id", "__job", made)).drop("__job")
+    return joined.withColumn("outcome", outcome).withColumn("assigned_job_id", F.coalesce("job_id", "__job", made)).drop("__job", "__hash", "__first")
 
 
 def trigrams(text: Column) -> Column:
@@ -83,6 +85,23 @@ def fuzzy_pairs(rows: DataFrame, block: str, key: str, title: str, threshold: fl
     return scored.select("block", "key_a", "key_b", trigram_similarity(F.col("g_a"), F.col("g_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def distinct_words(text: Column) -> Column:
+    """Hashes of the distinct words (letters and digits, in lower case) of a text; null has none."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def confirmed_pairs(pairs: DataFrame, rows: DataFrame, block: str, key: str, description: str, threshold: float) -> DataFrame:
+    """The fuzzy_pairs whose descriptions share `threshold` of their distinct words too; two without words do not.
+
+    Others stay apart: a job that is split is a smaller fault than one that hides another.
+    """
+    worded = rows.select(F.col(block).alias("block"), F.col(key).alias("k"), distinct_words(F.col(description)).alias("w"))
+    left, right = (worded.select("block", F.col("k").alias(f"key_{x}"), F.col("w").alias(f"w_{x}")) for x in "ab")
+    alike = pairs.join(left, ["block", "key_a"]).join(right, ["block", "key_b"]).withColumn("confirmed", trigram_similarity(F.col("w_a"), F.col("w_b")))
+    return alike.filter(F.col("confirmed") >= threshold).drop("w_a", "w_b")
+
+
 def resolve_chains(jobs: DataFrame, hops: int = 8, cycle_to_repeat: bool = False) -> DataFrame:
     """job_id, canonical_id of jobs (job_id, merged_into).
 

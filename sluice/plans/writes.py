@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
 from ..functions import lists, text
-from ..operators import classify, ingest, readmodel, write
-from .catalogue import NOW, now, query, sql_fold, sql_list
+from ..operators import classify, flow, ingest, readmodel, resolve, write
+from .catalogue import _GRAMS, NOW, now, query, sql_fold, sql_list, sql_slug, sql_title
 
 _AT = f"TIMESTAMP '{NOW}'"
 
@@ -254,3 +254,62 @@ def technologies_named(t):
     picks = [F.upper(F.element_at(known, (F.col("p_partkey") * k % len(_SPELLINGS) + 1).cast("int"))) for k in _PICKS]
     said = F.concat(F.lit("Uses "), F.concat_ws(", ", *picks), F.lit("; "), F.col("p_name"))
     return t("part").select("p_partkey", F.array_join(text.technologies(said), ",").alias("technologies"))
+
+
+_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower(p_type || ' ' || p_name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+
+@query(
+    "tier3_confirmed",
+    f"""WITH g AS (SELECT p_brand AS block, p_partkey AS k, {_GRAMS} AS g, {_WORDS} AS w FROM part), p AS (SELECT a.block, a.k AS key_a, b.k AS key_b, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS s,
+        len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS d FROM g a JOIN g b ON a.block = b.block AND a.k < b.k)
+        SELECT block, key_a, key_b, round(s, 9) AS similarity, round(d, 9) AS confirmed FROM p WHERE s >= 0.6 AND d >= 0.5""",
+)
+def tier3_confirmed(t):
+    rows = t("part").withColumn("described", F.concat_ws(" ", "p_type", "p_name"))
+    pairs = resolve.fuzzy_pairs(rows, "p_brand", "p_partkey", "p_name", 0.6)
+    return resolve.confirmed_pairs(pairs, rows, "p_brand", "p_partkey", "described", 0.5).withColumns({c: F.round(c, 9) for c in ("similarity", "confirmed")})
+
+
+@query(
+    "searchable_jobs",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 9 <> 0 AND o_orderdate >= TIMESTAMP '1996-08-02' - INTERVAL 45 DAY",
+)
+def searchable_jobs(t):
+    k = F.col("o_orderkey")
+    jobs = t("orders").select(k, (k % 5 != 0).alias("is_active"), F.when(k % 9 == 0, k - 1).alias("merged_into"), F.col("o_orderdate").alias("last_seen_at"))
+    return readmodel.searchable(jobs, F.expr("timestamp_ntz'1996-08-02 00:00:00'")).select("o_orderkey")
+
+
+@query(
+    "ingestion_plan",
+    """WITH r AS (SELECT o_custkey % 40 AS source_id, o_orderdate AS started, o_orderkey % 4 = 0 AS good, o_orderkey % 97 = 1 AS running FROM orders)
+       SELECT s_suppkey AS source_id, since, CAST(20 * (s_nationkey + 1) AS BIGINT) AS item_limit FROM supplier LEFT JOIN (SELECT source_id, max(started) - INTERVAL 1 DAY AS since FROM r WHERE good AND NOT running GROUP BY 1) x ON s_suppkey = x.source_id
+       WHERE s_suppkey % 4 <> 0 AND s_suppkey NOT IN (SELECT source_id FROM r WHERE running)""",
+)
+def ingestion_plan(t):
+    k = F.col("o_orderkey")
+    runs = t("orders").select((F.col("o_custkey") % 40).alias("source_id"), F.col("o_orderdate").alias("started_at"), F.when(k % 97 == 1, "RUNNING").when(k % 4 == 0, "SUCCESS").otherwise("FAILED").alias("status"))
+    sources = t("supplier").select(F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") % 4 != 0).alias("enabled"), F.lit(20).alias("page_size"), (F.col("s_nationkey") + 1).alias("max_pages"))
+    return ingest.ingestion_plan(sources, runs)
+
+
+@query(
+    "raw_to_jobs",
+    f"""SELECT 'job-' || left(h, 16) AS job_id, min(title) AS title, count(*) AS n_postings, count(*) FILTER (WHERE is_new) AS n_new FROM (SELECT c_custkey % 3 <> 0 AS is_new, c_mktsegment || ' lead' AS title,
+        sha256({sql_slug("'Nation ' || c_nationkey || ' GmbH'")} || '|' || {sql_title("c_mktsegment || ' lead'")} || '|' || CASE WHEN c_nationkey % 2 = 0 THEN 'DE' ELSE '' END) AS h FROM customer WHERE c_custkey % 10 <> 0) GROUP BY 1""",
+)
+def raw_to_jobs(t):
+    k = F.col("c_custkey")
+    country = F.when(F.col("c_nationkey") % 2 == 0, "de")
+    payload = lambda title: F.to_json(F.struct(title.alias("title"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"), F.lit(" GmbH")).alias("company"), country.alias("country"), F.lit("<p>Work</p>").alias("description")))
+    key = [F.lit("s").alias("source_id"), k.cast("string").alias("external_id")]
+    raw = lambda title, at: t("customer").select(*key, F.sha2(title, 256).alias("content_hash"), F.concat(F.lit("https://x/"), k.cast("string")).alias("url"), payload(title).alias("payload"), F.expr(f"timestamp_ntz'{at}'").alias("fetched_at"))
+    title = F.when(k % 10 != 0, F.concat("c_mktsegment", F.lit(" lead")))
+    both = raw(F.lit("old title"), "1998-07-01 00:00:00").unionByName(raw(title, "1998-08-01 00:00:00"))
+    then = F.expr("timestamp_ntz'1998-01-01 00:00:00'")
+    before = t("customer").filter("c_custkey % 3 = 0").select(*key, F.lit("h").alias("content_hash"), F.lit("old").alias("title"), then.alias("first_seen_at"), then.alias("last_seen_at"), F.lit(False).alias("is_active"), F.lit(None).cast("string").alias("job_id"))
+    jobs = t("customer").limit(0).select(F.lit("").alias("job_id"), F.lit("").alias("dedup_hash"), F.lit("").alias("title"), then.alias("effective_posted_at"), then.alias("first_seen_at"), then.alias("last_seen_at"), F.lit(True).alias("is_active"), F.lit(None).cast("string").alias("junior_level"))
+    made = flow.resolve_batch(flow.candidates(both), before, jobs, now())
+    counts = made.postings.filter("is_active").groupBy("job_id").agg(F.count("*").alias("n_postings"), F.count_if(F.col("first_seen_at") > then).alias("n_new"))
+    return made.jobs.join(counts, "job_id").select("job_id", "title", "n_postings", "n_new")

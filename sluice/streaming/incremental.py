@@ -37,7 +37,19 @@ def append_new(batch: DataFrame, raw_path: str, volatile_paths: tuple[str, ...]
     new.select("source_id", "external_id", "content_hash", "url", "payload", "fetched_at").write.mode("append").parquet(raw_path)
 
 
-def ingest_stream(spark: SparkSession, inbox: str, raw_path: str, checkpoint: str, volatile_paths: tuple[str, ...] = ()) -> StreamingQuery:
-    """Take in all files of inbox that were not taken yet, and stop."""
+def set_aside(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Write the unusable items of a batch with what is wrong; a batch that is run again replaces its own."""
+    problem = item_problem(F.col("external_id"), F.col("url"), F.col("payload"))
+    batch.withColumn("problem", problem).filter("problem IS NOT NULL").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def ingest_stream(spark: SparkSession, inbox: str, raw_path: str, checkpoint: str, volatile_paths: tuple[str, ...] = (), quarantine: str | None = None) -> StreamingQuery:
+    """Take in all files of inbox that were not taken yet, and stop. Unusable items go to the quarantine folder, if one is named."""
     stream = spark.readStream.schema(INPUT).json(inbox)
-    return stream.writeStream.foreachBatch(lambda df, _: append_new(df, raw_path, volatile_paths)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        append_new(batch, raw_path, volatile_paths)
+        if quarantine is not None:
+            set_aside(batch, batch_id, quarantine)
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

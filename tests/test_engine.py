@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import hashing
-from sluice.operators import classify, ingest, readmodel, resolve
-from sluice.sources import http, paginated
+from sluice.operators import classify, flow, ingest, readmodel, resolve
+from sluice.sources import contract, http, paginated
 from sluice.streaming import incremental
 
 
@@ -157,3 +157,57 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert run() == 1 and run() == 1
     drop("b.json", [("s", "1", "https://x", '{"a": 1, "seen": 9}', t), ("s", "1", "https://x", '{"a": 2}', t)])
     assert run() == 2
+
+
+def test_source_contract():
+    d = paginated.Descriptor("board", "Board", "PUBLIC_API", "https://x.org/terms", "public board", page_size=2, max_pages=3)
+    jobs = [{"id": str(i), "url": f"https://x/{i}"} for i in range(5)]
+    fetch = paginated.board_pages(json.dumps({"jobs": jobs}), 2)
+    good = lambda: (d, lambda **k: paginated.walk(fetch, d, **k))
+    assert contract.violations(good, 5) == [] and contract.violations(good, 6) == ["too few items"]
+    calls = []
+
+    def careless(limit, stop=None):
+        calls.append(limit)
+        return [paginated.Item("a", "http://x", None), paginated.Item("a", "https://x", {}), paginated.Item(str(len(calls)), "https://x", {})]
+
+    bare = paginated.Descriptor("board", "Board", "PUBLIC_API", "https://x.org/terms")
+    assert contract.violations(lambda: (bare, careless), 4) == [
+        "descriptor: compliance_note", "not a stream", "too few items", "malformed item", "repeated id", "over the limit", "items at limit 0", "goes on after stop", "not the same again",
+    ]
+
+
+def test_pages_end(spark):
+    """An empty page ends a scan though it names a next one; so does stop()."""
+    d = paginated.Descriptor("b", "B", "PUBLIC_API", "https://x", page_size=1, max_pages=9)
+    item = paginated.Item("a", "https://x", {})
+    assert len(list(paginated.walk(lambda c: paginated.SourcePage([] if c == "2" else [item], str(int(c or 0) + 1)), d))) == 2
+    asked = []
+    assert len(list(paginated.walk(lambda c: paginated.SourcePage([item], str(int(c or 0) + 1)), d, stop=lambda: len(asked) >= 3 or asked.append(1)))) == 1
+
+
+def test_batch_twice_and_quarantine(spark):
+    when = dt.datetime(2024, 1, 1)
+    payload = lambda title, company="Aurelia GmbH": json.dumps({"title": title, "company": company})
+    rows = [("s", "1", "a", "https://x/1", payload("Dev (m/w/d)"), when), ("s", "2", "b", "https://x/2", payload("DEV", "aurelia"), when), ("t", "1", "c", "https://x/3", payload("Ops"), when), ("t", "2", "d", "https://x/4", "{broken", when), ("t", "3", "e", "https://x/5", payload(" "), when)]
+    raw = spark.createDataFrame(rows, "source_id string, external_id string, content_hash string, url string, payload string, fetched_at timestamp_ntz")
+    empty = [spark.createDataFrame([], s) for s in ("source_id string, external_id string, content_hash string, title string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, is_active boolean, job_id string", "job_id string, dedup_hash string, title string, effective_posted_at timestamp_ntz, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, is_active boolean, junior_level string")]
+    now = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
+    found = flow.candidates(raw)
+    one = flow.resolve_batch(found, *empty, now)
+    postings = {(r.source_id, r.external_id): r.job_id for r in one.postings.collect()}
+    assert len(postings) == 3 and postings["s", "1"] == postings["s", "2"] != postings["t", "1"]
+    assert {r.job_id for r in one.jobs.collect()} == set(postings.values())
+    assert {(r.external_id, r.problem) for r in one.quarantine.collect()} == {("2", "title"), ("3", "title")}
+    two = flow.resolve_batch(found, one.postings, one.jobs, now)
+    assert {(r.source_id, r.external_id): r.job_id for r in two.postings.collect()} == postings and two.jobs.count() == 2
+
+
+def test_stream_quarantine(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [{"source_id": "s", "external_id": "a", "url": "https://x", "payload": "{}"}, {"source_id": "s", "external_id": "", "url": "https://x", "payload": "{}"}, {"source_id": "s", "external_id": "b", "url": "http://x", "payload": "{}"}]
+    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, lines)))
+    q = incremental.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "raw"), str(tmp_path / "cp"), quarantine=str(tmp_path / "bad"))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 1
+    assert {(r.external_id, r.problem) for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {("", "id"), ("b", "url")}
