@@ -237,7 +237,7 @@ def byte_level_encoder(path: str) -> tuple[PieceCache, int]:
             flat[i] = np.array(x, np.int32)
         return np.concatenate(flat), np.fromiter(map(len, flat), np.int64, len(flat))
 
-    return PieceCache(encode, limit=128 << 20), tokenizer.get_vocab_size()
+    return PieceCache(encode, limit=224 << 20), tokenizer.get_vocab_size()
 
 
 MANIFEST = T.StructType(
