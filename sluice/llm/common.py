@@ -136,6 +136,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbours of unsigned 64-bit integers."""
+    n = len(x) - w + 1
+    blocks = np.full(-(-len(x) // w) * w, np.uint64(2**64 - 1))
+    blocks[: len(x)] = x
+    blocks = blocks.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+
+
 def ragged_positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... for each (start, length), one after the other."""
     total = int(lengths.sum())

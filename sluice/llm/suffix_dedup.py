@@ -7,12 +7,15 @@ as anchor, which every copy of the window takes at the same place. An entry is
 the suffix at an anchor with the run of windows that share it.
 
 The documents come in batches. The entries of a batch are merge-scanned, in the
-order of their first k bytes' and whole runs' fingerprints, with the levels
+order of the hashes of anchors and of whole runs, with the levels
 that are there (tables in the shared folder) for long matches; what is new
 becomes a level, and levels of like size are merged, so that there are
-logarithmically many. Runs equal as a whole (128 bits of fingerprints) are
-settled by the scan. Runs that share only their anchor are compared by their
-bytes: they are put in suffix order forward and in prefix order backward from
+logarithmically many. Runs equal as a whole are settled by the scan: they have
+the same anchor and the same BLAKE2b digest of their bytes, under a key that is
+drawn anew for each index, so that texts can't be made to collide and two
+different runs of an anchor agree with a probability of 2^-64. Anchors are only
+meeting places; texts that share one by chance cost a comparison. Runs that
+share only their anchor are compared by their bytes: they are put in suffix order forward and in prefix order backward from
 the anchor, with the lengths that neighbours have in common, and a window is
 repeated if another run agrees with it on both sides of the anchor.
 """
@@ -20,6 +23,7 @@ repeated if another run agrees with it on both sides of the anchor.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, materialize, mix64, only, ragged_positions, table, text_slices, whole_text
+from .common import forget, materialize, mix64, only, ragged_positions, sliding_min, table, text_slices, whole_text
 
 LENGTH, GRAM = 200, 100
 #: Bytes that are hashed at a time; positions in a chunk take 20 bits.
@@ -51,16 +55,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Hasher:
-    """Fingerprints of substrings of a buffer of at most CHUNK bytes."""
+class Grams:
+    """Meeting places: hashes of all k-grams of a buffer of at most CHUNK bytes. They decide nothing about equality."""
 
-    BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-    tables: list = []
+    BASE = 0x9E3779B97F4A7C15
+    tables: tuple = ()
 
-    def __init__(self, data: np.ndarray, which: int):
-        if not Hasher.tables:
-            Hasher.tables = [(_powers(b, CHUNK + 1), _powers(pow(b, -1, 2**64), CHUNK + 1)) for b in Hasher.BASES]
-        up, self.down = Hasher.tables[which]
+    def __init__(self, data: np.ndarray):
+        if not Grams.tables:
+            Grams.tables = _powers(self.BASE, CHUNK + 1), _powers(pow(self.BASE, -1, 2**64), CHUNK + 1)
+        up, self.down = Grams.tables
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
@@ -68,18 +72,12 @@ class Hasher:
         n = len(self.sums) - k
         return mix64((self.sums[k:] - self.sums[:-k]) * self.down[:n])
 
-    def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
-
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    n = len(x) - w + 1
-    blocks = np.full(-(-len(x) // w) * w, np.uint64(2**64 - 1))
-    blocks[: len(x)] = x
-    blocks = blocks.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+def digests(data: bytes, lo: np.ndarray, hi: np.ndarray, key: bytes) -> np.ndarray:
+    """Keyed digests of data[lo:hi], 64 bits each."""
+    whole = memoryview(data)
+    made = [hashlib.blake2b(whole[a:b], digest_size=8, key=key).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), "<u8")
 
 
 def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
@@ -103,13 +101,13 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tuple
         yield b"".join(part), parts
 
 
-def entries(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple:
-    """(text, first window, last window, anchor's hash, hash of the run's bytes, anchor less first window) for all texts."""
+def entries(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, key: bytes = b"") -> tuple:
+    """(text, first window, last window, anchor's hash, digest of the run's bytes, anchor less first window) for all texts."""
     out = []
     for data, parts in _chunks(texts, length):
         buffer = np.frombuffer(data, np.uint8)
-        cores = Hasher(buffer, 0).grams(gram)
-        least = _sliding_min((cores & ~_POS) | np.arange(len(cores), dtype=np.uint64), length - gram + 1)
+        cores = Grams(buffer).grams(gram)
+        least = sliding_min((cores & ~_POS) | np.arange(len(cores), dtype=np.uint64), length - gram + 1)
         anchor = (least & _POS).astype(np.int64)
         text, first, start, size = (np.array(c, np.int64) for c in zip(*parts, strict=True))
         windows = size - length + 1
@@ -119,7 +117,7 @@ def entries(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         lo, hi = s[new], s[np.append(new[1:] - 1, len(s) - 1)]
         at = np.searchsorted(start, lo, side="right") - 1
         shift = first[at] - start[at]
-        out.append((text[at], lo + shift, hi + shift, cores[a[new]], Hasher(buffer, 1).spans(lo, hi + length), a[new] - lo))
+        out.append((text[at], lo + shift, hi + shift, cores[a[new]], digests(data, lo, hi + length, key), a[new] - lo))
     if not out:
         return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -127,7 +125,7 @@ def entries(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
 
 COVER, ENTRY, PROBE, LARGE = 0, 1, 2, 3
 #: A run [lo, hi] of window starts: covered (COVER), an entry of a level (ENTRY), or to be compared with the others of its
-#: anchor together (PROBE) or window by window (LARGE). core and run are fingerprints, back is the anchor's place after lo;
+#: anchor together (PROBE) or window by window (LARGE). core is the hash of the anchor, run the digest of the bytes, back is the anchor's place after lo;
 #: many: it is known to be covered.
 ROW = T.StructType(
     [T.StructField(n, k) for n, k in (("kind", T.ByteType()), ("core", T.LongType()), ("run", T.LongType()), ("id", T.LongType()), ("th", T.LongType()), ("lo", T.LongType()), ("hi", T.LongType()), ("back", T.LongType()), ("many", T.BooleanType()))]
@@ -162,7 +160,7 @@ def _settle(x: Rows) -> tuple[Rows, Rows]:
     return _some(x, np.repeat(twice, size) & ~x["many"]), first
 
 
-def _scan(length: int, gram: int):
+def _scan(length: int, gram: int, key: bytes):
     """Texts to entries; copies within the task are settled here, so that no run is sent in great number."""
 
     def run(batches):
@@ -179,7 +177,7 @@ def _scan(length: int, gram: int):
 
         for batch in (part for whole in batches for part in text_slices(whole, 2)):
             ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            text, lo, hi, core, content, back = entries([t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()], length, gram)
+            text, lo, hi, core, content, back = entries([t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()], length, gram, key)
             if len(text):
                 held.append({"core": core, "run": content, "id": ids[text], "th": hashes[text], "lo": lo, "hi": hi, "back": back, "many": np.zeros(len(text), bool)})
                 size += len(text)
@@ -237,8 +235,8 @@ def _merge_scan(large: int, level: bool):
     return run
 
 
-def _windows(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of bytes: run, window in it, and fingerprint of each window, some runs at a time."""
+def _windows(batch: pa.RecordBatch, length: int, key: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of bytes: run, window in it, and digest of each window, some runs at a time."""
     data = batch.column("bytes").to_pylist()
     lo = 0
     while lo < len(data):
@@ -251,7 +249,7 @@ def _windows(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, n
         count = sizes - length + 1
         s = ragged_positions(start, count)
         owner = np.repeat(np.arange(lo, hi), count)
-        yield owner, s - start[owner - lo], Hasher(np.frombuffer(b"".join(data[lo:hi]), np.uint8), 1).spans(s, s + length)
+        yield owner, s - start[owner - lo], digests(b"".join(data[lo:hi]), s, s + length, key)
         lo = hi
 
 
@@ -341,15 +339,15 @@ def _compare(length: int, gram: int):
 WINDOW = T.StructType([T.StructField("core", T.LongType()), *SPAN.fields[:3], T.StructField("key", T.LongType()), T.StructField("many", T.BooleanType())])
 
 
-def _single(length: int):
-    """Runs of bytes to their windows, each with its fingerprint."""
+def _single(length: int, key: bytes):
+    """Runs of bytes to their windows, each with its digest."""
 
     def run(batches):
         only(("suffixes",))
         for batch in batches:
             core, ids, hashes, first, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("core", "id", "th", "lo", "many"))
-            for owner, at, key in _windows(batch, length):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (core[owner], ids[owner], hashes[owner], first[owner] + at, key.view(np.int64), many[owner])], names=WINDOW.names)
+            for owner, at, found in _windows(batch, length, key):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (core[owner], ids[owner], hashes[owner], first[owner] + at, found.view(np.int64), many[owner])], names=WINDOW.names)
 
     return run
 
@@ -364,6 +362,7 @@ class SuffixIndex:
 
     def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_GROUP):
         self.spark, self.length, self.gram, self.large = spark, length, gram, large
+        self.key = secrets.token_bytes(32)
         self.levels: list[tuple[DataFrame, int, Callable]] = []  # entries, their number, and what deletes them
         self.docs: list[DataFrame] = []
         self.matches: list[DataFrame] = []
@@ -375,7 +374,7 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
         """Merge-scan docs against all levels and make them a level; not if they are the last to come."""
-        rows = docs.select("id", "th", "text").mapInArrow(_scan(self.length, self.gram), ROW).withColumn("old", F.lit(False))
+        rows = docs.select("id", "th", "text").mapInArrow(_scan(self.length, self.gram, self.key), ROW).withColumn("old", F.lit(False))
         for level, _, _ in self.levels:
             rows = rows.unionByName(level.withColumn("old", F.lit(True)))
         found = materialize(self._deal(rows).mapInArrow(_merge_scan(self.large, not last), ROW), "suffix-matches", by="kind")
@@ -413,7 +412,7 @@ class SuffixIndex:
         small = self._deal(runs.filter(F.col("kind") == PROBE)).mapInArrow(_compare(self.length, self.gram), SPAN)
         out, done = covered.unionByName(small), []
         if matched.filter(F.col("kind") == LARGE).limit(1).count():
-            dealt = materialize(runs.filter(F.col("kind") == LARGE).mapInArrow(_single(self.length), WINDOW), "suffix-windows")
+            dealt = materialize(runs.filter(F.col("kind") == LARGE).mapInArrow(_single(self.length, self.key), WINDOW), "suffix-windows")
             twice = materialize(dealt.groupBy("core", "key").count().filter("count > 1").select("core", "key"), "suffix-windows")
             done = [dealt, twice]
             out = out.unionByName(dealt.filter(~F.col("many")).join(twice, ["core", "key"]).select("id", "th", "lo", F.col("lo").alias("hi")))

@@ -261,3 +261,17 @@ def test_long_text_is_cut_into_chunks(spark, monkeypatch):
     rows = [(1, long, "", ""), (2, long[1_048_300:1_049_000] + "!", "", ""), (3, "?" + long[500_000:500_199] + "?", "", ""), (4, "?" + long[1_048_476:1_048_676], "", "")]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS), keep=["doc_id"]).collect()}
     assert got == {1: (700, 1), 2: (700, 1), 3: (0, 0), 4: (200, 1)}
+
+
+def test_texts_made_to_collide_are_told_apart(spark):
+    """Two texts with equal polynomials modulo 2^64, in any base, over all their bytes and over their first half's."""
+    pair = (
+        "qtmnusuoxwykspmdqsbrjbyegpercshukreswnmecmjyuchftlifruqlswwkxqzyckdapqudwbdrhylojyrvsmszbtlwfcyshugmaqstlwkvavbwojqsyevonvluqlrbvumwribogpfwctzfvyjbkikkxhkjtcfvcerikvabufjjgstuyvsxjdrfypkpgbfhubgbizii",
+        "qtmnusuoxwykspmdqsbrjbyegpercshukreswnmecmjyuchftlifruqlswwkxqzyckdapqudwbdrhylojyrvsmszbtlwfcyshugmaptvjxitfvatmkwvsfqnxsiwlkydtwhrvlenapjvgsrmwqkenijgwmnmjclmglmhoragschglvqyxsvxeetezpkqhaegucgbizii",
+    )
+    assert len(pair[0]) == len(pair[1]) == 200 and pair[0] != pair[1]
+    for large in (suffix_dedup.LARGE_GROUP, 1):
+        rows = [(i, t, "", "") for i, t in enumerate(pair)]
+        assert {r.n_removed for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS), large=large, keep=["doc_id"]).collect()} == {0}
+        rows += [(2, pair[0] + "!", "", "")]
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS), large=large, keep=["doc_id"]).collect()} == {0: 200, 1: 0, 2: 200}
