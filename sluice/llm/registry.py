@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, media, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import bpe, chat, line_dedup, media, minhash_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_files, window_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_token_files": token_files.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_window_dedup": window_dedup.query,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_chat": chat.ORACLE_SQL,
+    "op12_window_dedup": window_dedup.ORACLE_SQL,
 }
