@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, media, minhash_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_files, window_dedup
+from . import bpe, chat, conversation_repair, line_dedup, media, minhash_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_files, window_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_periodic_runs": periodic_runs.query,
     "op12_window_dedup": window_dedup.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_chat": chat.ORACLE_SQL,
     "op12_window_dedup": window_dedup.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }
