@@ -10,10 +10,13 @@ to the bucket of the minimiser's hash, instead of each with its own 20 words.
 In a bucket the windows of a minimiser are sorted by their words, named exactly
 by prefix doubling, and by where they begin: the first of equals stays.
 
-Equal super-k-mers of a task are settled before the shuffle, so that of a group
-of copies each task sends one. A minimiser with more super-k-mers than a task
-should hold (the edges of a passage that very many documents share) has its
-windows sent on one by one, under a keyed digest of 128 bits, and aggregated.
+All super-k-mers would be several times the text, so a first pass sends their
+minimisers and places alone, and only those that meet another of the same
+minimiser are packed. Equal super-k-mers of a task are settled before that, so
+that of a group of copies each task sends one. A minimiser with more
+super-k-mers than a task should hold (the edges of a passage that very many
+documents share) has its windows sent on one by one, under a keyed digest of
+128 bits, and aggregated.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ LARGE_GROUP = 20_000
 SORTED = 20_000
 
 COVER, PACKED, SINGLE = 0, 1, 2
-#: Windows lo .. hi of a document: known to be repeats (COVER), a super-k-mer with its words (PACKED), or one window of
-#: a large group with its digest (SINGLE). id and th, the text's hash, are the document; core is the minimiser's hash.
+#: Windows lo .. hi of a document: known to be repeats (COVER), a super-k-mer, with its words where they are asked for
+#: (PACKED), or one window of a large group with its digest (SINGLE). id and th are the document, core the minimiser's hash.
 ROW = T.StructType(
     [T.StructField("kind", T.ByteType()), T.StructField("core", T.LongType()), T.StructField("packed", T.BinaryType())]
     + [T.StructField(c, T.LongType()) for c in ("id", "th", "lo", "hi")]
@@ -91,49 +94,117 @@ def _anywhere(places: list[tuple]) -> list[int]:
     return mix64(x.view(np.uint64)).view(np.int64).tolist()
 
 
-def _pack(window: int, gram: int):
-    """Texts to super-k-mers; equal ones of the task are settled."""
+class _Held:
+    """Super-k-mers of a task by their words; of equal ones the first place stays and the others are covered."""
+
+    def __init__(self, packed: bool):
+        self.packed = packed
+        self.clear()
+
+    def clear(self) -> None:
+        self.first: dict[bytes, tuple] = {}
+        self.covered: list[tuple] = []
+        self.size = 0
+
+    def add(self, words: bytes, core: int, place: tuple) -> None:
+        known = self.first.get(words)
+        if known is None:
+            self.first[words] = (core, place)
+            self.size += len(words)
+        elif place > known[1]:
+            self.covered.append(place)
+        elif place < known[1]:
+            self.covered.append(known[1])
+            self.first[words] = (core, place)
+
+    def full(self) -> bool:
+        return self.size > HELD or len(self.covered) > 200_000
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield from _rows(COVER, _anywhere(self.covered), None, self.covered)
+        yield from _rows(PACKED, [x[0] for x in self.first.values()], list(self.first) if self.packed else None, [x[1] for x in self.first.values()])
+        self.clear()
+
+
+class _Line:
+    """The words of some documents in one string, to cut super-k-mers from by the places of words."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.words = [w for t in texts for w in t]
+        self.counts = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.line = b" ".join(self.words)
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
+        self.begin = np.append(0, ends)
+
+    def cut(self, lo: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The words lo .. end - 1 of each."""
+        return [self.line[a:b] for a, b in zip(self.begin[lo].tolist(), (self.begin[end] - 1).tolist(), strict=True)]
+
+
+def _scan(window: int, gram: int):
+    """Texts to super-k-mers without their words; equal ones of the task are settled."""
 
     def run(batches):
         hashes = only(("windows",), _Hashes)
-        held: dict[bytes, tuple] = {}
-        covered: list[tuple] = []
-        size = 0
+        held = _Held(False)
+        for batch in (part for whole in batches for part in text_slices(whole, 2)):
+            ids, ths = (batch.column(i).to_pylist() for i in (0, 1))
+            x = _Line([split_words(t) for t in batch.column(2).to_pylist()])
+            if len(x.words) < window:
+                continue
+            lo, hi, core = minimisers(np.fromiter(map(hashes.__getitem__, x.words), np.uint64, len(x.words)), x.counts, window, gram)
+            owner = np.searchsorted(np.cumsum(x.counts), lo, side="right")
+            first = x.starts[owner]
+            for words, d, c, a, b in zip(x.cut(lo, hi + window), owner.tolist(), core.view(np.int64).tolist(), (lo - first).tolist(), (hi - first).tolist(), strict=True):
+                held.add(words, c, (ids[d], ths[d], a, b))
+            if held.full():
+                yield from held.rows()
+        yield from held.rows()
+
+    return run
 
-        def flush():
-            yield from _rows(COVER, _anywhere(covered), None, covered)
-            yield from _rows(PACKED, [x[0] for x in held.values()], list(held), [x[1] for x in held.values()])
-            held.clear()
-            covered.clear()
 
+def _shared(batches):
+    """Rows in the order of their minimisers to those that have company, and what is covered."""
+    before, last = None, None  # the last row, and whether it was sent on
+    for batch in batches:
+        kind = batch.column(0).to_numpy()
+        if (kind == COVER).any():
+            yield batch.filter(pa.array(kind == COVER))
+        batch = batch.filter(pa.array(kind == PACKED))
+        if not batch.num_rows:
+            continue
+        core = batch.column("core").to_numpy()
+        same = core[1:] == core[:-1]
+        company = np.append(same, False) | np.append(False, same)
+        if before is not None and before.column("core")[0].as_py() == core[0]:
+            company[0] = True
+            if not last:
+                yield before
+        before, last = batch.slice(batch.num_rows - 1), bool(company[-1])
+        if company.any():
+            yield batch.filter(pa.array(company))
+
+
+def _pack(window: int):
+    """Documents with the places of super-k-mers (lo, hi, core) to these with their words."""
+
+    def run(batches):
+        only(("windows packed",))
+        held = _Held(True)
         for batch in (part for whole in batches for part in text_slices(whole, 2)):
+            x = _Line([split_words(t) for t in batch.column(2).to_pylist()])
+            asked = batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            lo, hi, core = (asked.flatten().field(k).to_numpy() for k in ("lo", "hi", "core"))
             ids, ths = (batch.column(i).to_pylist() for i in (0, 1))
-            texts = [split_words(t) for t in batch.column(2).to_pylist()]
-            words = [w for t in texts for w in t]
-            if len(words) < window:
-                continue
-            counts = np.array([len(t) for t in texts], np.int64)
-            lo, hi, core = minimisers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), counts, window, gram)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            line = b" ".join(words)
-            owner = np.searchsorted(np.cumsum(counts), lo, side="right")
-            first = (np.cumsum(counts) - counts)[owner]
-            begin, end = ends[lo] - np.fromiter((len(words[i]) + 1 for i in lo.tolist()), np.int64, len(lo)), ends[hi + window - 1] - 1
-            for a, b, d, c, x, y in zip(begin.tolist(), end.tolist(), owner.tolist(), core.view(np.int64).tolist(), (lo - first).tolist(), (hi - first).tolist(), strict=True):
-                packed, place = line[a:b], (ids[d], ths[d], x, y)
-                known = held.get(packed)
-                if known is None:
-                    held[packed] = (c, place)
-                    size += b - a
-                elif place > known[1]:
-                    covered.append(place)
-                elif place < known[1]:
-                    covered.append(known[1])
-                    held[packed] = (c, place)
-            if size > HELD or len(covered) > 200_000:
-                yield from flush()
-                size = 0
-        yield from flush()
+            first = x.starts[owner]
+            for words, d, c, a, b in zip(x.cut(first + lo, first + hi + window), owner.tolist(), core.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                held.add(words, c, (ids[d], ths[d], a, b))
+            if held.full():
+                yield from held.rows()
+        yield from held.rows()
 
     return run
 
@@ -221,20 +292,27 @@ def _count(window: int, large: int, key: bytes):
 
 
 def later_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, large: int = LARGE_GROUP) -> DataFrame:
-    """id, th and spans, a set of (lo, hi): the windows of documents (id, th, text) that begin earlier too."""
+    """id, th and spans, a set of (lo, hi): the windows of documents (id, th, text) that begin earlier too.
+
+    docs are read twice: give a table, not an unstable plan. Rows that repeat
+    id and th count as one.
+    """
     spark = docs.sparkSession
-    packed = docs.select("id", "th", "text").mapInArrow(_pack(window, gram), ROW)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packed.repartition(n, "core").sortWithinPartitions("core")
-    found = materialize(dealt.mapInArrow(_count(window, large, secrets.token_bytes(32)), ROW), "windows")
-    out = found.filter(F.col("kind") == COVER).select("id", "th", "lo", "hi")
+    deal = lambda rows: rows.repartition(n, "core").sortWithinPartitions("core")
+    places = docs.select("id", "th", "text").mapInArrow(_scan(window, gram), ROW).drop("packed")
+    met = materialize(deal(places).mapInArrow(_shared, T.StructType([f for f in ROW if f.name != "packed"])), "windows-met")
+    asked = met.filter(F.col("kind") == PACKED).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi", "core")).alias("asked"))
+    packed = docs.join(asked, ["id", "th"]).select("id", "th", "text", "asked").mapInArrow(_pack(window), ROW)
+    found = materialize(deal(packed).mapInArrow(_count(window, large, secrets.token_bytes(32)), ROW), "windows")
+    out = found.filter(F.col("kind") == COVER).select("id", "th", "lo", "hi").unionByName(met.filter(F.col("kind") == COVER).select("id", "th", "lo", "hi"))
     if found.filter(F.col("kind") == SINGLE).limit(1).count():
         single = found.filter(F.col("kind") == SINGLE).select("packed", F.struct("id", "th", "lo").alias("place"))
         first = single.groupBy("packed").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
         later = single.join(first.select("packed", "first"), "packed").filter("place > first")
         out = out.unionByName(later.select("place.id", "place.th", "place.lo", F.col("place.lo").alias("hi")))
     spans = materialize(out.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "window-spans")
-    forget(found)
+    forget(found, met)
     return spans
 
 
@@ -263,7 +341,10 @@ def dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM, large: int = LA
     names = {f.name for f in FIELDS}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     text = whole_text(text_col)
-    keyed = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
+    # the text's hash travels with every super-k-mer: only where ids repeat is it needed to tell documents apart
+    repeats = df.select(key.alias("id")).groupBy("id").count().filter("count > 1").limit(1).count()
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], key.alias("id"), (F.xxhash64(text) if repeats else F.lit(0).cast("long")).alias("th"), text.alias("text"))
     spans = later_spans(keyed, window, gram, large)
     joined = keyed.join(spans, ["id", "th"], "left").select(*[f"k{i}" for i in range(len(keep))], "text", "spans")
     schema = T.StructType([T.StructField(c, joined.schema[i].dataType) for i, c in enumerate(keep)] + FIELDS)
