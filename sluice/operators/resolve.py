@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settled
+
 
 def posting_outcomes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Tier 1. incoming (source_id, external_id, content_hash, ingest_pos) against existing
@@ -25,22 +27,29 @@ def posting_outcomes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", F.when(F.col("__n") == 1, first).otherwise(later)).drop("__hash", "__active", "__n", "__before")
 
 
-def cluster(postings: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Tier 2. postings (posting_id, job_id, dedup_hash, ingest_pos) against jobs (job_id, dedup_hash):
-    adds assigned_job_id and outcome ALREADY_CLUSTERED, MATCHED or CREATED.
+def cluster(postings: DataFrame, jobs: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """Tiers 2 and 3. postings (posting_id, job_id, dedup_hash, ingest_pos) against jobs (job_id, dedup_hash) and
+    similar (posting_id, job_id): adds assigned_job_id and outcome ALREADY_CLUSTERED, MATCHED, SIMILAR or CREATED.
 
-    The first posting of an unknown hash creates the job (named by the hash),
-    the others match it; ids of postings are unique. A posting that has a job
-    keeps it. The first is found by aggregation, so that a hash with very many
-    postings is not sorted in one task.
+    The first posting of an unknown hash that is similar to no job creates one
+    (named by the whole hash), the others match it; ids of postings are unique.
+    A posting that has a job keeps it. The first is found by aggregation, so
+    that a hash with very many postings is not sorted in one task.
     """
     known = jobs.groupBy("dedup_hash").agg(F.min("job_id").alias("__job"))
+    joined = postings.join(known, "dedup_hash", "left")
+    if similar is None:
+        joined = joined.withColumn("__like", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(similar.select("posting_id", F.col("job_id").alias("__like")), "posting_id", "left")
     free, place = F.col("job_id").isNull(), F.struct("ingest_pos", "posting_id")
-    first = postings.filter(free).groupBy(F.col("dedup_hash").alias("__hash")).agg(F.min(place).alias("__first"))
-    joined = postings.join(known, "dedup_hash", "left").join(first, F.col("dedup_hash").eqNullSafe(F.col("__hash")), "left")
-    outcome = F.when(~free, "ALREADY_CLUSTERED").when(F.col("__job").isNotNull() | (place != F.col("__first")), "MATCHED").otherwise("CREATED")
-    made = F.concat(F.lit("job-"), F.substring("dedup_hash", 1, 16))
-    return joined.withColumn("outcome", outcome).withColumn("assigned_job_id", F.coalesce("job_id", "__job", made)).drop("__job", "__hash", "__first")
+    taken = postings if similar is None else postings.join(similar.select("posting_id"), "posting_id", "left_anti")
+    first = taken.filter(free).groupBy(F.col("dedup_hash").alias("__hash")).agg(F.min(place).alias("__first"))
+    joined = joined.join(first, F.col("dedup_hash").eqNullSafe(F.col("__hash")), "left")
+    matched = F.col("__job").isNotNull()
+    outcome = F.when(~free, "ALREADY_CLUSTERED").when(matched, "MATCHED").when(F.col("__like").isNotNull(), "SIMILAR").when(place != F.col("__first"), "MATCHED").otherwise("CREATED")
+    made = F.concat(F.lit("job-"), "dedup_hash")
+    return joined.withColumn("outcome", outcome).withColumn("assigned_job_id", F.coalesce("job_id", "__job", "__like", made)).drop("__job", "__like", "__hash", "__first")
 
 
 def trigrams(text: Column) -> Column:
@@ -102,30 +111,46 @@ def confirmed_pairs(pairs: DataFrame, rows: DataFrame, block: str, key: str, des
     return alike.filter(F.col("confirmed") >= threshold).drop("w_a", "w_b")
 
 
+def chains(jobs: DataFrame, hops: int) -> DataFrame:
+    """job_id, path and ended of redirected jobs (job_id, merged_into): the ids that up to `hops` redirects lead to.
+
+    ended is END if the last of the path is redirected no further, MISSING if
+    the next one does not exist, and null if the path goes on or around. Paths
+    are doubled: each round appends to a path that of its last id, so that
+    there are log2(hops) joins, each of tables with redirected jobs alone.
+    """
+    targets = jobs.select(F.col("job_id").alias("__t"), F.when(F.col("merged_into").isNull(), "END").otherwise("").alias("__end"))
+    moved = jobs.filter(F.col("merged_into").isNotNull()).select("job_id", "merged_into").join(targets, F.col("merged_into") == F.col("__t"), "left")
+    there = F.col("__t").isNotNull()
+    ended = F.when(~there, "MISSING").when(F.col("__end") == "END", "END")
+    paths = settled(moved.select("job_id", F.when(there, F.array("merged_into")).otherwise(F.slice(F.array("merged_into"), 1, 0)).alias("path"), ended.alias("ended")), "chains")
+    length = 1
+    while length < hops:
+        take = min(length, hops - length)
+        more = paths.select(F.col("job_id").alias("__at"), F.slice("path", 1, take).alias("__more"), F.when(F.size("path") <= take, F.col("ended")).alias("__ended"))
+        longer = paths.filter("ended IS NULL").withColumn("__last", F.element_at("path", -1)).join(more, F.col("__last") == F.col("__at"))
+        longer = longer.select("job_id", F.concat("path", "__more").alias("path"), F.col("__ended").alias("ended"))
+        length += take
+        both = paths.filter("ended IS NOT NULL").unionByName(longer)
+        paths = settled(both, "chains") if length < hops else both
+    return paths
+
+
 def resolve_chains(jobs: DataFrame, hops: int = 8, cycle_to_repeat: bool = False) -> DataFrame:
     """job_id, canonical_id of jobs (job_id, merged_into).
 
     Read side (default): at most `hops` redirects; a missing target, a cycle
     or a longer chain gives null. Write side (cycle_to_repeat, 10 hops): the
     first repeated id of a cycle, the last id before a missing target, or the
-    last id reached. Pointer joins, `hops` of them at most; only jobs that are
-    redirected take part.
+    last id reached. An empty table gives an empty table.
     """
-    targets = jobs.select(F.col("job_id").alias("__t"), F.col("merged_into").alias("__next"), F.lit(True).alias("__there"))
-    state = jobs.select("job_id", F.col("merged_into").alias("at"), F.array("job_id").alias("seen"), F.when(F.col("merged_into").isNull(), F.col("job_id")).alias("found"), F.col("merged_into").isNull().alias("done"))
-    rest, finished = state.filter(~F.col("done")), state.filter("done").select("job_id", F.col("found").alias("canonical_id"))
-    for hop in range(hops):
-        step = rest.join(targets, F.col("at") == F.col("__t"), "left")
-        missing, repeat = F.col("__there").isNull(), F.array_contains("seen", F.col("at"))
-        last = F.element_at("seen", -1)
-        end = F.col("__next").isNull() & ~missing
-        found = F.when(repeat, F.col("at") if cycle_to_repeat else F.lit(None)).when(missing, last if cycle_to_repeat else F.lit(None)).when(end, F.col("at"))
-        if hop == hops - 1:
-            found = F.coalesce(found, F.when(~repeat & ~missing & ~end, F.col("at") if cycle_to_repeat else F.lit(None)))
-        state = step.select("job_id", F.col("__next").alias("at"), F.concat("seen", F.array("at")).alias("seen"), found.alias("found"), (repeat | missing | end | F.lit(hop == hops - 1)).alias("done"))
-        finished = finished.unionByName(state.filter("done").select("job_id", F.col("found").alias("canonical_id")))
-        rest = state.filter(~F.col("done"))
-    return finished
+    still = jobs.filter(F.col("merged_into").isNull()).select("job_id", F.col("job_id").alias("canonical_id"))
+    paths = chains(jobs, hops)
+    if not cycle_to_repeat:
+        return still.unionByName(paths.select("job_id", F.when(F.col("ended") == "END", F.element_at("path", -1)).alias("canonical_id")))
+    walked = paths.select("job_id", F.concat(F.array("job_id"), "path").alias("w"))
+    repeat = F.filter("w", lambda x, i: F.array_contains(F.slice(F.col("w"), F.lit(1), i), x))
+    return still.unionByName(walked.select("job_id", F.coalesce(F.get(repeat, F.lit(0)), F.element_at("w", -1)).alias("canonical_id")))
 
 
 def richest(postings: DataFrame, cluster_col: str, text_col: str, key: str) -> DataFrame:

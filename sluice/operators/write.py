@@ -24,21 +24,27 @@ def split_usable(postings: DataFrame, problem: Column) -> tuple[DataFrame, DataF
     return marked.filter(F.col("problem").isNull()).drop("problem"), marked.filter(F.col("problem").isNotNull())
 
 
+#: What a posting has besides its content: who it is, when it was seen, and its job.
+POSTING_KEYS, POSTING_STATE = ("source_id", "external_id"), ("first_seen_at", "last_seen_at", "is_active", "job_id")
+
+
 def upsert_postings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """A new snapshot of postings (source_id, external_id, content_hash, title, first_seen_at, last_seen_at, is_active, job_id)
-    after incoming (source_id, external_id, content_hash, title, seen_at, ingest_pos).
+    """A new snapshot of postings (source_id, external_id, their content, first_seen_at, last_seen_at, is_active, job_id)
+    after incoming (source_id, external_id, their content, seen_at, ingest_pos).
 
-    The last incoming row of a key by ingest_pos decides its content. A posting
-    that is seen is active, keeps its job and its first sight; one that is not
-    stays as it is.
+    The content is whatever other columns existing has; what incoming has
+    besides is left out. The last incoming row of a key by ingest_pos decides
+    it. A posting that is seen is active, keeps its job and its first sight; one
+    that is not stays as it is.
     """
-    keys = ["source_id", "external_id"]
-    seen = incoming.groupBy(*keys).agg(F.max_by(F.struct("content_hash", "title"), "ingest_pos").alias("new"), F.min("seen_at").alias("from"), F.max("seen_at").alias("to"))
+    keys = list(POSTING_KEYS)
+    content = [c for c in existing.columns if c not in (*POSTING_KEYS, *POSTING_STATE)]
+    seen = incoming.groupBy(*keys).agg(F.max_by(F.struct(*content), "ingest_pos").alias("new"), F.min("seen_at").alias("from"), F.max("seen_at").alias("to"))
     both = existing.join(seen, keys, "full_outer")
     is_seen = F.col("new").isNotNull()
     return both.select(
         *keys,
-        *[F.when(is_seen, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("content_hash", "title")],
+        *[F.when(is_seen, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in content],
         F.coalesce("first_seen_at", "from").alias("first_seen_at"),
         F.when(is_seen, F.greatest("last_seen_at", "to")).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
         (is_seen | F.coalesce("is_active", F.lit(False))).alias("is_active"),
@@ -46,22 +52,20 @@ def upsert_postings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def upsert_jobs(jobs: DataFrame, postings: DataFrame, now: Column) -> DataFrame:
-    """A new snapshot of jobs (job_id, dedup_hash, title, effective_posted_at, first_seen_at, last_seen_at, is_active, junior_level)
-    after postings (as of resolve.cluster, with title and posted_at) were assigned.
+def upsert_jobs(jobs: DataFrame, assigned: DataFrame, now: Column) -> DataFrame:
+    """A new snapshot of jobs after postings were assigned to them (as by resolve.cluster).
 
-    A hash that no job has makes one, from its first posting by ingest_pos: it
-    was posted at posted_at or else now, and is not classified. Jobs that are
+    A hash that no job has makes one, from its first posting by ingest_pos,
+    with all columns that jobs and the posting share: it was posted at
+    posted_at or else now, and is neither classified nor merged. Jobs that are
     matched are seen now and active; their own fields stay.
     """
-    assigned = resolve.cluster(postings, jobs)
-    made = assigned.filter(F.col("outcome") == "CREATED").select(
-        F.col("assigned_job_id").alias("job_id"), "dedup_hash", "title", F.coalesce("posted_at", now).alias("effective_posted_at"), now.alias("first_seen_at"), now.alias("last_seen_at"),
-        F.lit(True).alias("is_active"), F.lit(None).cast("string").alias("junior_level"),
-    )
-    touched = assigned.groupBy(F.col("assigned_job_id").alias("job_id")).agg(F.lit(True).alias("seen"))
-    kept = jobs.join(touched, "job_id", "left").withColumns({"last_seen_at": F.when(F.col("seen"), now).otherwise(F.col("last_seen_at")), "is_active": F.coalesce("seen", "is_active")}).drop("seen")
-    return kept.unionByName(made)
+    given = {"job_id": F.col("assigned_job_id"), "effective_posted_at": F.coalesce("posted_at", now), "first_seen_at": now, "last_seen_at": now, "is_active": F.lit(True)}
+    value = lambda f: given.get(f.name, F.col(f"`{f.name}`") if f.name in assigned.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+    made = assigned.filter(F.col("outcome") == "CREATED").select(*[value(f) for f in jobs.schema])
+    touched = assigned.filter(F.col("outcome") != "CREATED").groupBy(F.col("assigned_job_id").alias("job_id")).agg(F.lit(True).alias("seen"))
+    kept = jobs.join(touched, "job_id", "left").withColumns({"last_seen_at": F.when(F.col("seen"), now).otherwise(F.col("last_seen_at")), "is_active": F.coalesce("seen", "is_active")})
+    return kept.select(*jobs.columns).unionByName(made)
 
 
 def in_flight(runs: DataFrame) -> DataFrame:

@@ -352,7 +352,7 @@ def tier1_outcome(t):
     "tier2_cluster",
     """WITH p AS (SELECT doc_id, sha256(text) AS h, CASE WHEN doc_id % 11 = 0 THEN 'own-' || doc_id END AS job FROM documents), j AS (SELECT h, 'known-' || min(doc_id) AS job FROM p WHERE doc_id % 5 = 0 GROUP BY h)
        SELECT doc_id, CASE WHEN p.job IS NOT NULL THEN 'ALREADY_CLUSTERED' WHEN j.job IS NOT NULL OR row_number() OVER (PARTITION BY p.h, p.job IS NULL ORDER BY doc_id) > 1 THEN 'MATCHED' ELSE 'CREATED' END AS outcome,
-       coalesce(p.job, j.job, 'job-' || left(p.h, 16)) AS assigned_job_id FROM p LEFT JOIN j ON p.h = j.h""",
+       coalesce(p.job, j.job, 'job-' || p.h) AS assigned_job_id FROM p LEFT JOIN j ON p.h = j.h""",
 )
 def tier2_cluster(t):
     p = t("documents").select(F.col("doc_id").alias("posting_id"), F.sha2("text", 256).alias("dedup_hash"), F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("own-"), F.col("doc_id").cast("string"))).alias("job_id"), F.col("doc_id").alias("ingest_pos"))
@@ -386,7 +386,15 @@ def merge_chain(t):
     return resolve.resolve_chains(jobs).withColumn("redirected_from", F.when(F.col("canonical_id") != F.col("job_id"), F.col("job_id")))
 
 
-@query("merge_chain_write")
+_CHAIN_WRITE = "SELECT c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 17 = 1 THEN c_custkey - 3 WHEN c_custkey % 31 = 2 THEN c_custkey + 1000000 ELSE c_custkey + 1 END AS nxt FROM customer"
+
+
+@query(
+    "merge_chain_write",
+    f"""WITH RECURSIVE j AS ({_CHAIN_WRITE}), w(id, path, nxt, hop) AS (SELECT id, [id], nxt, 0 FROM j UNION ALL SELECT w.id, list_append(w.path, j.id), j.nxt, hop + 1 FROM w JOIN j ON w.nxt = j.id WHERE hop < 10 AND NOT list_contains(w.path, j.id)),
+        l AS (SELECT id, arg_max(path, hop) AS path, arg_max(coalesce(nxt, -1), hop) AS nxt, max(hop) AS hop FROM w GROUP BY id)
+        SELECT id AS job_id, CASE WHEN hop < 10 AND list_contains(path, nxt) THEN nxt ELSE path[-1] END AS canonical_id FROM l""",
+)
 def merge_chain_write(t):
     c = F.col("c_custkey")
     jobs = t("customer").select(c.alias("job_id"), F.when(c % 13 == 0, None).when(c % 17 == 1, c - 3).when(c % 31 == 2, c + 1000000).otherwise(c + 1).alias("merged_into"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as d
 from ..functions import lists, text
 from ..operators import classify, flow, ingest, readmodel, resolve, write
+from ..operators.similar import TitleIndex
+from ..storage import shared_folder
 from .catalogue import _GRAMS, NOW, now, query, sql_fold, sql_list, sql_slug, sql_title
 
 _AT = f"TIMESTAMP '{NOW}'"
@@ -40,14 +42,14 @@ def posting_upsert(t):
         j AS (SELECT h, 'known-' || min(doc_id) AS job FROM p WHERE doc_id % 5 = 0 GROUP BY h),
         n AS (SELECT h, arg_min(title, doc_id) AS title, arg_min(coalesce(posted, {_AT}), doc_id) AS seen FROM p WHERE h NOT IN (SELECT h FROM j) GROUP BY h)
         SELECT job AS job_id, h AS dedup_hash, 'old' AS title, TIMESTAMP '2020-01-01' AS effective_posted_at, TIMESTAMP '2020-01-01' AS first_seen_at, {_AT} AS last_seen_at, true AS is_active, 'AMBIGUOUS' AS junior_level FROM j
-        UNION ALL SELECT 'job-' || left(h, 16), h, title, seen, {_AT}, {_AT}, true, NULL FROM n""",
+        UNION ALL SELECT 'job-' || h, h, title, seen, {_AT}, {_AT}, true, NULL FROM n""",
 )
 def job_upsert(t):
     p = t("documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("posting_id"), F.col("doc_id").alias("ingest_pos"), F.sha2("text", 256).alias("dedup_hash"), F.substring("text", 1, 20).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.expr("timestamp_ntz'2024-01-01'")).alias("posted_at"), F.lit(None).cast("string").alias("job_id"))
     then = F.expr("timestamp_ntz'2020-01-01'")
     jobs = p.filter("posting_id % 5 = 0").groupBy("dedup_hash").agg(F.concat(F.lit("known-"), F.min("posting_id").cast("string")).alias("job_id"))
     jobs = jobs.select("job_id", "dedup_hash", F.lit("old").alias("title"), then.alias("effective_posted_at"), then.alias("first_seen_at"), then.alias("last_seen_at"), F.lit(False).alias("is_active"), F.lit("AMBIGUOUS").alias("junior_level"))
-    return write.upsert_jobs(jobs, p, now())
+    return write.upsert_jobs(jobs, resolve.cluster(p, jobs), now())
 
 
 @query(
@@ -294,22 +296,72 @@ def ingestion_plan(t):
     return ingest.ingestion_plan(sources, runs)
 
 
+_TITLE = "c_mktsegment || ' lead'"
+
+
+def _payloads(t, title, at, country=None):
+    """Raw documents with a listing of each customer's nation and segment."""
+    k = F.col("c_custkey").cast("string")
+    said = F.struct(title.alias("title"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"), F.lit(" GmbH")).alias("company"), (F.lit(None).cast("string") if country is None else country).alias("country"), F.lit("<p>Work</p>").alias("description"))
+    return t("customer").select(F.lit("s").alias("source_id"), k.alias("external_id"), F.sha2(title, 256).alias("content_hash"), F.concat(F.lit("https://x/"), k).alias("url"), F.to_json(said).alias("payload"), F.expr(f"timestamp_ntz'{at}'").alias("fetched_at"))
+
+
 @query(
     "raw_to_jobs",
-    f"""SELECT 'job-' || left(h, 16) AS job_id, min(title) AS title, count(*) AS n_postings, count(*) FILTER (WHERE is_new) AS n_new FROM (SELECT c_custkey % 3 <> 0 AS is_new, c_mktsegment || ' lead' AS title,
-        sha256({sql_slug("'Nation ' || c_nationkey || ' GmbH'")} || '|' || {sql_title("c_mktsegment || ' lead'")} || '|' || CASE WHEN c_nationkey % 2 = 0 THEN 'DE' ELSE '' END) AS h FROM customer WHERE c_custkey % 10 <> 0) GROUP BY 1""",
+    f"""SELECT 'job-' || h AS job_id, min(title) AS title, min(slug) AS company_slug, min(company) AS company_name, min(normalized) AS normalized_title, min(country) AS country_code, 'en' AS language, 'Work' AS description,
+        {_AT} AS effective_posted_at, count(*) AS n_postings, count(*) FILTER (WHERE is_new) AS n_new, min('https://x/' || k) AS first_url
+        FROM (SELECT *, sha256(slug || '|' || normalized || '|' || coalesce(country, '')) AS h FROM (SELECT CAST(c_custkey AS VARCHAR) AS k, c_custkey % 3 <> 0 AS is_new, {_TITLE} AS title, 'Nation ' || c_nationkey || ' GmbH' AS company,
+        {sql_slug("'Nation ' || c_nationkey || ' GmbH'")} AS slug, {sql_title(_TITLE)} AS normalized, CASE WHEN c_nationkey % 2 = 0 THEN 'DE' END AS country FROM customer WHERE c_custkey % 10 <> 0)) GROUP BY h""",
 )
 def raw_to_jobs(t):
-    k = F.col("c_custkey")
-    country = F.when(F.col("c_nationkey") % 2 == 0, "de")
-    payload = lambda title: F.to_json(F.struct(title.alias("title"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"), F.lit(" GmbH")).alias("company"), country.alias("country"), F.lit("<p>Work</p>").alias("description")))
-    key = [F.lit("s").alias("source_id"), k.cast("string").alias("external_id")]
-    raw = lambda title, at: t("customer").select(*key, F.sha2(title, 256).alias("content_hash"), F.concat(F.lit("https://x/"), k.cast("string")).alias("url"), payload(title).alias("payload"), F.expr(f"timestamp_ntz'{at}'").alias("fetched_at"))
+    k, country = F.col("c_custkey"), F.when(F.col("c_nationkey") % 2 == 0, "de")
     title = F.when(k % 10 != 0, F.concat("c_mktsegment", F.lit(" lead")))
-    both = raw(F.lit("old title"), "1998-07-01 00:00:00").unionByName(raw(title, "1998-08-01 00:00:00"))
+    both = _payloads(t, F.lit("old title"), "1998-07-01 00:00:00", country).unionByName(_payloads(t, title, "1998-08-01 00:00:00", country))
     then = F.expr("timestamp_ntz'1998-01-01 00:00:00'")
-    before = t("customer").filter("c_custkey % 3 = 0").select(*key, F.lit("h").alias("content_hash"), F.lit("old").alias("title"), then.alias("first_seen_at"), then.alias("last_seen_at"), F.lit(False).alias("is_active"), F.lit(None).cast("string").alias("job_id"))
-    jobs = t("customer").limit(0).select(F.lit("").alias("job_id"), F.lit("").alias("dedup_hash"), F.lit("").alias("title"), then.alias("effective_posted_at"), then.alias("first_seen_at"), then.alias("last_seen_at"), F.lit(True).alias("is_active"), F.lit(None).cast("string").alias("junior_level"))
-    made = flow.resolve_batch(flow.candidates(both), before, jobs, now())
-    counts = made.postings.filter("is_active").groupBy("job_id").agg(F.count("*").alias("n_postings"), F.count_if(F.col("first_seen_at") > then).alias("n_new"))
-    return made.jobs.join(counts, "job_id").select("job_id", "title", "n_postings", "n_new")
+    spark = t("customer").sparkSession
+    postings, jobs = (spark.createDataFrame([], s) for s in (flow.POSTING, flow.JOB))
+    before = t("customer").filter("c_custkey % 3 = 0").select(F.lit("s").alias("source_id"), k.cast("string").alias("external_id"), F.lit("old").alias("title"), then.alias("first_seen_at"), then.alias("last_seen_at"), F.lit(False).alias("is_active"))
+    made = flow.resolve_batch(flow.candidates(both), postings.unionByName(before, allowMissingColumns=True), jobs, now())
+    counts = made.postings.filter("is_active").groupBy("job_id").agg(F.count("*").alias("n_postings"), F.count_if(F.col("first_seen_at") > then).alias("n_new"), F.min("url").alias("first_url"))
+    return made.jobs.join(counts, "job_id").select("job_id", "title", "company_slug", "company_name", "normalized_title", "country_code", "language", "description", "effective_posted_at", "n_postings", "n_new", "first_url")
+
+
+_STORED = "p_partkey % 3 = 0"
+
+
+@query(
+    "tier3_assignment",
+    f"""WITH g AS (SELECT p_brand AS block, p_partkey AS k, {_GRAMS} AS g, {_WORDS} AS w FROM part), p AS (SELECT a.k AS posting_id, b.k AS job_id, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS s,
+        len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS d FROM g a JOIN g b ON a.block = b.block AND a.k % 3 <> 0 AND b.k % 3 = 0)
+        SELECT posting_id, 'job-' || lpad(CAST(job_id AS VARCHAR), 12, '0') AS job_id, round(s, 9) AS similarity, round(d, 9) AS confirmed FROM (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY s DESC, d DESC, job_id) AS n FROM p WHERE s >= 0.6 AND d >= 0.5) WHERE n = 1""",
+)
+def tier3_assignment(t):
+    rows = t("part").withColumn("described", F.concat_ws(" ", "p_type", "p_name"))
+    index = TitleIndex.create(t("part").sparkSession, shared_folder(t("part").sparkSession, "title-index"), rows, "p_name")
+    jobs = rows.filter(_STORED).withColumn("job_id", F.concat(F.lit("job-"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")))
+    # two batches of jobs, as they would come
+    for k in (0, 1):
+        index.add(jobs.filter(F.col("p_partkey") % 2 == k), "p_brand", "job_id", "p_name", "described")
+    best = index.best(rows.filter(f"NOT {_STORED}"), "p_brand", "p_partkey", "p_name", "described")
+    return best.select(F.col("p_partkey").alias("posting_id"), "job_id", *[F.round(c, 9).alias(c) for c in ("similarity", "confirmed")])
+
+
+_SEGMENT = "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' service lead' ELSE c_mktsegment || ' services lead' END"
+
+
+@query(
+    "stored_batches",
+    f"""WITH p AS (SELECT c_custkey % 2 AS batch, sha256({sql_slug("'Nation ' || c_nationkey || ' GmbH'")} || '|' || {sql_title(_SEGMENT)} || '|') AS h,
+          sha256({sql_slug("'Nation ' || c_nationkey || ' GmbH'")} || '|' || {sql_title("c_mktsegment || ' service lead'")} || '|') AS first FROM customer),
+        f AS (SELECT DISTINCT h FROM p WHERE batch = 0)
+        SELECT 'job-' || CASE WHEN first IN (SELECT h FROM f) THEN first ELSE h END AS job_id, count(*) AS n_postings, count(*) FILTER (batch = 1) AS n_late FROM p GROUP BY 1""",
+)
+def stored_batches(t):
+    """Postings of the second batch spell their titles another way, and join the jobs of the first by tier 3."""
+    spark = t("customer").sparkSession
+    store = flow.JobStore.create(spark, shared_folder(spark, "jobs"), buckets=8)
+    title = F.expr(_SEGMENT)
+    raw = _payloads(t, title, "1998-08-01 00:00:00")
+    store.ingest(raw.filter("int(external_id) % 2 = 0"), now())
+    store.ingest(raw.filter("int(external_id) % 2 = 1"), now())
+    return store.postings.read().groupBy("job_id").agg(F.count("*").alias("n_postings"), F.count_if(F.col("external_id").cast("int") % 2 == 1).alias("n_late"))

@@ -191,7 +191,7 @@ def test_batch_twice_and_quarantine(spark):
     payload = lambda title, company="Aurelia GmbH": json.dumps({"title": title, "company": company})
     rows = [("s", "1", "a", "https://x/1", payload("Dev (m/w/d)"), when), ("s", "2", "b", "https://x/2", payload("DEV", "aurelia"), when), ("t", "1", "c", "https://x/3", payload("Ops"), when), ("t", "2", "d", "https://x/4", "{broken", when), ("t", "3", "e", "https://x/5", payload(" "), when)]
     raw = spark.createDataFrame(rows, "source_id string, external_id string, content_hash string, url string, payload string, fetched_at timestamp_ntz")
-    empty = [spark.createDataFrame([], s) for s in ("source_id string, external_id string, content_hash string, title string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, is_active boolean, job_id string", "job_id string, dedup_hash string, title string, effective_posted_at timestamp_ntz, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, is_active boolean, junior_level string")]
+    empty = [spark.createDataFrame([], s) for s in (flow.POSTING, flow.JOB)]
     now = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
     found = flow.candidates(raw)
     one = flow.resolve_batch(found, *empty, now)
