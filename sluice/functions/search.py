@@ -154,7 +154,9 @@ def english_stem(word: str) -> str:
 
 
 def lexemes(text: str, configuration: str) -> list[str]:
-    """Stems of a text's words, without the configuration's stop words, in order."""
+    """Stems of a text's words, without the configuration's stop words, in order; configuration simple has neither."""
+    if configuration == "simple":
+        return _WORD.findall(text.lower())
     stem, stop = (german_stem, set(GERMAN_WORDS)) if configuration == "german" else (english_stem, set(ENGLISH_WORDS))
     return [stem(w) for w in _WORD.findall(text.lower()) if w not in stop]
 

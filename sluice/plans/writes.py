@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
-from ..functions import lists, text
+from ..functions import lists, search, text
 from ..operators import classify, flow, ingest, readmodel, resolve, write
 from ..operators.similar import TitleIndex
+from ..operators.textindex import TextIndex
 from ..storage import shared_folder
 from .catalogue import _GRAMS, NOW, now, query, sql_fold, sql_list, sql_slug, sql_title
 
@@ -365,3 +366,34 @@ def stored_batches(t):
     store.ingest(raw.filter("int(external_id) % 2 = 0"), now())
     store.ingest(raw.filter("int(external_id) % 2 = 1"), now())
     return store.postings.read().groupBy("job_id").agg(F.count("*").alias("n_postings"), F.count_if(F.col("external_id").cast("int") % 2 == 1).alias("n_late"))
+
+
+_TOKENS = "regexp_extract_all(lower({x}), '[\\pL\\pN]+')"
+
+
+@query(
+    "fts_index_search",
+    f"""WITH d AS (SELECT doc_id, {_TOKENS.format(x="coalesce(source, '')")} AS b, {_TOKENS.format(x="coalesce(text, '')")} AS c FROM documents),
+        w AS (SELECT doc_id, unnest(list_concat(b, c)) AS lexeme, unnest(range(1, len(b) + len(c) + 1)) AS place, len(b) AS n_b FROM d),
+        e AS (SELECT doc_id, lexeme, sum(n) AS score FROM (SELECT doc_id, lexeme, (CASE WHEN place <= n_b THEN 0.4 ELSE 0.2 END) * ln(1 + count(*)) AS n FROM w GROUP BY doc_id, lexeme, place <= n_b) GROUP BY doc_id, lexeme),
+        q AS (SELECT item_id, {_TOKENS.format(x="text")} AS x FROM benchmark WHERE len({_TOKENS.format(x="text")}) >= 8),
+        has AS (SELECT item_id, k, doc_id FROM (SELECT item_id, unnest([1, 2, 3]) AS k, unnest(x[1:3]) AS lexeme FROM q) JOIN e USING (lexeme)),
+        phrase AS (SELECT DISTINCT item_id, a.doc_id FROM q JOIN w a ON a.lexeme = x[4] JOIN w b ON b.lexeme = x[5] AND b.doc_id = a.doc_id AND b.place = a.place + 1 JOIN w c ON c.lexeme = x[6] AND c.doc_id = a.doc_id AND c.place = a.place + 2),
+        fits AS (SELECT item_id, doc_id FROM has GROUP BY 1, 2 HAVING count(*) FILTER (k < 3) = 2 AND count(*) FILTER (k = 3) = 0 UNION SELECT item_id, doc_id FROM phrase),
+        wanted AS (SELECT DISTINCT item_id, unnest([x[1], x[2], x[4], x[5], x[6]]) AS lexeme FROM q),
+        ranked AS (SELECT fits.item_id, fits.doc_id, round(sum(score), 7) AS rank FROM fits JOIN wanted USING (item_id) JOIN e ON e.doc_id = fits.doc_id AND e.lexeme = wanted.lexeme GROUP BY 1, 2)
+        SELECT item_id AS query_id, doc_id AS key, rank FROM ranked""",
+)
+def fts_index_search(t):
+    """Each benchmark item as a query: two of its words without the third, or three in a row."""
+    spark = t("documents").sparkSession
+    index = TextIndex.create(spark, shared_folder(spark, "text-index"))
+    docs = t("documents").withColumn("configuration", F.lit("simple"))
+    vectors = docs.select(F.col("doc_id").alias("key"), "configuration", search.search_vector(F.lit(None).cast("string"), F.col("source"), F.col("text"), F.col("configuration")).alias("vector"))
+    for k in (0, 1):  # two batches, as documents would come
+        index.add(vectors.filter(F.col("key") % 2 == k))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    items = t("benchmark").select("item_id", words.alias("w")).filter("size(w) >= 8")
+    said = F.format_string('%s %s -%s or "%s %s %s"', *[F.get("w", F.lit(i)) for i in range(6)])
+    found = index.search(items.select(F.col("item_id").alias("query_id"), F.lit("simple").alias("configuration"), said.alias("query")))
+    return found.withColumn("rank", F.round("rank", 7))
