@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text
 from ..storage import SnapshotTable, settled
-from . import resolve, write
+from . import merge, resolve, write
 from .similar import TitleIndex
 
 KEYS = ["source_id", "external_id"]
@@ -151,3 +151,21 @@ class JobStore:
         self.jobs.rewrite(ids, lambda _: out.jobs)
         self.postings.rewrite(good, lambda _: out.postings)
         return out
+
+    def merge(self, merges: DataFrame) -> DataFrame:
+        """Merge jobs (job_a, job_b); returns job_id and winner of all that changed.
+
+        Jobs are read three columns wide to find the groups, postings one wide
+        to find theirs; buckets with neither stay. Postings are written first:
+        if the merge dies before the jobs are, it can be given again.
+        """
+        facts = self.jobs.read().select("job_id", "merged_into", "first_seen_at")
+        groups = settled(merge.merge_groups(facts, merges), "groups")
+        moved = settled(self.postings.read().join(groups, "job_id", "left_semi").select(*KEYS), "moved")
+        jobs, postings = self.jobs.read(only=self.jobs.touched(groups)), self.postings.read(only=self.postings.touched(moved))
+        saved = self.spark.createDataFrame([], "user_id string, job_id string, saved_at timestamp_ntz")
+        made = merge.merged(jobs, postings, saved, groups)
+        new_jobs = settled(made.jobs, "merged")  # from the postings as they are now
+        self.postings.rewrite(moved, lambda _: made.postings)
+        self.jobs.rewrite(groups, lambda _: new_jobs)
+        return groups

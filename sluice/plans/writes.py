@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
 from ..functions import lists, search, text
-from ..operators import classify, flow, ingest, readmodel, resolve, write
+from ..operators import classify, flow, ingest, merge, readmodel, resolve, write
 from ..operators.similar import TitleIndex
 from ..operators.textindex import TextIndex
 from ..storage import shared_folder
@@ -397,3 +397,36 @@ def fts_index_search(t):
     said = F.format_string('%s %s -%s or "%s %s %s"', *[F.get("w", F.lit(i)) for i in range(6)])
     found = index.search(items.select(F.col("item_id").alias("query_id"), F.lit("simple").alias("configuration"), said.alias("query")))
     return found.withColumn("rank", F.round("rank", 7))
+
+
+_FIRST = "TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * CAST(c_custkey * 37 % 100 AS INT)"
+
+
+@query(
+    "job_merge",
+    f"""WITH RECURSIVE j AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 5 THEN c_custkey - 4 END AS old, c_name AS title, 'none' AS description, {_FIRST} AS f, {_FIRST} + INTERVAL 200 DAY AS l, c_custkey % 3 = 0 AS active FROM customer),
+        m AS (SELECT c_custkey AS a, c_custkey + CASE WHEN c_custkey % 50 = 0 THEN 1000000 WHEN c_custkey % 7 IN (1, 2, 5) THEN 1 ELSE 0 END AS b FROM customer),
+        e AS (SELECT coalesce(x.old, x.id) AS a, coalesce(y.old, y.id) AS b FROM m JOIN j x ON m.a = x.id JOIN j y ON m.b = y.id WHERE coalesce(x.old, x.id) <> coalesce(y.old, y.id)),
+        r AS (SELECT a, b FROM (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e) UNION SELECT r.a, x.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) x ON r.b = x.a),
+        c AS (SELECT a AS id, min(b) AS c FROM r GROUP BY a), w AS (SELECT c, arg_min(id, (f, id)) AS winner FROM c JOIN j USING (id) GROUP BY c),
+        g AS (SELECT j.id, winner FROM j JOIN c ON coalesce(j.old, j.id) = c.id JOIN w USING (c)),
+        p AS (SELECT o_orderkey AS k, coalesce(winner, o_custkey) AS id, o_orderpriority AS title, repeat('d', CAST(o_orderkey % 9 AS INT)) AS description FROM orders LEFT JOIN g ON o_custkey = id),
+        s AS (SELECT o_orderkey % 20 AS u, coalesce(winner, o_custkey) AS id, max(o_orderdate) AS at_ FROM orders LEFT JOIN g ON o_custkey = id WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),
+        rich AS (SELECT id, arg_min(title, (-length(description), k)) AS title, max(description) AS description, count(*) AS n FROM p GROUP BY id), sv AS (SELECT id, count(*) AS n, max(at_) AS last FROM s GROUP BY id),
+        t AS (SELECT winner, min(f) AS f, max(l) AS l, bool_or(active) AS active FROM g JOIN j USING (id) GROUP BY winner)
+        SELECT j.id AS job_id, CASE WHEN g.winner = j.id THEN NULL ELSE coalesce(g.winner, j.old) END AS merged_into, CASE WHEN g.winner = j.id THEN coalesce(rich.title, j.title) ELSE j.title END AS title,
+        CASE WHEN g.winner = j.id THEN coalesce(rich.description, j.description) ELSE j.description END AS description, coalesce(t.f, j.f) AS first_seen_at, coalesce(t.l, j.l) AS last_seen_at, coalesce(t.active, j.active) AS is_active,
+        coalesce(rich.n, 0) AS n_postings, coalesce(sv.n, 0) AS n_saved, sv.last AS last_saved
+        FROM j LEFT JOIN g ON j.id = g.id LEFT JOIN t ON t.winner = j.id LEFT JOIN rich ON rich.id = j.id LEFT JOIN sv ON sv.id = j.id""",
+)
+def job_merge(t):
+    """A batch of merges with chains, merges of merged jobs, of unknown ones and of a job with itself."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    first = F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(int(c_custkey * 37 % 100))")
+    jobs = t("customer").select(k.alias("job_id"), F.when(k % 7 == 5, k - 4).alias("merged_into"), F.col("c_name").alias("title"), F.lit("none").alias("description"), first.alias("first_seen_at"), (first + F.expr("interval 200 days")).alias("last_seen_at"), (k % 3 == 0).alias("is_active"))
+    merges = t("customer").select(k.alias("job_a"), (k + F.when(k % 50 == 0, 1000000).when((k % 7).isin(1, 2, 5), 1).otherwise(0)).alias("job_b"))
+    postings = t("orders").select(F.lit("s").alias("source_id"), o.alias("external_id"), F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("title"), F.expr("repeat('d', int(o_orderkey % 9))").alias("description"))
+    saved = t("orders").filter("o_orderkey % 3 = 0").select((o % 20).alias("user_id"), F.col("o_custkey").alias("job_id"), F.col("o_orderdate").alias("saved_at"))
+    made = merge.merge_jobs(jobs, postings, saved, merges)
+    listed, kept = made.postings.groupBy("job_id").agg(F.count("*").alias("n_postings")), made.saved.groupBy("job_id").agg(F.count("*").alias("n_saved"), F.max("saved_at").alias("last_saved"))
+    return made.jobs.join(listed, "job_id", "left").join(kept, "job_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_postings", "n_saved")})

@@ -163,3 +163,31 @@ def test_a_merged_job_passes_its_postings_on(spark, tmp_path):
     store.ingest(raw(spark, [("t", "3", "Cook", "Soup", {})], 2), now(2))
     postings, jobs = state(store)
     assert postings["3"].job_id == gardener and jobs[gardener].last_seen_at == dt.datetime(2024, 1, 2) and jobs[cook].last_seen_at == dt.datetime(2024, 1, 1)
+
+
+def test_merges_in_stored_tables(spark, tmp_path, monkeypatch):
+    store = flow.JobStore.create(spark, f"file://{tmp_path}/jobs", buckets=16)
+    store.ingest(raw(spark, [("s", "1", "Cook", "short", {}), ("s", "2", "Gardener", WORDS, {}), ("s", "3", "Pilot", "fly", {}), ("s", "4", "Nurse", "care", {})], 1), now(1))
+    postings, jobs = state(store)
+    cook, gardener, pilot, nurse = (postings[k].job_id for k in "1234")
+    merges = spark.createDataFrame([(cook, gardener), (gardener, pilot)], "job_a string, job_b string")
+
+    def crash(*_):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.jobs, "rewrite", crash)
+        with pytest.raises(OSError):
+            store.merge(merges)
+    before = store.jobs.folders()
+    winner = min(cook, gardener, pilot)
+    assert {r.job_id: r.winner for r in store.merge(merges).collect()} == dict.fromkeys((cook, gardener, pilot), winner)
+    postings, jobs = state(store)
+    assert {postings[k].job_id for k in "123"} == {winner} and postings["4"].job_id == nurse
+    assert (jobs[winner].title, jobs[winner].description, jobs[winner].merged_into) == ("Gardener", WORDS, None)
+    assert {jobs[j].merged_into for j in (cook, gardener, pilot) if j != winner} == {winner}
+    touched = set(store.jobs.touched(store.jobs.read().filter(F.col("job_id") != nurse)))
+    assert {b for b, f in store.jobs.folders().items() if f != before.get(b)} == touched
+    store.ingest(raw(spark, [("t", "5", "Cook", "soup", {})], 2), now(2))
+    assert state(store)[0]["5"].job_id == winner
+    assert store.merge(merges).count() == 0
