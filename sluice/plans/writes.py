@@ -9,6 +9,7 @@ from ..functions import lists, search, text
 from ..operators import classify, flow, ingest, merge, readmodel, resolve, write
 from ..operators.similar import TitleIndex
 from ..operators.textindex import TextIndex
+from ..sources import boards
 from ..storage import shared_folder
 from .catalogue import _GRAMS, NOW, now, query, sql_fold, sql_list, sql_slug, sql_title
 
@@ -430,3 +431,36 @@ def job_merge(t):
     made = merge.merge_jobs(jobs, postings, saved, merges)
     listed, kept = made.postings.groupBy("job_id").agg(F.count("*").alias("n_postings")), made.saved.groupBy("job_id").agg(F.count("*").alias("n_saved"), F.max("saved_at").alias("last_saved"))
     return made.jobs.join(listed, "job_id", "left").join(kept, "job_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_postings", "n_saved")})
+
+
+_BOARD = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_id % 11 = 10 AS missing, user_id % 17 = 3 AS broken, CASE WHEN event_id % 7 = 0 THEN 'id' WHEN event_id % 7 = 1 THEN 'url' WHEN event_id % 13 = 5 THEN 'no object' END AS problem,
+       event_id, props, ts FROM events"""
+
+
+@query(
+    "board_scan",
+    f"""WITH e AS ({_BOARD}), n AS (SELECT *, pos // 4 AS page FROM e WHERE NOT broken AND NOT missing AND pos < 40), f AS (SELECT DISTINCT user_id, page FROM n WHERE problem IS NULL),
+        stop AS (SELECT user_id, min(g) AS page FROM (SELECT DISTINCT user_id, unnest(range(11)) AS g FROM e WHERE NOT broken) x WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = x.user_id AND f.page = x.g) GROUP BY user_id),
+        seen AS (SELECT n.* FROM n JOIN stop USING (user_id) WHERE n.page <= stop.page),
+        i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k FROM seen WHERE problem IS NULL AND (event_id % 3 = 0 OR ts >= TIMESTAMP '2024-01-10'))
+        SELECT 'board-' || user_id AS source, CAST(pos AS INT) AS pos, 'e' || event_id AS external_id, NULL AS problem, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM i WHERE k <= 15
+        UNION ALL SELECT 'board-' || user_id, CAST(pos AS INT), NULL, problem, NULL FROM seen WHERE problem IS NOT NULL
+        UNION ALL SELECT DISTINCT 'board-' || user_id, CAST(NULL AS INT), NULL, CASE WHEN user_id % 2 = 0 THEN 'not JSON' ELSE 'no array of jobs' END, NULL FROM e WHERE broken""",
+)
+def board_scan(t):
+    """Users' events as boards in files of their own, some of them no boards and some entries no items."""
+    spark = t("events").sparkSession
+    k, path = F.col("event_id"), shared_folder(spark, "boards")
+    said = F.to_json(F.struct(F.concat(F.lit("e"), k.cast("string")).alias("id"), F.concat(F.when(k % 7 == 1, "http").otherwise("https"), F.lit("://x/"), k.cast("string")).alias("url"), F.when(k % 3 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise("soon").alias("postedAt"), F.from_json("props", "k bigint").alias("props")))
+    bad = F.regexp_replace(said, '"id":"e([0-9]+)"', '"id":$1')
+    entry = F.when(k % 11 == 10, "null").when(k % 7 == 0, bad).when(k % 7 == 1, said).when(k % 13 == 5, "5").otherwise(said)
+    listed = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("e")))).alias("es"))
+    body = F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["e"]), ",\n"), F.lit("]"))
+    broken = F.when(F.col("user_id") % 2 == 0, F.lit('{"jobs": [')).otherwise(F.lit('{"jobs": {"a": 1}}'))
+    text = F.when(F.col("user_id") % 17 == 3, broken).otherwise(F.concat(F.lit('{"jobs": '), body, F.lit("}")))
+    listed.select("user_id", text.alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
+    # Spark names files itself: a board is known by its folder
+    read = boards.read_boards(spark, path, F.concat(F.lit("board-"), F.regexp_extract("_metadata.file_path", "user_id=([0-9]+)/", 1)))
+    items, faults = boards.scan_boards(read, page_size=4, max_pages=10, since=F.expr("timestamp'2024-01-10'"), limit=15)
+    found = items.select("source", "pos", "external_id", F.lit(None).cast("string").alias("problem"), F.get_json_object("payload", "$.props.k").cast("bigint").alias("k"))
+    return found.unionByName(faults.select("source", "pos", F.lit(None).cast("string").alias("external_id"), "problem", F.lit(None).cast("bigint").alias("k")))

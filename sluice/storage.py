@@ -164,6 +164,21 @@ class SnapshotTable:
         kept = {b: f for b, f in folders.items() if b not in touched}
         return self._publish(base, kept | made)
 
+    def compact(self, most: int = 8) -> int | None:
+        """A version in which buckets of more than `most` folders, as appends leave them, have one each; None if none has."""
+        base = self.version()
+        folders = self.folders(base)
+        many = [b for b, f in folders.items() if len(f) > most]
+        if not many:
+            return None
+        return self._publish(base, {b: f for b, f in folders.items() if b not in many} | self._write(self.read(base, many)))
+
+    @classmethod
+    def open_or_create(cls, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], buckets: int = 32) -> SnapshotTable:
+        if "table.json" in _Files(spark, root.rstrip("/")).names(""):
+            return cls(spark, root)
+        return cls.create(spark, root, schema, keys, buckets)
+
     def expire(self, keep: int = 2) -> None:
         """Forget all but the newest versions, and delete the files that only they have. No one may read those any more."""
         newest = self.version()

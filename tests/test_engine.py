@@ -150,7 +150,7 @@ def test_stream_is_idempotent(spark, tmp_path):
 
     def run():
         incremental.ingest_stream(spark, str(inbox), raw, str(tmp_path / "ck"), ("seen",)).awaitTermination()
-        return spark.read.parquet(raw).count()
+        return incremental.raw_layer(spark, raw).read().count()
 
     t = "2024-01-01T00:00:00Z"
     drop("a.json", [("s", "1", "https://x", '{"a": 1, "seen": 1}', t), ("s", "1", "https://x", '{"seen": 2, "a": 1}', t), ("s", "", "https://x", "{}", t)])
@@ -209,5 +209,5 @@ def test_stream_quarantine(spark, tmp_path):
     (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, lines)))
     q = incremental.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "raw"), str(tmp_path / "cp"), quarantine=str(tmp_path / "bad"))
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "raw")).count() == 1
+    assert incremental.raw_layer(spark, str(tmp_path / "raw")).read().count() == 1
     assert {(r.external_id, r.problem) for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {("", "id"), ("b", "url")}
