@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import evidence, phrase_pattern
+
 YEARS = "(?:years?|yrs?|jahren?)"
 RANGE = f"(\\d{{1,2}}) ?(?:-|–|to|bis) ?(\\d{{1,2}})\\+? {YEARS}"
 LEAST = f"(?:(?:at least|min\\.?|minimum|mindestens|ab) (\\d{{1,2}})|(\\d{{1,2}}) ?\\+) ?{YEARS}"
@@ -24,10 +26,11 @@ def required_years(text: Column) -> Column:
 
 
 def signals(text: Column, phrases: dict[str, tuple[str, int]]) -> Column:
-    """Sorted array of struct(code, weight, evidence); evidence is the text's own spelling."""
-    low = F.lower(text)
-    found = [F.when(F.instr(low, p) > 0, F.struct(F.lit(code).alias("code"), F.lit(weight).alias("weight"), F.substring(text, F.instr(low, p), F.lit(len(p))).alias("evidence"))) for code, (p, weight) in sorted(phrases.items())]
-    return F.array_compact(F.array(*found))
+    """Sorted array of struct(code, weight, evidence): phrases that the text says as whole words and does not negate just
+    before; evidence is the text's own spelling. Null says nothing."""
+    weights = F.create_map(*[F.lit(v) for code, (_, weight) in sorted(phrases.items()) for v in (code, weight)])
+    found = evidence(text, {code: phrase_pattern([p]) for code, (p, _) in phrases.items()})
+    return F.transform(found, lambda x: F.struct(x["name"].alias("code"), F.element_at(weights, x["name"]).alias("weight"), x["evidence"].alias("evidence")))
 
 
 def parse_signals(json: Column) -> Column:

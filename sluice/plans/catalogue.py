@@ -507,10 +507,10 @@ def junior_score(t):
     k = F.col("p_partkey") % 4
     said = F.when(k == 0, "We ask for 4+ years").when(k == 1, "Entry level, graduates too").when(k == 2, "You lead a team").otherwise("A job")
     title = F.when(k < 2, "Junior developer").otherwise("Developer")
-    p, n = classify.signals(said, classify.POSITIVE), classify.signals(said, classify.NEGATIVE)
-    weight = F.aggregate(F.concat(p, n), F.lit(0), lambda a, x: a + x["weight"])
-    level = classify.level(title, classify.required_years(said)["min_years"], p, n)
-    return t("part").select("p_partkey", level.alias("level"), classify.score(level, weight).alias("score"))
+    told = t("part").select("p_partkey", title.alias("title"), classify.required_years(said)["min_years"].alias("years"), classify.signals(said, classify.POSITIVE).alias("p"), classify.signals(said, classify.NEGATIVE).alias("n"))
+    weight = F.aggregate(F.concat("p", "n"), F.lit(0), lambda a, x: a + x["weight"])
+    judged = told.select("p_partkey", classify.level(F.col("title"), F.col("years"), F.col("p"), F.col("n")).alias("level"), weight.alias("weight"))
+    return judged.select("p_partkey", "level", classify.score(F.col("level"), F.col("weight")).alias("score"))
 
 
 @query("signals_parse", "SELECT doc_id, quality + 1 AS n, 'q' || toxic AS code, CAST(quality AS DOUBLE) AS weight FROM labels")

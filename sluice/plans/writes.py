@@ -464,3 +464,20 @@ def board_scan(t):
     items, faults = boards.scan_boards(read, page_size=4, max_pages=10, since=F.expr("timestamp'2024-01-10'"), limit=15)
     found = items.select("source", "pos", "external_id", F.lit(None).cast("string").alias("problem"), F.get_json_object("payload", "$.props.k").cast("bigint").alias("k"))
     return found.unionByName(faults.select("source", "pos", F.lit(None).cast("string").alias("external_id"), "problem", F.lit(None).cast("bigint").alias("k")))
+
+
+#: Phrases that the sample texts have, some of them after a negator; the second word of one is split by a comma there.
+_SAID = {"copyright": ("all rights reserved", -1), "fuer": ("für sch", 2), "leading": ("thanedble the anea", 3), "license": ("released under the mit license", 1), "more": ("enau sch der", 5)}
+_SAID_SQL = "[" + ", ".join(f"{{'code': '{c}', 'w': {w}, 'p': {sql_list(text.fold_py(p).split())}}}" for c, (p, w) in sorted(_SAID.items())) + "]"
+
+
+@query(
+    "signal_evidence",
+    f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\\pL\\pN]+') AS words, string_split_regex(text, '[\\pL\\pN]+') AS gaps FROM documents),
+        f AS (SELECT *, list_transform(words, lambda w: {sql_fold('w')}) AS low FROM t), s AS (SELECT *, unnest({_SAID_SQL}) AS x FROM f),
+        m AS (SELECT *, list_filter(range(1, len(low) + 1), lambda i: low[i] = x.p[1] AND low[i:i + len(x.p) - 1] = x.p AND NOT list_has_any(low[greatest(i - 3, 1):i - 1], {sql_list(d.NEGATORS)}))[1] AS at_ FROM s)
+        SELECT doc_id, x.code AS code, x.w AS weight, words[at_] || list_reduce(list_prepend('', list_transform(range(1, len(x.p)), lambda k: gaps[at_ + k] || words[at_ + k])), lambda a, b: a || b) AS evidence FROM m WHERE at_ IS NOT NULL""",
+)
+def signal_evidence(t):
+    found = t("documents").select("doc_id", F.explode(classify.signals(F.col("text"), _SAID)).alias("s"))
+    return found.select("doc_id", "s.code", "s.weight", "s.evidence")
