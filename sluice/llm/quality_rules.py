@@ -1,12 +1,22 @@
 """Quality rules, line first.
 
-Every line is judged on its own by punctuation, navigation and boilerplate
-rules. Lines that fail are removed; a document is then rejected if it is
-malformed as a whole or if the removed lines held too much of it.
+Every line is judged on its own. Lines that fail are removed; a document is then
+rejected if it is malformed as a whole or if the removed lines held too much of
+it. A line fails the first of these rules that holds:
+
+- punctuation: too many symbols or "!!";
+- navigation: a bar or trail of short entries, told by its separators;
+- boilerplate: a short line with a phrase of page furniture or of a licence, in
+  English, German, French or Spanish;
+- punctuation again: too many words without a letter or digit, or some words in
+  which no sentence ends. Ends may be followed by quotes and brackets. Lines of
+  one or two words may be headings and stay.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -16,13 +26,27 @@ from .common import map_texts, table
 SYMBOLS = "#*$%&|<>"
 #: What a line of a navigation bar is cut by.
 SEPARATORS = ("|", "»", "›", "•", "·")
-#: Phrases of page furniture, compared in lower case (ASCII letters only).
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "enable javascript", "click here", "lorem ipsum", "sign in", "log in", "subscribe to")
+#: Phrases of page furniture and licences, compared in lower case (ASCII letters only).
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "enable javascript", "click here", "lorem ipsum", "sign in", "log in", "subscribe to",
+    "read more", "uses cookies", "use cookies", "licensed under", "released under the", "creative commons",
+    "alle rechte vorbehalten", "verwendet cookies", "verwenden cookies", "datenschutzerkl", "mehr lesen", "weiterlesen", "hier klicken", "nutzungsbedingungen", "lizenziert unter",
+    "tous droits r", "utilise des cookies", "lire la suite", "mentions l\u00e9gales", "cliquez ici", "se connecter", "conditions d'utilisation", "sous licence",
+    "todos los derechos reservados", "utiliza cookies", "leer m\u00e1s", "aviso legal", "haga clic", "iniciar sesi\u00f3n", "condiciones de uso", "bajo licencia",
+)
 #: A line with a boilerplate phrase fails only if it has at most this many words.
 BOILERPLATE_WORDS = 12
 #: More separators than this many a 100 words (and at least MIN_SEPARATORS) are navigation.
 SEPARATORS_PER_100 = 20
 MIN_SEPARATORS = 3
+#: A line of at most this many words that ends no sentence is navigation with one separator.
+TRAIL_WORDS = 10
+#: More words without a letter or digit than this many a 100 fail the punctuation rule.
+BARE_PER_100 = 30
+#: A line of so many words in which no sentence ends is a fragment.
+FRAGMENT_WORDS = 3
+#: What ends a sentence, and what may follow it.
+ENDS, CLOSERS = ".!?\u2026:;\u3002\uff01\uff1f", "\"')]}\u00bb\u201d\u2019\u203a\u201c\u00ab*_"
 #: More symbols than this many a 100 words fail the punctuation rule.
 SYMBOLS_PER_100 = 30
 #: So many "!!" a 100 words fail it as well.
@@ -33,6 +57,9 @@ MIN_WORDS = 10
 MAX_REPEATED = 20
 WINDOW = 5
 
+#: ASCII but letters and digits.
+_DROP = bytes(c for c in range(128) if not chr(c).isalnum())
+_PHRASES = tuple(p.encode() for p in BOILERPLATE)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -66,19 +93,34 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return count
 
 
+_SENTENCE = re.compile(f"[{re.escape(ENDS)}][{re.escape(CLOSERS)}]*(?=[\\x20\\x09-\\x0D]|\\Z)")
+_END = re.compile(f"[{re.escape(ENDS)}][{re.escape(CLOSERS)}]*[\\x20\\x09-\\x0D]*\\Z")
+_SAYS = re.compile(r"[^\W_]")
+
+
 def line_fails(line: bytes) -> str:
     """The rule that a line with words fails, or an empty string."""
-    n = len(line.split())
+    words = line.split()
+    n = len(words)
     if 100 * sum(line.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"<", b">")) > SYMBOLS_PER_100 * n or 100 * line.count(b"!!") > SHOUTS_PER_100 * n:
         return "punctuation"
     marks = sum(line.count(s.encode()) for s in SEPARATORS)
-    if marks >= MIN_SEPARATORS and 100 * marks > SEPARATORS_PER_100 * n:
-        return "navigation"
+    if marks:
+        if marks >= MIN_SEPARATORS and 100 * marks > SEPARATORS_PER_100 * n:
+            return "navigation"
+        if n <= TRAIL_WORDS and not _END.search(line.decode("utf-8", "replace")):
+            return "navigation"
     if n <= BOILERPLATE_WORDS:
         low = line.translate(_LOWER)
-        if any(p.encode() in low for p in BOILERPLATE):
+        if any(p in low for p in _PHRASES):
             return "boilerplate"
-    return ""
+    if line.isascii():  # then a word says something if one of its bytes is a letter or digit
+        bare = sum(not w.isalnum() and not w.translate(None, _DROP) for w in words)
+    else:
+        bare = sum(not _SAYS.search(w.decode("utf-8", "replace")) for w in words)
+    if bare > 1 and 100 * bare > BARE_PER_100 * n:
+        return "punctuation"
+    return "punctuation" if n >= FRAGMENT_WORDS and not _SENTENCE.search(line.decode("utf-8", "replace")) else ""
 
 
 def judge(text: str) -> tuple:
@@ -151,11 +193,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
 
 
+_ENDS_SQL, _CLOSERS_SQL = ENDS, CLOSERS.replace("]", "\\]").replace("'", "''")
+_ENDS = rf"regexp_matches(l, '[{_ENDS_SQL}][{_CLOSERS_SQL}]*[\x20\x09-\x0D]*$')"
+_BARE = r"len(list_filter(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), lambda x: NOT regexp_matches(x, '[\pL\pN]')))"
+_FAILS_BARE = f"(100 * {_BARE} > {BARE_PER_100} * nw AND {_BARE} > 1)"
+_SENTENCE_SQL = rf"regexp_matches(l, '[{_ENDS_SQL}][{_CLOSERS_SQL}]*([\x20\x09-\x0D]|$)')"
 _FAILS_PUNCTUATION = f"(100 * len(regexp_extract_all(l, '[#*$%&<>]')) > {SYMBOLS_PER_100} * nw OR 100 * len(regexp_extract_all(l, '!!')) > {SHOUTS_PER_100} * nw)"
 _MARKS = f"len(regexp_extract_all(l, '[{''.join(SEPARATORS)}]'))"
-_FAILS_NAVIGATION = f"({_MARKS} >= {MIN_SEPARATORS} AND 100 * {_MARKS} > {SEPARATORS_PER_100} * nw)"
+_FAILS_NAVIGATION = f"(({_MARKS} >= {MIN_SEPARATORS} AND 100 * {_MARKS} > {SEPARATORS_PER_100} * nw) OR ({_MARKS} > 0 AND nw <= {TRAIL_WORDS} AND NOT {_ENDS}))"
 _ASCII_LOWER = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_FAILS_BOILERPLATE = f"(nw <= {BOILERPLATE_WORDS} AND ({' OR '.join(f"contains({_ASCII_LOWER}, '{p}')" for p in BOILERPLATE)}))"
+_FAILS_BOILERPLATE = f"(nw <= {BOILERPLATE_WORDS} AND ({' OR '.join(f"contains({_ASCII_LOWER}, '{p.replace(chr(39), chr(39) * 2)}')" for p in BOILERPLATE)}))"
 
 ORACLE_SQL = rf"""
 WITH docs AS (
@@ -175,7 +222,7 @@ WITH docs AS (
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM docs)
 ), judged AS (
   SELECT rid, k, l, nw, row_number() OVER (PARTITION BY rid, l ORDER BY k) AS copy,
-         CASE WHEN {_FAILS_PUNCTUATION} THEN 'p' WHEN {_FAILS_NAVIGATION} THEN 'n' WHEN {_FAILS_BOILERPLATE} THEN 'b' ELSE '' END AS why,
+         CASE WHEN {_FAILS_PUNCTUATION} THEN 'p' WHEN {_FAILS_NAVIGATION} THEN 'n' WHEN {_FAILS_BOILERPLATE} THEN 'b' WHEN {_FAILS_BARE} OR (nw >= {FRAGMENT_WORDS} AND NOT {_SENTENCE_SQL}) THEN 'p' ELSE '' END AS why,
          length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS lc
   FROM lines WHERE nw > 0
 ), per_doc AS (

@@ -48,7 +48,10 @@ def written(df, folder, name="documents"):
 def test_quality_rules_match_sql(spark, docs, none, tmp_path):
     import glob
 
-    folder = written(docs, tmp_path)
+    rng = random.Random(6)
+    parts = ["word", "No.", "End?”", "(so)", "|", "»", "...", "--", "é", "你好。", "read more", "!!", "#", "1", "_", "’", "licensed under", "a.b", ":", "\t", "\x1c"]
+    lines = ["\n".join(" ".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    folder = written(docs.unionByName(spark.createDataFrame([(100 + i, t, "", "") for i, t in enumerate(lines)], DOCS)), tmp_path)
     got = quality_rules.query(spark, folder)
     con = duckdb.connect()
     con.sql(f"create view documents as select * from read_parquet({glob.glob(folder + '/documents.parquet/*.parquet')})")
@@ -62,6 +65,16 @@ def test_quality_rules_match_sql(spark, docs, none, tmp_path):
     assert quality_rules.apply_rules(none).count() == 0
 
 
+def test_lines_of_pages():
+    for line, rule in {
+        "Startseite | Kontakt | Impressum": "navigation", "Home » Products": "navigation", "Alle Rechte vorbehalten.": "boilerplate", "Diese Seite verwendet Cookies": "boilerplate",
+        "Licensed under the Apache License": "boilerplate", "Read more": "boilerplate", "Mehr lesen": "boilerplate", "Tous droits réservés.": "boilerplate", "LEER más": "boilerplate",
+        "aaaa bbbb ,,,, ;;;; ???? ----": "punctuation", "fragment without end": "punctuation", "Heading": "", "Two words": "", "He said \"it is so.\"": "", "Die Straße ist lang (sehr).": "",
+        "It ends. The next sentence is cut off in": "", "Either a | b or c, as you like.": "", "你好 世界 再见。": "", "$$$ #### ****": "punctuation", "a. b": "", "v1.2 of it": "punctuation",
+    }.items():
+        assert quality_rules.line_fails(line.encode()) == rule, line
+
+
 def test_repeated_words_by_brute_force():
     random.seed(1)
     for _ in range(200):
