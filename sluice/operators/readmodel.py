@@ -47,6 +47,16 @@ def source_counts(postings: DataFrame, key: str, source: str) -> DataFrame:
     return postings.groupBy(key).agg(F.countDistinct(source).alias("source_count"))
 
 
+#: What a list shows of a job; the description is left out, so that it is not read.
+SUMMARY = ("id", "title", "company_name", "location", "country_code", "workplace_type", "employment_type", "language", "technologies", "posted_at", "effective_posted_at", "junior_level", "junior_score", "required_min_years", "required_max_years")
+
+
+def summaries(jobs: DataFrame, postings: DataFrame) -> DataFrame:
+    """SUMMARY of jobs and source_count, how many sources list each (0 for none)."""
+    counts = source_counts(postings, "job_id", "source_id").withColumnRenamed("job_id", "id")
+    return jobs.select(*SUMMARY).join(counts, "id", "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)))
+
+
 def nested(rows: DataFrame, key: str, fields: list[Column], name: str) -> DataFrame:
     """Each key with its rows as a sorted array of structs."""
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))

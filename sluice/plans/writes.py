@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
 from ..functions import lists, search, text
-from ..operators import classify, flow, ingest, merge, readmodel, resolve, write
+from ..operators import classifiers, classify, flow, ingest, merge, readmodel, resolve, write
 from ..operators.similar import TitleIndex
 from ..operators.textindex import TextIndex
 from ..sources import boards
@@ -80,11 +80,13 @@ def runs_in_flight(t):
 
 @query(
     "run_open",
-    f"SELECT DISTINCT sha256(user_id || '|' || '{NOW}') AS run_id, user_id AS source_id, 'RUNNING' AS status, {_AT} AS started_at FROM events WHERE user_id % 4 <> 0 AND user_id NOT IN (SELECT source_id FROM {_RUNS} WHERE running)",
+    f"SELECT DISTINCT sha256(user_id || '|' || '{NOW}') AS run_id, user_id AS source_id, 'RUNNING' AS status, {_AT} AS started_at FROM events WHERE user_id % 4 <> 0 AND user_id NOT IN (SELECT source_id FROM {_RUNS} WHERE running AND source_id % 3 = 0)",
 )
 def run_open(t):
+    # runs of two sources of three have ended
+    ended = F.when(F.col("source_id") % 3 == 0, F.col("status")).otherwise("SUCCESS")
     sources = t("events").select(F.col("user_id").alias("source_id"), (F.col("user_id") % 4 != 0).alias("enabled")).distinct()
-    return write.open_runs(_runs(t), sources, now())
+    return write.open_runs(_runs(t).withColumn("status", ended), sources, now())
 
 
 @query(
@@ -481,3 +483,52 @@ _SAID_SQL = "[" + ", ".join(f"{{'code': '{c}', 'w': {w}, 'p': {sql_list(text.fol
 def signal_evidence(t):
     found = t("documents").select("doc_id", F.explode(classify.signals(F.col("text"), _SAID)).alias("s"))
     return found.select("doc_id", "s.code", "s.weight", "s.evidence")
+
+
+_SEARCHED = f"""SELECT o_orderkey AS id, c_name AS title, c_mktsegment AS company_name, n_name AS location, CASE WHEN n_nationkey % 2 = 0 THEN 'DE' ELSE 'AT' END AS country_code, CASE o_orderstatus WHEN 'O' THEN 'REMOTE' WHEN 'P' THEN 'HYBRID' END AS workplace_type,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'FULL_TIME' WHEN o_orderkey % 3 = 1 THEN 'INTERNSHIP' END AS employment_type, 'en' AS language, list_sort(list_distinct(['t' || o_orderkey % 2, 't' || o_orderkey % 5])) AS technologies, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS posted_at,
+  o_orderdate AS effective_posted_at, CASE left(o_orderpriority, 1) WHEN '1' THEN 'ENTRY_LEVEL' WHEN '2' THEN 'LIKELY_ENTRY_LEVEL' WHEN '3' THEN 'EXPERIENCED' WHEN '4' THEN 'CLEARLY_EXPERIENCED' END AS junior_level,
+  CAST(o_orderkey % 101 AS INT) AS junior_score, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 7 AS INT) END AS required_min_years, CAST(NULL AS INT) AS required_max_years FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+
+@query(
+    "search_all_facets",
+    f"""WITH j AS ({_SEARCHED}) SELECT j.* REPLACE (array_to_string(technologies, ',') AS technologies), coalesce(n, 0) AS source_count FROM j LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) ON id = l_orderkey
+        WHERE (junior_level IS NULL OR junior_level <> 'CLEARLY_EXPERIENCED') AND list_contains(technologies, 't1') AND location IN (SELECT n_name FROM nation WHERE n_nationkey < 18) AND country_code = 'DE' AND workplace_type IN ('REMOTE', 'HYBRID')
+        AND employment_type IN ('FULL_TIME', 'INTERNSHIP') AND junior_level IN ('ENTRY_LEVEL', 'EXPERIENCED', 'LIKELY_ENTRY_LEVEL') AND junior_score >= 20 AND (required_min_years IS NULL OR required_min_years <= 4) AND effective_posted_at >= {_AT} - INTERVAL 1500 DAY""",
+)
+def search_all_facets(t):
+    """Summaries under all nine facets."""
+    k, known = F.col("o_orderkey"), t("nation")
+    wide = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(known), F.col("c_nationkey") == F.col("n_nationkey"))
+    tech = lambda n: F.concat(F.lit("t"), (k % n).cast("string"))
+    level = F.element_at(F.array(*map(F.lit, ("ENTRY_LEVEL", "LIKELY_ENTRY_LEVEL", "EXPERIENCED", "CLEARLY_EXPERIENCED"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    jobs = wide.select(
+        k.alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("company_name"), F.col("n_name").alias("location"), F.when(F.col("n_nationkey") % 2 == 0, "DE").otherwise("AT").alias("country_code"), F.when(F.col("o_orderstatus") == "O", "REMOTE").when(F.col("o_orderstatus") == "P", "HYBRID").alias("workplace_type"),
+        F.when(k % 3 == 0, "FULL_TIME").when(k % 3 == 1, "INTERNSHIP").alias("employment_type"), F.lit("en").alias("language"), F.array_sort(F.array_distinct(F.array(tech(2), tech(5)))).alias("technologies"), F.when(k % 4 != 0, F.col("o_orderdate")).alias("posted_at"),
+        F.col("o_orderdate").alias("effective_posted_at"), F.when(F.substring("o_orderpriority", 1, 1) != "5", level).alias("junior_level"), (k % 101).cast("int").alias("junior_score"), F.when(k % 7 != 0, (k % 7).cast("int")).alias("required_min_years"), F.lit(None).cast("int").alias("required_max_years"),
+    )
+    here = [r[0] for r in known.filter("n_nationkey < 18").select("n_name").collect()]
+    found = readmodel.facets(jobs, now(), ["t1"], here, "DE", ["REMOTE", "HYBRID"], ["FULL_TIME", "INTERNSHIP"], ["ENTRY_LEVEL", "EXPERIENCED", "LIKELY_ENTRY_LEVEL"], 20, 4, 1500, include_experienced=True)
+    postings = t("lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("source_id"))
+    return readmodel.summaries(found, postings).withColumn("technologies", F.array_join("technologies", ","))
+
+
+@query(
+    "classified_jobs",
+    f"""WITH j AS (SELECT p_partkey, p_partkey % 4 AS k, CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END AS w, p_size AS y FROM part), r AS (SELECT *, CASE WHEN y >= 3 THEN 'EXPERIENCED' WHEN y = 2 THEN 'AMBIGUOUS' WHEN y = 1 THEN 'LIKELY_ENTRY_LEVEL' ELSE 'ENTRY_LEVEL' END AS level FROM j)
+        SELECT CAST(p_partkey AS VARCHAR) AS job_id, CASE WHEN k = 0 THEN 'CLEARLY_EXPERIENCED' ELSE level END AS junior_level, CASE WHEN k = 0 THEN 1 ELSE CAST(round(CASE level WHEN 'EXPERIENCED' THEN 27 WHEN 'AMBIGUOUS' THEN 52 WHEN 'LIKELY_ENTRY_LEVEL' THEN 74.5 ELSE 92.5 END + w / 4) AS INT) END AS junior_score,
+        CASE WHEN k = 0 THEN 50 ELSE y END AS required_min_years, CASE WHEN k = 0 THEN TIMESTAMP '1998-01-01' ELSE {_AT} END AS classified_at, CASE WHEN k = 1 THEN 2 ELSE 1 END AS n_results FROM r""",
+)
+def classified_jobs(t):
+    """A quarter of the jobs has a result of this version for its text already, another one of an older version."""
+    k = F.col("p_partkey")
+    said = F.concat(F.col("p_name"), F.lit(": "), F.col("p_size").cast("string"), F.lit("+ years. "), F.when(k % 5 == 0, "Training provided.").when(k % 5 == 1, "No training provided.").otherwise(""))
+    jobs = t("part").select(k.cast("string").alias("job_id"), F.col("p_type").alias("title"), said.alias("description"))
+    none = F.array().cast("array<struct<code:string,weight:int,evidence:string>>")
+    old = jobs.filter("int(job_id) % 4 < 2").select(
+        "job_id", F.when(F.col("job_id").cast("int") % 4 == 0, classifiers.RuleClassifier.version).otherwise("rules-0").alias("version"), classifiers.input_hash(F.col("title"), F.col("description")).alias("input_hash"), F.expr("timestamp_ntz'1998-01-01'").alias("created_at"),
+        F.lit("CLEARLY_EXPERIENCED").alias("level"), F.lit(1).alias("score"), F.lit(50).alias("min_years"), F.lit(None).cast("int").alias("max_years"), none.alias("positive"), none.alias("negative"),
+    )
+    history, judged = classifiers.classify_due(jobs, old, classifiers.RuleClassifier(), now())
+    return judged.join(history.groupBy("job_id").agg(F.count("*").alias("n_results")), "job_id").select("job_id", "junior_level", "junior_score", "required_min_years", "classified_at", "n_results")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import hashing
-from sluice.operators import classify, flow, ingest, readmodel, resolve
+from sluice.operators import classifiers, classify, flow, ingest, readmodel, resolve
 from sluice.sources import contract, http, paginated
 from sluice.streaming import incremental
 
@@ -211,3 +211,31 @@ def test_stream_quarantine(spark, tmp_path):
     q.awaitTermination()
     assert incremental.raw_layer(spark, str(tmp_path / "raw")).read().count() == 1
     assert {(r.external_id, r.problem) for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {("", "id"), ("b", "url")}
+
+
+def test_results_are_kept_and_one_is_current(spark):
+    calls = []
+
+    class Other:
+        version = "other-1"
+
+        def classify(self, due):
+            calls.append(sorted(r.job_id for r in due.collect()))
+            none = F.array().cast("array<struct<code:string,weight:int,evidence:string>>")
+            return due.select("job_id", F.lit("AMBIGUOUS").alias("level"), F.lit(50).alias("score"), F.lit(None).cast("int").alias("min_years"), F.lit(None).cast("int").alias("max_years"), none.alias("positive"), none.alias("negative"))
+
+    at = lambda d: F.lit(dt.datetime(2024, 1, d)).cast("timestamp_ntz")
+    jobs = spark.createDataFrame([("a", "Junior cook", "Entry level. You lead a team.", None), ("b", "Senior cook", "at least 5 years", None), ("c", None, None, "old")], "job_id string, title string, description string, junior_level string")
+    history = spark.createDataFrame([], classifiers.RESULT)
+    history, judged = classifiers.classify_due(jobs, history, classifiers.RuleClassifier(), at(1))
+    got = {r.job_id: (r.junior_level, r.required_min_years, r.classified_at) for r in judged.collect()}
+    assert got == {"a": ("LIKELY_ENTRY_LEVEL", None, dt.datetime(2024, 1, 1)), "b": ("EXPERIENCED", 5, dt.datetime(2024, 1, 1)), "c": ("AMBIGUOUS", None, dt.datetime(2024, 1, 1))}
+    assert {s.evidence for r in history.collect() for s in r.positive + r.negative} == {"Entry level", "lead a team"}
+    changed = judged.withColumn("description", F.when(F.col("job_id") == "b", "2+ years").otherwise(F.col("description")))
+    history, judged = classifiers.classify_due(changed, history, classifiers.RuleClassifier(), at(2))
+    assert {r.job_id: r.classified_at.day for r in judged.collect()} == {"a": 1, "b": 2, "c": 1} and history.count() == 4
+    history, judged = classifiers.classify_due(changed, history, Other(), at(3))
+    assert calls == [["a", "b", "c"]] and {r.junior_level for r in judged.collect()} == {"AMBIGUOUS"}
+    assert history.count() == 7 and history.filter("is_current").count() == 3
+    empty, none = classifiers.classify_due(changed.limit(0), history.limit(0), Other(), at(3))
+    assert empty.count() == none.count() == 0
