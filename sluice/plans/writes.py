@@ -246,7 +246,7 @@ _PICKS = (7, 13, 29)
 def _spelling_sql(slug: str) -> str:
     import re
 
-    said = "|".join(re.sub(r"([.+#/-])", r"\\\1", text.fold_py(s)) for s in d.TECHNOLOGIES[slug].split("|"))
+    said = "|".join(re.sub(r"([.+#/-])", r"\\\1", text.fold_py(s)) for s in d.TECHNOLOGIES[slug])
     return f"CASE WHEN regexp_matches(x, '(^|[^a-z0-9+#.])(?:{said})($|[^a-z0-9+#])') THEN '{slug}' END"
 
 
