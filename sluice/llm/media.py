@@ -139,6 +139,17 @@ def _track_box(t: dict, kind: bytes, data, lo: int, hi: int) -> None:
         t["sizes"] = np.full(n, fixed, np.int64) if fixed else _table(data, lo, hi, 12, n, 1)[:, 0]
 
 
+    elif kind == b"stz2":  # sizes of 4, 8 or 16 bits
+        bits, n = data[lo + 7], struct.unpack_from(">I", data, lo + 8)[0]
+        if bits not in (4, 8, 16):
+            raise ValueError(f"sample sizes of {bits} bits")
+        if bits == 4:
+            pairs = _table(data, lo, hi, 12, -(-n // 2), 1, "u1")[:, 0]
+            t["sizes"] = np.column_stack([pairs >> 4, pairs & 15]).ravel()[:n]
+        else:
+            t["sizes"] = _table(data, lo, hi, 12, n, 1, ">u2" if bits == 16 else "u1")[:, 0]
+
+
 #: Fields that a fragment's boxes may have, in order: (flag, bytes, name).
 _TFHD = ((0x1, 8, "base"), (0x2, 4, "description"), (0x8, 4, "duration"), (0x10, 4, "size"), (0x20, 4, "flags"))
 _TRUN = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "composition"))
@@ -172,7 +183,9 @@ def tracks(data) -> list[dict]:
     """What the sample tables of each track say: codec, timescale, duration, and
     offset, size and keyframe mark of every sample, those in fragments after
     those of the movie. Payloads are not read. ValueError if a table does not
-    hold together or a sample lies outside of the file."""
+    hold together or a sample lies outside of the file. Edit lists and
+    composition offsets say when samples are shown, not where they lie, and are
+    passed by; the duration is the track's own."""
     found: list[dict] = []
     defaults: dict[int, dict] = {}
     more: dict[int, list] = {}
@@ -206,6 +219,10 @@ def tracks(data) -> list[dict]:
         shape = t.get("stsc", np.zeros((0, 3), np.int64))
         if len(sizes) and (not len(places) or not len(shape)):
             raise ValueError("samples without chunks")
+        if len(places) and "sizes" not in t:
+            raise ValueError("chunks without sample sizes")
+        if len(sizes) and ("stts" not in t or t["stts"][:, 0].sum() != len(sizes)):
+            raise ValueError("sample times do not add up to the samples")
         if len(shape) and (shape[0, 0] != 1 or shape[:, 0].max() > max(len(places), 1)) and len(sizes):
             raise ValueError("chunk runs outside of the chunks")
         runs = np.diff(np.append(shape[:, 0], len(places) + 1)) if len(shape) and len(sizes) else np.zeros(0, np.int64)

@@ -293,3 +293,25 @@ def test_best_fit_is_best_fit():
             assert offset[i] == size - room[window[i]]
             room[window[i]] -= lengths[i]
         assert n == len(room)
+
+
+@pytest.mark.parametrize("bits", [4, 8, 16])
+def test_compact_sample_sizes_and_sample_times(bits):
+    """A container of three samples whose sizes are in stz2 and that has no stss: each sample is a keyframe."""
+    box, full = media._box, media._full
+    sizes = [3, 15, 7]
+    coded = {4: bytes([sizes[0] << 4 | sizes[1], sizes[2] << 4]), 8: bytes(sizes), 16: struct.pack(">3H", *sizes)}[bits]
+
+    def container(times=((3, 1),), sized=True, width=bits):
+        stts = full(b"stts", struct.pack(">I", len(times)), *[struct.pack(">II", *x) for x in times]) if times is not None else b""
+        stz2 = full(b"stz2", bytes(3) + bytes([width]), struct.pack(">I", 3), coded) if sized else b""
+        stbl = lambda at: box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"raw ", bytes(28))), stts, full(b"stsc", struct.pack(">4I", 1, 1, 3, 1)), stz2, full(b"stco", struct.pack(">2I", 1, at)))
+        moov = lambda at: box(b"moov", box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 3, 0, 0)), box(b"minf", stbl(at)))))
+        return moov(len(moov(0)) + 8) + box(b"mdat", bytes(sum(sizes)))
+
+    (track,) = media.tracks(container())
+    at = len(container()) - sum(sizes)
+    assert track["sizes"].tolist() == sizes and track["offsets"].tolist() == [at, at + 3, at + 18] and track["keyframes"].tolist() == [0, 1, 2]
+    for broken in (container(sized=False), container(times=None), container(times=((2, 1),)), container(times=((2, 1), (2, 5))), container(width=5)):
+        with pytest.raises(ValueError):
+            media.tracks(broken)
