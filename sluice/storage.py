@@ -173,9 +173,13 @@ class SnapshotTable:
             return None
         return self._publish(base, {b: f for b, f in folders.items() if b not in many} | self._write(self.read(base, many)))
 
+    @staticmethod
+    def exists(spark: SparkSession, root: str) -> bool:
+        return "table.json" in _Files(spark, root.rstrip("/")).names("")
+
     @classmethod
     def open_or_create(cls, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], buckets: int = 32) -> SnapshotTable:
-        if "table.json" in _Files(spark, root.rstrip("/")).names(""):
+        if cls.exists(spark, root):
             return cls(spark, root)
         return cls.create(spark, root, schema, keys, buckets)
 
