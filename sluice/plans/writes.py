@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
 from ..functions import lists, search, text
-from ..operators import classifiers, classify, flow, ingest, merge, readmodel, resolve, write
+from ..operators import classifiers, classify, flow, ingest, merge, readmodel, resolve, seed, write
 from ..operators.similar import TitleIndex
 from ..operators.textindex import TextIndex
 from ..sources import boards
@@ -532,3 +532,32 @@ def classified_jobs(t):
     )
     history, judged = classifiers.classify_due(jobs, old, classifiers.RuleClassifier(), now())
     return judged.join(history.groupBy("job_id").agg(F.count("*").alias("n_results")), "job_id").select("job_id", "junior_level", "junior_score", "required_min_years", "classified_at", "n_results")
+
+
+@query(
+    "seeded_postings",
+    """WITH j AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 13 <> 0), m AS (SELECT a.p_partkey, a.p_name, b.p_name AS into_name FROM j a LEFT JOIN j b ON a.p_partkey % 5 = 0 AND a.p_partkey % 13 <> 1 AND b.p_partkey = a.p_partkey // 5),
+        p AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem)
+        SELECT s_name AS source_name, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS external_id, p_name AS title, into_name AS merged_title, CASE WHEN p_partkey IS NULL THEN 'no jobs' END AS problem FROM p JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN m ON p_partkey = l_partkey""",
+)
+def seeded_postings(t):
+    """All line items as postings of suppliers, loaded twice; parts without a job leave theirs as faults, every fifth job is merged."""
+    spark, root = t("part").sparkSession, shared_folder(t("part").sparkSession, "seeds")
+    hash_, part = F.col("l_partkey").cast("string"), F.col("p_partkey")
+    into = F.when((part % 5 == 0) & (part % 13 != 1), F.floor(part / 5).cast("string"))
+    rows = {
+        "sources": t("supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name")),
+        "jobs": t("part").filter(part % 13 != 0).select(part.cast("string").alias("dedup_hash"), F.col("p_name").alias("title"), into.alias("merged_into_hash")),
+        "postings": t("lineitem").select(F.col("l_suppkey").cast("string").alias("source_key"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("external_id"), hash_.alias("job_hash")).distinct(),
+    }
+    seed.load(spark, root, {k: rows[k] for k in ("sources", "jobs")})
+    tables, faults = seed.load(spark, root, rows)
+    jobs = tables["jobs"].read()
+    targets = jobs.select(F.col("id").alias("merged_into"), F.col("title").alias("merged_title"))
+    named = jobs.join(targets, "merged_into", "left").select(F.col("id").alias("job_id"), "title", "merged_title")
+    sources = tables["sources"].read().select(F.col("id").alias("source_id"), "key", F.col("name").alias("source_name"))
+    good = tables["postings"].read().join(named, "job_id").join(sources, "source_id").select("source_name", "external_id", "title", "merged_title", F.lit(None).cast("string").alias("problem"))
+    key = F.from_json("natural_key", "source_key string, external_id string")
+    wrong = faults.filter("entity = 'postings'").select(key.alias("k"), "problem").join(sources, F.col("k.source_key") == F.col("key"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(wrong.select("source_name", "k.external_id", none.alias("title"), none.alias("merged_title"), "problem"))
