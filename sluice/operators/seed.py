@@ -46,9 +46,10 @@ ENTITIES = (
 )
 
 
-def row_id(entity: Entity) -> Column:
-    """The same id for the same natural key, whenever it is loaded."""
-    return F.sha2(F.concat(F.lit(entity.name), F.to_json(F.struct(*entity.keys))), 256)
+def row_id(entity: Entity, by: dict[str, Column] | None = None) -> Column:
+    """The same id for the same natural key, whenever it is loaded. by: the columns of a seed that name the entity's keys."""
+    keys = [by[k].alias(k) if by else F.col(k) for k in entity.keys]
+    return F.sha2(F.concat(F.lit(entity.name), F.to_json(F.struct(*keys))), 256)
 
 
 def _names(rows: DataFrame, by: dict[str, str], id_col: str) -> DataFrame:
@@ -56,28 +57,37 @@ def _names(rows: DataFrame, by: dict[str, str], id_col: str) -> DataFrame:
 
 
 def resolved(entity: Entity, rows: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """rows as the entity stores them (id, their columns with ids for references), and FAULT rows.
+    """rows whose references are there, still as natural keys, and FAULT rows.
 
     A row without a part of its key, or with a reference to no row, is a fault
-    and is left out; so is one whose reference is null. Of rows that repeat a
-    key the greatest stays.
+    and is left out; so is one whose reference is null. Ids follow from natural
+    keys, so that none are sent or written here: identified() adds them.
     """
     said = [c for _, by in entity.references.values() for c in by.values()]
-    named = F.to_json(F.struct(*[c for c in dict.fromkeys((*said, *entity.keys)) if c in rows.columns]))
-    rows = rows.withColumn("__named", named)
+    names = [c for c in dict.fromkeys((*said, *entity.keys)) if c in rows.columns]
     for id_col, (target, by) in entity.references.items():
-        rows = rows.join(_names(tables[target], by, id_col), list(by.values()), "left")
-    absent = [F.when(F.col(c).isNull(), F.lit(f"no {target}")) for c, (target, _) in entity.references.items()]
-    unnamed = [F.when(F.col(k).isNull(), F.lit(f"no {k}")) for k in entity.keys]
-    marked = settled(rows.drop(*said).withColumn("__problem", F.coalesce(*absent, *unnamed)), f"seed-{entity.name}")
-    faults = marked.filter("__problem is not null").select(F.lit(entity.name).alias("entity"), F.col("__named").alias("natural_key"), F.col("__problem").alias("problem"))
-    good = marked.filter("__problem is null").drop("__problem", "__named")
-    value = [c for c in good.columns if c not in entity.keys]
+        there = tables[target].select(F.lit(True).alias(f"__{id_col}"), *[F.col(k).alias(c) for k, c in by.items()])
+        rows = rows.join(there, list(by.values()), "left")
+    absent = [F.when(F.col(f"__{c}").isNull(), F.lit(f"no {target}")) for c, (target, _) in entity.references.items()]
+    unnamed = [F.when(F.col(k).isNull(), F.lit(f"no {k}")) for k in entity.keys if k not in entity.references]
+    marked = rows.withColumn("__problem", F.coalesce(*absent, *unnamed, F.lit(None).cast("string")))
+    marked = settled(marked.drop(*[f"__{c}" for c in entity.references]), f"seed-{entity.name}")
+    faults = marked.filter("__problem is not null").select(F.lit(entity.name).alias("entity"), F.to_json(F.struct(*names)).alias("natural_key"), F.col("__problem").alias("problem"))
+    return marked.filter("__problem is null").drop("__problem"), faults
+
+
+def identified(entity: Entity, rows: DataFrame, ids: dict[str, Column], *by: str) -> DataFrame:
+    """rows of resolved() as the entity stores them: id, their columns, ids for references. Of rows that repeat a key the greatest stays.
+
+    by: columns that the key tells, by which rows are dealt already.
+    """
+    good = rows.withColumns(ids).drop(*[c for _, names in entity.references.values() for c in names.values()])
+    value = [c for c in good.columns if c not in (*entity.keys, *by)]
     if value:
-        good = good.groupBy(*entity.keys).agg(F.max(F.struct(*value)).alias("v")).select(*entity.keys, "v.*")
+        good = good.groupBy(*by, *entity.keys).agg(F.max(F.struct(*value)).alias("v")).select(*by, *entity.keys, "v.*")
     else:
         good = good.distinct()
-    return good.withColumn("id", row_id(entity)), faults
+    return good.withColumn("id", row_id(entity))
 
 
 def pointed(entity: Entity, rows: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +108,16 @@ def pointed(entity: Entity, rows: DataFrame, stored: DataFrame | None) -> tuple[
     return rows, reduce(DataFrame.unionByName, faults)
 
 
+def first_load(spark: SparkSession, root: str, entity: Entity, rows: DataFrame, ids: dict[str, Column]) -> SnapshotTable:
+    """rows of resolved() in a table that has none yet: sent by bucket with natural keys alone, and made unique there."""
+    mark = {"is_current": F.lit(True)} if entity.current else {}
+    table = SnapshotTable.open_or_create(spark, f"{root}/{entity.name}", identified(entity, rows, ids).withColumns(mark).schema, list(entity.current or entity.keys))
+    if rows.limit(1).count():
+        dealt = table.dealt(rows.withColumns(ids), *ids)
+        table.append(identified(entity, dealt, ids, "__bucket").withColumns(mark))
+    return table
+
+
 def upsert(spark: SparkSession, root: str, entity: Entity, rows: DataFrame) -> SnapshotTable:
     """rows in the entity's table: buckets of their keys are written again, and none if the table holds all rows as they are."""
     if entity.current:
@@ -125,15 +145,22 @@ def load(spark: SparkSession, root: str, seeds: dict[str, DataFrame], entities:
     before. Loading the same seeds again changes no table and adds no version.
     """
     tables, faults = {}, spark.createDataFrame([], FAULT)
+    known: dict[str, Entity] = {}
     for e in entities:
+        known[e.name] = e
         path = f"{root}/{e.name}"
         if e.name in seeds:
             read = {t: tables[t].read() for t, _ in e.references.values()}
+            ids = {c: row_id(known[t], {k: F.col(n).cast(read[t].schema[k].dataType) for k, n in by.items()}) for c, (t, by) in e.references.items()}
             rows, wrong = resolved(e, seeds[e.name], read)
             faults = faults.unionByName(wrong)
+            before = tables_at(spark, path)
+            if not e.itself and (before is None or not before.version()):
+                tables[e.name] = first_load(spark, root, e, rows, ids)
+                continue
+            rows = identified(e, rows, ids)
             if e.itself:
                 rows = settled(rows, "seed-ids")
-                before = tables_at(spark, path)
                 rows, wrong = pointed(e, rows, before and before.read())
                 faults = faults.unionByName(wrong)
             tables[e.name] = upsert(spark, root, e, rows)

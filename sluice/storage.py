@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """df written to the shared folder and read back, for what is used more than once."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -127,10 +127,16 @@ class SnapshotTable:
         paths = [f"{self.root}/{f}" for b, fs in sorted(folders.items()) if only is None or b in only for f in fs]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def dealt(self, rows: DataFrame, *derived: str) -> DataFrame:
+        """rows by bucket, the number of which is in __bucket, for append(). Of the columns named, that others tell, none is sent."""
+        return rows.withColumn("__bucket", self.bucket()).drop(*derived).repartition("__bucket")
+
     def _write(self, rows: DataFrame) -> dict[int, list[str]]:
         name = f"data/{uuid.uuid4().hex}"
-        fitted = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema], self.bucket().alias("__bucket"))
-        fitted.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{name}")
+        if "__bucket" not in rows.columns:
+            rows = self.dealt(rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]))
+        fitted = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema], "__bucket")
+        fitted.write.partitionBy("__bucket").parquet(f"{self.root}/{name}", compression="zstd")
         return {int(n.split("=")[1]): [f"{name}/{n}"] for n in self.files.names(name) if n.startswith("__bucket=")}
 
     def _publish(self, base: int, folders: dict[int, list[str]]) -> int:
@@ -138,7 +144,7 @@ class SnapshotTable:
         return base + 1
 
     def append(self, rows: DataFrame) -> int:
-        """A version with rows added; existing files stay as they are."""
+        """A version with rows added (those of dealt() are not sent again); existing files stay as they are."""
         base = self.version()
         folders = self.folders(base)
         for b, new in self._write(rows).items():

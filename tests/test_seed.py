@@ -29,3 +29,20 @@ def test_loads(spark, tmp_path):
     assert {n: (t.version(), sorted(map(str, t.read().collect()))) for n, t in again.items()} == before
     later, _ = seed.load(spark, root, {"classifications": seeds(spark, "v2")["classifications"]})
     assert sorted((r.version, r.score, r.is_current) for r in later["classifications"].read().collect()) == [("v1", 5, False), ("v1", 7, True), ("v2", 5, True)]
+
+
+def test_a_first_load_sends_and_writes_natural_keys_alone(spark, tmp_path, monkeypatch):
+    written = {}
+    settled = seed.settled
+
+    def keep(df, purpose):
+        written[purpose] = settled(df, purpose)
+        return written[purpose]
+
+    monkeypatch.setattr(seed, "settled", keep)
+    tables, faults = seed.load(spark, f"file://{tmp_path}/seeds", seeds(spark))
+    assert set(written["seed-postings"].columns) == {"source_key", "external_id", "job_hash", "title", "__problem"}
+    assert "seed-rows" in written and written["seed-rows"].columns == tables["jobs"].read().columns  # only the table that points to itself
+    assert tables["classifications"].version() == tables["postings"].version() == 1
+    empty, _ = seed.load(spark, f"file://{tmp_path}/empty", {"users": spark.createDataFrame([], "email string")})
+    assert empty["users"].version() == 0
