@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import SnapshotTable
+from ..storage import SnapshotTable, settled
 from .resolve import distinct_words, trigram_similarity, trigrams
 
 #: Least similarity of titles, and of the distinct words of descriptions.
@@ -33,8 +33,9 @@ def grams(title: Column) -> Column:
 
 
 def described(rows: DataFrame, block: str, key: str, title: str, description: str) -> DataFrame:
-    """block, key, grams and words of rows that have a block and a title with letters or digits."""
-    out = rows.select(F.col(block).cast("string").alias("block"), F.col(key).alias("key"), grams(F.col(title)).alias("grams"), distinct_words(F.col(description)).alias("words"))
+    """block, key, grams and words of rows that have a block and a title with letters or digits. Rows are dealt out first: a small file would be one task."""
+    said = rows.select(F.col(block).cast("string").alias("block"), F.col(key).alias("key"), F.col(title).alias("title"), F.col(description).alias("description")).repartition("block", "key")
+    out = said.select("block", "key", grams(F.col("title")).alias("grams"), distinct_words(F.col("description")).alias("words"))
     return out.filter(F.col("block").isNotNull() & (F.size("grams") > 0))
 
 
@@ -67,18 +68,19 @@ class TitleIndex:
         SnapshotTable.create(spark, f"{root}/entries", empty(ENTRY), ["block"], buckets)
         SnapshotTable.create(spark, f"{root}/titles", empty(TITLE), ["block"], buckets)
         if sample is not None:
-            order.replace(sample.select(F.explode(grams(F.col(title))).alias("gram")).groupBy("gram").agg(F.count("*").alias("often")))
+            told = sample.groupBy(F.col(title).alias("title")).agg(F.count("*").alias("n"))
+            order.replace(told.select(F.explode(grams(F.col("title"))).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("often")))
         return cls(spark, root, **thresholds)
 
     def add(self, jobs: DataFrame, block: str = "company_slug", key: str = "job_id", title: str = "normalized_title", description: str = "description") -> None:
         """Index jobs that are not in the index. Those without a block or a title's letters can't be similar to any."""
-        rows = described(jobs, block, key, title, description)
+        rows = settled(described(jobs, block, key, title, description), "described")
         entries = prefixes(rows, self.order.read(), self.least)
         self.titles.append(rows.withColumnRenamed("key", "job_id"))
         self.entries.append(entries.withColumn("band", band(F.col("n"), self.least)).withColumnRenamed("key", "job_id"))
 
-    def pairs(self, rows: DataFrame) -> DataFrame:
-        """block, key, job_id and similarity of all similar titles. rows: as of described().
+    def pairs(self, rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        """block, key, job_id and similarity of all similar titles. rows: as of described(). among: only with these of the index's titles.
 
         The parts of the index that belong to these employers are read. Pairs
         meet with keys alone, and titles are fetched once for each.
@@ -86,14 +88,15 @@ class TitleIndex:
         touched = self.entries.touched(rows)
         asked = prefixes(rows, self.order.read(), self.least).withColumn("band", band(F.col("n"), self.least))
         a = asked.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("a")
-        b = self.entries.read(only=touched).alias("b")
+        b = self.entries.read(only=touched)
+        b = (b if among is None else b.join(among.select("block", "job_id"), ["block", "job_id"], "left_semi")).alias("b")
         t = self.least
         needed = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
         shared = F.least("a.place", "b.place") + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
         fits = (F.col("a.n") >= t * F.col("b.n") - 1e-9) & (F.col("b.n") >= t * F.col("a.n") - 1e-9) & (shared >= needed)
         met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.band") == F.col("b.band")) & fits)
         met = met.select("a.block", "a.key", "b.job_id").distinct()
-        scored = met.join(rows.select("block", "key", "grams"), ["block", "key"]).join(self.titles.read(only=touched).select("block", "job_id", F.col("grams").alias("theirs")), ["block", "job_id"])
+        scored = met.join(rows.select("block", "key", "grams"), ["block", "key"]).join((self.titles.read(only=touched) if among is None else among).select("block", "job_id", F.col("grams").alias("theirs")), ["block", "job_id"])
         return scored.select("block", "key", "job_id", trigram_similarity(F.col("grams"), F.col("theirs")).alias("similarity")).filter(F.col("similarity") >= t)
 
     def best(self, postings: DataFrame, block: str = "company_slug", key: str = "posting_id", title: str = "normalized_title", description: str = "description") -> DataFrame:
@@ -105,12 +108,17 @@ class TitleIndex:
         Descriptions without words confirm nothing. An empty table gives an
         empty table; rows that repeat a key give one row.
         """
-        rows = described(postings, block, key, title, description).dropDuplicates(["block", "key"])
-        theirs = self.titles.read(only=self.titles.touched(rows)).select("block", "job_id", F.col("words").alias("theirs"))
+        # of equal titles with equal words one asks, and the least job_id answers
+        same = ["block", "grams", "words"]
+        rows = settled(described(postings, block, key, title, description).dropDuplicates(["block", "key"]), "asking")
+        asked = settled(rows.groupBy(*same).agg(F.min("key").alias("key")), "asking-titles")
+        stored = settled(self.titles.read(only=self.titles.touched(asked)).groupBy(*same).agg(F.min("job_id").alias("job_id")), "asked-titles")
+        theirs = stored.select("block", "job_id", F.col("words").alias("theirs"))
         # sizes first: neither description may have less than `confirm` times the other's words
-        sized = self.pairs(rows).join(rows.select("block", "key", F.size("words").alias("n")), ["block", "key"]).join(theirs.select("block", "job_id", F.size("theirs").alias("m")), ["block", "job_id"])
+        sized = self.pairs(asked, stored).join(asked.select("block", "key", F.size("words").alias("n")), ["block", "key"]).join(theirs.select("block", "job_id", F.size("theirs").alias("m")), ["block", "job_id"])
         fit = sized.filter((F.col("n") >= self.confirm * F.col("m") - 1e-9) & (F.col("m") >= self.confirm * F.col("n") - 1e-9)).drop("n", "m")
-        both = fit.join(rows.select("block", "key", "words"), ["block", "key"]).join(theirs, ["block", "job_id"])
+        both = fit.join(asked.select("block", "key", "words"), ["block", "key"]).join(theirs, ["block", "job_id"])
         sure = both.withColumn("confirmed", trigram_similarity(F.col("words"), F.col("theirs"))).filter(F.col("confirmed") >= self.confirm)
         place = F.struct(-F.col("similarity"), -F.col("confirmed"), F.col("job_id").alias("job_id"), F.col("similarity").alias("similarity"), F.col("confirmed").alias("confirmed"))
-        return sure.groupBy("key").agg(F.min(place).alias("b")).select(F.col("key").alias(key), "b.job_id", "b.similarity", "b.confirmed")
+        answers = sure.groupBy("block", "key").agg(F.min(place).alias("b")).join(asked, ["block", "key"]).select(*same, "b")
+        return rows.join(answers, same).groupBy("key").agg(F.min("b").alias("b")).select(F.col("key").alias(key), "b.job_id", "b.similarity", "b.confirmed")
