@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.plans import writes
+from sluice.plans.catalogue import QUERIES
 from sluice.sources import boards, feed, paginated
 from sluice.streaming import incremental
 
@@ -49,6 +51,30 @@ def test_boards_as_columns_equal_the_walk(spark, tmp_path, recent_first, since,
     assert all(x.count() == 0 for x in boards.scan_boards(odd.limit(0)))
 
 
+def test_packed_boards_are_those_of_files(spark, tmp_path):
+    rng = random.Random(5)
+    made = {f"b{i}": json.dumps({"jobs": [entry(rng, k) for k in range(rng.randrange(25))]}, ensure_ascii=False) for i in range(60)} | {"x1": "{", "x2": " \r\n\x1e\"", "x3": "[]", "x4": '{"jobs": {}}', "x5": '{"jobs": []}'}
+    (tmp_path / "files").mkdir()
+    for name, text in made.items():
+        (tmp_path / "files" / f"{name}.json").write_text(text, newline="")
+    given = spark.createDataFrame([*made.items(), ("y1", None), ("y2", "")], boards.PACK).repartition(2, "source")
+    boards.pack_boards(given, str(tmp_path / "packs"))
+    assert len(list((tmp_path / "packs").glob("*.parquet"))) == 2
+    packed = boards.read_packs(spark, str(tmp_path / "packs"))
+    assert sorted(packed.collect(), key=str) == sorted(given.collect(), key=str)
+    found = [boards.scan_boards(read, 3, 5, F.lit(DAY + dt.timedelta(days=8)), True, 6) for read in (boards.read_boards(spark, str(tmp_path / "files")), packed.filter("source < 'y'"))]
+    for a, b in zip(*found, strict=True):
+        assert a.count() > 4 and sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+    # texts are parsed before, not by each plan that uses them
+    assert not any("Generate" in x._jdf.queryExecution().optimizedPlan().toString() for x in found[0])
+
+
+def test_files_of_board_scan_do_not_grow_with_its_boards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writes, "shared_folder", lambda _, purpose: f"file://{tmp_path}/{purpose}")
+    assert QUERIES["board_scan"](spark, "/root/testdata/sf0.01").count() > 1000
+    assert 0 < len(list(tmp_path.glob("boards/**/part-*"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def line(i, day=0):
     return json.dumps({"id": f"e{i}", "url": "https://x", "postedAt": (DAY + dt.timedelta(days=day)).isoformat()}) + "\n"
 
