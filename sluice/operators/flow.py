@@ -46,7 +46,9 @@ def candidates(raw: DataFrame) -> DataFrame:
     Malformed payloads give nulls, which resolve_batch puts into quarantine.
     Text functions run in Python here; resolve_batch writes the result down before it uses it.
     """
-    p = latest_payloads(raw).withColumn("p", F.from_json("payload", PAYLOAD))
+    # a number, for adaptive execution would make one task of few bytes, and texts take long; by the keys alone it would be left out, for they are grouped by
+    n = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = latest_payloads(raw).repartition(n, F.xxhash64(*KEYS)).withColumn("p", F.from_json("payload", PAYLOAD))
     said = {c: text.plain_text(F.col(f"p.{c}")) for c in ("title", "company", "country", "location")}
     plain = p.withColumns(said | {"description": text.html_text(F.col("p.description")), "posted_at": F.try_to_timestamp("p.postedAt").cast("timestamp_ntz")})
     title, description = F.col("title"), F.col("description")

@@ -105,6 +105,14 @@ def state(store):
     return postings, {r.job_id: r for r in store.jobs.read().collect()}
 
 
+def test_texts_of_a_small_batch_are_read_in_many_tasks(spark):
+    batch = raw(spark, [("s", str(i), f"Cook {i}", WORDS, {}) for i in range(200)], 1)
+    found = flow.candidates(batch.unionByName(raw(spark, [("s", "1", "Baker", WORDS, {})], 2)))
+    rows = found.withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert len(rows) == 200 and {r.title for r in rows if r.external_id == "1"} == {"Baker"}
+
+
 def test_batches_into_stored_tables(spark, tmp_path, monkeypatch):
     store = flow.JobStore.create(spark, f"file://{tmp_path}/jobs", buckets=4)
     one = raw(spark, [("s", "1", "Backend developer", WORDS, {"location": "Galway", "country": " ie", "postedAt": "2023-12-01T00:00:00Z"}), ("s", "2", "Cook", WORDS, {}), ("s", "3", "", WORDS, {})], 1)
