@@ -9,10 +9,12 @@ fitted on rows it was not trained on calibrates its probabilities.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     score is their share (0.5 without any), as with empty tables.
 
     Ids are chosen first, from columns without texts; then the sizes of the
-    chosen rows' texts are looked at, then the texts that fit.
+    chosen rows' texts are looked at, then a task is given the texts that fit.
+    Neither they nor what fitting takes come to the driver: only the model does.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     texts = docs.select("doc_id", whole_text("text").alias("text"))
@@ -217,15 +220,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     if not chosen:
         return WordVectors.fit([]), Network()
     picked = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), "doc_id long, t long, label int")
-    found = texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "label").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["t"]))
-    raw = [r["text"].encode("utf-8", "replace") for r in found]
-    ids, known = np.array([r["doc_id"] for r in found], np.int64).view(np.uint64), np.array([r["label"] for r in found])
+    found = texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "label")
+    vocabulary, context, network = pickle.loads(found.coalesce(1).mapInArrow(_fitted, "model binary").first()["model"])
+    return WordVectors(vocabulary, context), network
+
+
+def _fitted(batches):
+    """The model, pickled, from all rows (doc_id, t, text, label)."""
+    only(("fit",))
+    found = [(i, t, text.encode("utf-8", "replace"), label) for batch in batches for i, t, text, label in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+    found.sort(key=lambda r: r[:2])
+    raw = [r[2] for r in found]
+    ids, known = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[3] for r in found])
     del found
     vectors = WordVectors.fit(raw)
     x = np.concatenate([vectors.pool(raw[lo : lo + 64]) for lo in range(0, len(raw), 64)])  # few texts are held as words at a time
-    vectors._reset()
-    return vectors, Network.fit(x, known, mix64(ids + np.uint64(77)) % np.uint64(5) == 0)
+    network = Network.fit(x, known, mix64(ids + np.uint64(77)) % np.uint64(5) == 0)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((vectors.vocabulary, vectors.context, network))], pa.binary())], names=["model"])
 
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]

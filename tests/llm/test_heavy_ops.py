@@ -275,3 +275,13 @@ def test_texts_made_to_collide_are_told_apart(spark):
         assert {r.n_removed for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS), large=large, keep=["doc_id"]).collect()} == {0}
         rows += [(2, pair[0] + "!", "", "")]
         assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS), large=large, keep=["doc_id"]).collect()} == {0: 200, 1: 0, 2: 200}
+
+
+def test_classifier_takes_no_texts_to_the_driver(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    came, frame = [], type(docs)
+    for name in ("collect", "first", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): (came.extend(self.columns), f(self))[1])
+    vectors, network = quality_classifier.fit(docs, labels)
+    assert "model" in came and "text" not in came
+    assert len(vectors.vocabulary) and network.layers is not None
