@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import line_dedup, minhash_dedup, packing, quality_classifier, suffix_dedup
-from sluice.llm.common import materialize, table
+from sluice.llm.common import materialize, table, whole_text
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -35,8 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeats and empty tables likewise: each gives a table like its input.
     """
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(_packed(docs), model, keep=["row"])
-    return scored.filter("predicted = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return docs.filter(quality_classifier.probability(spark, model, whole_text("text")) >= 0.5)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

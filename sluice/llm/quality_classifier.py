@@ -12,15 +12,15 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_texts, mix64, only, table, whole_text
+from .common import mix64, only, table, text_slices, whole_text
 
 #: Size of word vectors; entries of an index vector that are not 0.
 DIMENSIONS, NONZERO = 64, 6
@@ -189,6 +189,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+_PICKED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("label", pa.int32())])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[WordVectors, Network]:
     """Fit on at most max_rows labelled documents of at most max_bytes in all, whole texts.
 
@@ -202,11 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     Ids are chosen first, from columns without texts; then the sizes of the
     chosen rows' texts are looked at, then a task is given the texts that fit.
     Neither they nor what fitting takes come to the driver: only the model does.
+    Lists go to Spark as Arrow tables: of a list of rows Python workers of
+    another kind would be started, and would stay, beside those in use.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     texts = docs.select("doc_id", whole_text("text").alias("text"))
     ids = docs.select("doc_id").join(known, "doc_id").select("doc_id", "label", F.xxhash64("doc_id").alias("h")).distinct()
-    ids = docs.sparkSession.createDataFrame(ids.orderBy("h", "doc_id").limit(max_rows).collect(), "doc_id long, label int, h long")
+    ids = docs.sparkSession.createDataFrame(ids.orderBy("h", "doc_id").limit(max_rows).toArrow())
     sized = texts.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("t")).join(F.broadcast(ids), "doc_id")
     rows = sized.orderBy("h", "doc_id", "size", "t").limit(max_rows).collect()
     total, chosen = 0, []
@@ -219,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
         chosen = [(rows[0]["doc_id"], rows[0]["t"], rows[0]["label"])]
     if not chosen:
         return WordVectors.fit([]), Network()
-    picked = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), "doc_id long, t long, label int")
+    picked = docs.sparkSession.createDataFrame(pa.table(dict(zip(("doc_id", "t", "label"), zip(*dict.fromkeys(chosen), strict=True), strict=True)), _PICKED))
     found = texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "label")
     vocabulary, context, network = pickle.loads(found.coalesce(1).mapInArrow(_fitted, "model binary").first()["model"])
     return WordVectors(vocabulary, context), network
@@ -239,31 +244,38 @@ def _fitted(batches):
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((vectors.vocabulary, vectors.context, network))], pa.binary())], names=["model"])
 
 
-FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-
-
-def score(docs: DataFrame, model: tuple[WordVectors, Network], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add score (0..1) and predicted (1 if score >= 0.5) to every row, from its whole text alone.
+def probability(spark: SparkSession, model: tuple[WordVectors, Network], text: Column) -> Column:
+    """The score (0..1) of a whole text, which must not be null.
 
-    Null and empty texts are scored as documents without words. Columns of keep
-    (default: all) stay unless named like a new one. No shuffle. The model that
-    travels to the executors has at most VOCABULARY words. Repeated rows get
-    equal scores, an empty table stays empty.
+    Only this column travels to Python, and only numbers come back. The model
+    that travels to the executors has at most VOCABULARY words.
     """
     fitted, network = model
-    sent, name = docs.sparkSession.sparkContext.broadcast((fitted.vocabulary, fitted.context, network)), uuid.uuid4().hex
+    sent, name = spark.sparkContext.broadcast((fitted.vocabulary, fitted.context, network)), uuid.uuid4().hex
 
-    def make():
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, context, network = sent.value
         vectors = only(("word vectors", name), lambda: WordVectors(vocabulary, context))
+        for batch in batches:
+            made = [np.zeros(0)]
+            for part in text_slices(pa.RecordBatch.from_arrays([batch], names=["text"]), 0):
+                made.append(np.round(network.scores(vectors.pool([t.encode("utf-8", "replace") for t in part.column(0).to_pylist()])), 9))
+            yield pa.array(np.concatenate(made))
+
+    return scores(text)
 
-        def compute(texts: list[str]) -> list:
-            s = np.round(network.scores(vectors.pool([t.encode("utf-8", "replace") for t in texts])), 9)
-            return [s, (s >= 0.5).astype(np.int32)]
 
-        return compute
+def score(docs: DataFrame, model: tuple[WordVectors, Network], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add score (0..1) and predicted (1 if score >= 0.5) to every row, from its whole text alone.
 
-    return map_texts(docs, text_col, docs.columns if keep is None else keep, FIELDS, make)
+    Null and empty texts are scored as documents without words. Columns of keep
+    (default: all) stay unless named like a new one. No shuffle. Repeated rows
+    get equal scores, an empty table stays empty.
+    """
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    scored = docs.select(*kept, probability(docs.sparkSession, model, whole_text(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,37 @@ def test_vectors_pooling_and_calibration_by_brute_force():
         assert abs(s[some].mean() - y[~check][some].mean()) < 0.08
 
 
+def python_traffic(df):
+    """Bytes that Python workers got and gave while df was collected."""
+    df.collect()
+    plan, sent, received = df._jdf.queryExecution().executedPlan(), 0, 0
+    while True:
+        metrics = plan.metrics()
+        if metrics.contains("pythonDataSent"):
+            sent += metrics.apply("pythonDataSent").value()
+            received += metrics.apply("pythonDataReceived").value()
+        if not plan.children().size():
+            return sent, received
+        plan = plan.children().head()
+
+
+def test_texts_travel_to_the_classifier_once(spark, tmp_path, monkeypatch):
+    """Neither a second time in a row that is kept, nor back; lists do not start workers of another kind."""
+    import corpus_pipeline
+    from pyspark import SparkContext
+
+    spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, ("good words here " if i % 2 else "bad stuff there ") * 200, 7) for i in range(400)], "doc_id long, text string, score int").write.parquet(str(tmp_path / "documents.parquet"))
+    docs, size = spark.read.parquet(str(tmp_path / "documents.parquet")), 400 * 200 * 16
+    monkeypatch.setattr(SparkContext, "parallelize", None)
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    sent, received = python_traffic(kept)
+    assert size <= sent < 1.2 * size and received < 0.1 * size
+    assert {(r.doc_id, r.score) for r in kept.collect()} == {(i, 7) for i in range(1, 400, 2)}
+    sent, received = python_traffic(quality_classifier.query(spark, str(tmp_path)))
+    assert size <= sent < 1.2 * size and received < 0.1 * size
+
+
 def test_classifier(spark, sf):
     docs = spark.read.parquet(f"{sf.rpartition(chr(47))[0]}/sf0.1/documents.parquet")
     labels = spark.read.parquet(f"{sf.rpartition(chr(47))[0]}/sf0.1/labels.parquet")
