@@ -108,13 +108,26 @@ def pointed(entity: Entity, rows: DataFrame, stored: DataFrame | None) -> tuple[
     return rows, reduce(DataFrame.unionByName, faults)
 
 
+def by_bucket(table: SnapshotTable, entity: Entity, rows: DataFrame, ids: dict[str, Column]) -> DataFrame:
+    """rows of resolved() as the entity stores them, and __bucket: sent by bucket with natural keys alone, and made unique there."""
+    mark = {"is_current": F.lit(True)} if entity.current else {}
+    return identified(entity, table.dealt(rows.withColumns(ids), *ids), ids, "__bucket").withColumns(mark)
+
+
 def first_load(spark: SparkSession, root: str, entity: Entity, rows: DataFrame, ids: dict[str, Column]) -> SnapshotTable:
-    """rows of resolved() in a table that has none yet: sent by bucket with natural keys alone, and made unique there."""
+    """rows of resolved() in a table that has none yet, so that there is nothing to compare them with."""
     mark = {"is_current": F.lit(True)} if entity.current else {}
     table = SnapshotTable.open_or_create(spark, f"{root}/{entity.name}", identified(entity, rows, ids).withColumns(mark).schema, list(entity.current or entity.keys))
     if rows.limit(1).count():
-        dealt = table.dealt(rows.withColumns(ids), *ids)
-        table.append(identified(entity, dealt, ids, "__bucket").withColumns(mark))
+        table.append(by_bucket(table, entity, rows, ids))
+    return table
+
+
+def later_load(spark: SparkSession, root: str, entity: Entity, table: SnapshotTable, rows: DataFrame, ids: dict[str, Column]) -> SnapshotTable:
+    """rows of resolved() in a table that has some: all are compared with those stored, and rows of buckets that differ are upserted."""
+    made = by_bucket(table, entity, rows, ids)
+    if unlike := table.unlike(made):
+        return upsert(spark, root, entity, made.filter(F.col("__bucket").isin(unlike)).drop("__bucket"))
     return table
 
 
@@ -152,17 +165,17 @@ def load(spark: SparkSession, root: str, seeds: dict[str, DataFrame], entities:
         if e.name in seeds:
             read = {t: tables[t].read() for t, _ in e.references.values()}
             ids = {c: row_id(known[t], {k: F.col(n).cast(read[t].schema[k].dataType) for k, n in by.items()}) for c, (t, by) in e.references.items()}
-            rows, wrong = resolved(e, seeds[e.name], read)
+            before, rows = tables_at(spark, path), seeds[e.name]
+            if before is not None:  # ids and buckets follow from keys as they are stored
+                rows = rows.withColumns({f.name: F.col(f"`{f.name}`").cast(f.dataType) for f in before.schema if f.name in rows.columns})
+            rows, wrong = resolved(e, rows, read)
             faults = faults.unionByName(wrong)
-            before = tables_at(spark, path)
-            if not e.itself and (before is None or not before.version()):
-                tables[e.name] = first_load(spark, root, e, rows, ids)
+            if not e.itself:
+                some = before is not None and before.version()
+                tables[e.name] = later_load(spark, root, e, before, rows, ids) if some else first_load(spark, root, e, rows, ids)
                 continue
-            rows = identified(e, rows, ids)
-            if e.itself:
-                rows = settled(rows, "seed-ids")
-                rows, wrong = pointed(e, rows, before and before.read())
-                faults = faults.unionByName(wrong)
+            rows, wrong = pointed(e, settled(identified(e, rows, ids), "seed-ids"), before and before.read())
+            faults = faults.unionByName(wrong)
             tables[e.name] = upsert(spark, root, e, rows)
         elif (stored := tables_at(spark, path)) is not None:
             tables[e.name] = stored

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -139,6 +140,25 @@ class SnapshotTable:
         fitted.write.partitionBy("__bucket").parquet(f"{self.root}/{name}", compression="zstd")
         return {int(n.split("=")[1]): [f"{name}/{n}"] for n in self.files.names(name) if n.startswith("__bucket=")}
 
+    def unlike(self, rows: DataFrame) -> list[int]:
+        """The buckets of rows, which have their number in __bucket, that do not hold exactly these rows.
+
+        A bucket's rows are told by their number and by sums of digests (64 bits of their values, 120 of them as JSON) under
+        a key that is drawn for this call alone, so that each row is read and none is sent.
+        """
+        key, names = F.lit(secrets.token_hex(16)), [f"`{f.name}`" for f in self.schema]
+        digest = F.sha2(F.concat(key, F.to_json(F.struct(*names))), 256).alias("digest")
+        parts = [F.col("hash"), *[F.conv(F.substring("digest", at, 15), 16, 10) for at in (1, 16)]]
+        sums = [F.sum(p.cast("decimal(20,0)")) for p in parts]
+
+        def told(df: DataFrame) -> dict[int, tuple]:
+            fitted = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema], "__bucket")
+            return {b: tuple(x) for b, *x in fitted.select("__bucket", F.xxhash64(key, *names).alias("hash"), digest).groupBy("__bucket").agg(F.count("*"), *sums).collect()}
+
+        new = told(rows)
+        old = told(self.read(only=list(new)).withColumn("__bucket", self.bucket()))
+        return sorted(b for b in new if new[b] != old.get(b))
+
     def _publish(self, base: int, folders: dict[int, list[str]]) -> int:
         self.files.publish(f"versions/{base + 1:010d}.json", json.dumps(folders))
         return base + 1

@@ -1,6 +1,7 @@
 """Seeds: references by natural keys, faults, the second pass of merges, and loads that change nothing."""
 
 from sluice.operators import seed
+from sluice.plans import catalogue
 
 
 def seeds(spark, version="v1"):
@@ -46,3 +47,49 @@ def test_a_first_load_sends_and_writes_natural_keys_alone(spark, tmp_path, monke
     assert tables["classifications"].version() == tables["postings"].version() == 1
     empty, _ = seed.load(spark, f"file://{tmp_path}/empty", {"users": spark.createDataFrame([], "email string")})
     assert empty["users"].version() == 0
+
+
+def test_the_query_loads_postings_twice(spark, sf, monkeypatch):
+    """The second load compares all of them and changes no table."""
+    loads, load = [], seed.load
+
+    def watched(session, root, rows, *more):
+        tables, faults = load(session, root, rows, *more)
+        loads.append({n: (t.version(), t.read().count()) for n, t in tables.items()})
+        return tables, faults
+
+    monkeypatch.setattr(seed, "load", watched)
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").distinct()
+    assert catalogue.QUERIES["seeded_postings"](spark, sf).count() == items.count()
+    assert len(loads) == 2 and loads[0] == loads[1] and set(loads[0]) == {"sources", "jobs", "postings"}
+    assert all(v == 1 and n > 0 for v, n in loads[0].values())
+
+
+def test_a_later_load_changes_the_buckets_that_differ(spark, tmp_path, monkeypatch):
+    root, make = f"file://{tmp_path}/seeds", lambda rows: {**seeds(spark), "postings": spark.createDataFrame(rows, "source_key string, external_id string, job_hash string, title string")}
+    rows = [("a", str(i), "h1", f"t{i}") for i in range(200)]
+    tables, _ = seed.load(spark, root, make(rows))
+    before = tables["postings"].folders()
+    written, settled = [], seed.settled
+    monkeypatch.setattr(seed, "settled", lambda df, purpose: (written.append((purpose, "job_id" in df.columns)), settled(df, purpose))[1])
+    for same in (rows, rows[::-1], [*rows, rows[7]]):
+        tables, _ = seed.load(spark, root, make(same))
+        assert tables["postings"].version() == 1 and ("seed-rows", True) not in written  # compared without ids being written
+    tables, _ = seed.load(spark, root, make(rows[50:]))
+    assert tables["postings"].version() == 1 and tables["postings"].read().count() == 200
+    tables, _ = seed.load(spark, root, make([*rows[:3], ("a", "3", "h1", None), *rows[4:], ("b", "new", "h2", "n")]))
+    after = tables["postings"].folders()
+    assert tables["postings"].version() == 2 and 1 <= len([b for b in after if after[b] != before.get(b)]) <= 2
+    assert sorted((r.external_id, r.title) for r in tables["postings"].read().collect() if r.title is None or r.external_id == "new") == [("3", None), ("new", "n")] and tables["postings"].read().count() == 201
+
+
+def test_keys_of_another_type_are_the_same_keys(spark, tmp_path):
+    root, postings = f"file://{tmp_path}/seeds", "source_key string, external_id %s, job_hash string, title string"
+    load = lambda rows, kind: seed.load(spark, root, {**{k: seeds(spark)[k] for k in ("sources", "jobs")}, "postings": spark.createDataFrame(rows, postings % kind)})[0]["postings"]
+    assert load([], "string").version() == 0
+    rows = [("a", i, "h1", "t") for i in range(40)]
+    first = load(rows, "int")
+    assert first.version() == 1 and all(first.touched(first.read(only=[b])) == [b] for b in first.folders())
+    assert load([(a, str(i), h, t) for a, i, h, t in rows], "string").version() == 1
+    later = load([("a", 7, "h1", "u")], "int")
+    assert later.version() == 2 and sorted((r.external_id, r.title) for r in later.read().collect()) == sorted((str(i), "u" if i == 7 else "t") for i in range(40))

@@ -199,3 +199,19 @@ def test_merges_in_stored_tables(spark, tmp_path, monkeypatch):
     store.ingest(raw(spark, [("t", "5", "Cook", "soup", {})], 2), now(2))
     assert state(store)[0]["5"].job_id == winner
     assert store.merge(merges).count() == 0
+
+
+def test_unlike_buckets(spark, tmp_path):
+    """A value of any kind that differs shows, as do rows that lack or repeat; order and files do not."""
+    at = dt.datetime(2020, 1, 1, 0, 0, 0, 1)
+    rows = [(1, "a", None, at, 0.5, ["x", None]), (2, None, "a", at, None, []), (3, "a, b", "c", None, float("nan"), None)]
+    table = SnapshotTable.create(spark, f"file://{tmp_path}/t", spark.createDataFrame(rows, "k long, a string, b string, t timestamp, d double, l array<string>").schema, ["k"], buckets=2)
+    told = lambda rows: table.unlike(spark.createDataFrame(rows, table.schema).withColumn("__bucket", table.bucket()))
+    assert told(rows) == table.touched(spark.createDataFrame(rows, table.schema))
+    table.append(spark.createDataFrame(rows[:2], table.schema))
+    table.append(spark.createDataFrame(rows[2:], table.schema))
+    assert told(rows) == told(rows[::-1]) == told([]) == []
+    for changed in ((1, None, "a", at, 0.5, ["x", None]), (1, "a", None, at.replace(microsecond=2), 0.5, ["x", None]), (1, "a", None, at, 0.5, [None, "x"]), (1, "a", None, at, None, ["x", None])):
+        mine = table.touched(spark.createDataFrame([changed], table.schema))
+        assert told([changed, *rows[1:]]) == mine
+    assert told([*rows, rows[0]]) == table.touched(spark.createDataFrame(rows[:1], table.schema)) and told([*rows[1:], rows[1]]) != []
