@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -52,6 +53,12 @@ def row_id(entity: Entity, by: dict[str, Column] | None = None) -> Column:
     return F.sha2(F.concat(F.lit(entity.name), F.to_json(F.struct(*keys))), 256)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Shuffle files of plans that are done with are deleted once the driver's JVM has collected these as garbage, which it is asked to do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _names(rows: DataFrame, by: dict[str, str], id_col: str) -> DataFrame:
     return rows.select(F.col("id").alias(id_col), *[F.col(k).alias(c) for k, c in by.items()])
 
@@ -72,6 +79,7 @@ def resolved(entity: Entity, rows: DataFrame, tables: dict[str, DataFrame]) -> t
     unnamed = [F.when(F.col(k).isNull(), F.lit(f"no {k}")) for k in entity.keys if k not in entity.references]
     marked = rows.withColumn("__problem", F.coalesce(*absent, *unnamed, F.lit(None).cast("string")))
     marked = settled(marked.drop(*[f"__{c}" for c in entity.references]), f"seed-{entity.name}")
+    cleared(marked.sparkSession)
     faults = marked.filter("__problem is not null").select(F.lit(entity.name).alias("entity"), F.to_json(F.struct(*names)).alias("natural_key"), F.col("__problem").alias("problem"))
     return marked.filter("__problem is null").drop("__problem"), faults
 
@@ -170,13 +178,15 @@ def load(spark: SparkSession, root: str, seeds: dict[str, DataFrame], entities:
                 rows = rows.withColumns({f.name: F.col(f"`{f.name}`").cast(f.dataType) for f in before.schema if f.name in rows.columns})
             rows, wrong = resolved(e, rows, read)
             faults = faults.unionByName(wrong)
-            if not e.itself:
-                some = before is not None and before.version()
-                tables[e.name] = later_load(spark, root, e, before, rows, ids) if some else first_load(spark, root, e, rows, ids)
-                continue
-            rows, wrong = pointed(e, settled(identified(e, rows, ids), "seed-ids"), before and before.read())
-            faults = faults.unionByName(wrong)
-            tables[e.name] = upsert(spark, root, e, rows)
+            if e.itself:
+                rows, wrong = pointed(e, settled(identified(e, rows, ids), "seed-ids"), before and before.read())
+                faults = faults.unionByName(wrong)
+                tables[e.name] = upsert(spark, root, e, rows)
+            elif before is not None and before.version():
+                tables[e.name] = later_load(spark, root, e, before, rows, ids)
+            else:
+                tables[e.name] = first_load(spark, root, e, rows, ids)
+            cleared(spark)
         elif (stored := tables_at(spark, path)) is not None:
             tables[e.name] = stored
     return tables, faults
